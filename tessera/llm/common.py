@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Text bytes that a kernel expands into numpy arrays at once (a single longer text is taken whole).
 CHUNK_BYTES = 1 << 20
 #: Rows under which a side of a join may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a written table of short rows for broadcast if it has few rows; else the join shuffles, and Spark splits its skew."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what `written` wrote, once nothing reads it any more."""
     spark = df.sparkSession

@@ -15,12 +15,25 @@ def tokenizer_path() -> str:
     return os.environ.get("TESSERA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.exact_dedup import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_id import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, train(docs))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.secrets import scan
 
@@ -74,7 +87,14 @@ SELECT page_id, host, path, rule,
 FROM chosen
 """
 
-SQL = {"op10_url_filter": OP10_SQL}
+OP1_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.body) AS text_sha256
+FROM d JOIN g USING (body)
+"""
+
+SQL = {"op1_exact_dedup": OP1_SQL, "op10_url_filter": OP10_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
