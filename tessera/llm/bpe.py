@@ -202,7 +202,7 @@ class Bpe:
                         ids = self.encode_piece(piece.encode())
                     if len(piece) <= 64:
                         if len(known) >= CACHE:
-                            self.older, self.cache = cache, {}
+                            self.older, self.cache = known, {}
                             known = self.cache
                         known[piece] = ids
                 out += ids
