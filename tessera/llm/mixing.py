@@ -30,6 +30,9 @@ BLOCK = 32
 #: Of each source about so many documents, times the share of short ones, wait for the last level: short ones that
 #: meet last leave a short leftover.
 RESERVE = 256
+#: A document with more than one such part of its source's words isn't left to chance: it takes the nearer of 0 and 1,
+#: or the source would end far from its target.
+GIANT = 64
 
 
 def word_count(text: Column) -> Column:
@@ -72,13 +75,13 @@ aggregate(slice(items, 2, size(items)), named_struct('c', items[0], 'done', slic
   CASE WHEN acc.c.p <= 0D OR acc.c.p >= 1D THEN named_struct('c', x, 'done', concat(acc.done, array(acc.c)))
   ELSE transform(array(named_struct(
       'up', least((1D - acc.c.p) * acc.c.s, x.p * x.s), 'down', least(acc.c.p * acc.c.s, (1D - x.p) * x.s),
-      'u', pmod(xxhash64(acc.c.doc_id, acc.c.k, acc.c.s, x.doc_id, x.k, x.s, {seed}), 1073741824L) / 1073741824D)), m ->
+      'u', IF(acc.c.g, IF(acc.c.p >= 0.5D, -1D, 2D), pmod(xxhash64(acc.c.doc_id, acc.c.k, acc.c.s, x.doc_id, x.k, x.s, {seed}), 1073741824L) / 1073741824D))), m ->
     transform(array(IF(m.u * (m.up + m.down) < m.down,
         named_struct('c', acc.c.p + m.up / acc.c.s, 'x', x.p - m.up / x.s),
         named_struct('c', acc.c.p - m.down / acc.c.s, 'x', x.p + m.down / x.s))), q ->
       transform(array(named_struct(
-          'c', named_struct('s', acc.c.s, 'h', acc.c.h, 'doc_id', acc.c.doc_id, 'k', acc.c.k, 'p', CASE WHEN q.c < 1e-11D THEN 0D WHEN q.c > 1D - 1e-11D THEN 1D ELSE q.c END),
-          'x', named_struct('s', x.s, 'h', x.h, 'doc_id', x.doc_id, 'k', x.k, 'p', CASE WHEN q.x < 1e-11D THEN 0D WHEN q.x > 1D - 1e-11D THEN 1D ELSE q.x END))), e ->
+          'c', named_struct('s', acc.c.s, 'g', acc.c.g, 'h', acc.c.h, 'doc_id', acc.c.doc_id, 'k', acc.c.k, 'p', CASE WHEN q.c < 1e-11D THEN 0D WHEN q.c > 1D - 1e-11D THEN 1D ELSE q.c END),
+          'x', named_struct('s', x.s, 'g', x.g, 'h', x.h, 'doc_id', x.doc_id, 'k', x.k, 'p', CASE WHEN q.x < 1e-11D THEN 0D WHEN q.x > 1D - 1e-11D THEN 1D ELSE q.x END))), e ->
         IF(e.c.p <= 0D OR e.c.p >= 1D,
           named_struct('c', e.x, 'done', concat(acc.done, array(e.c))),
           named_struct('c', e.c, 'done', concat(acc.done, array(e.x)))))[0])[0])[0]
@@ -113,7 +116,7 @@ def mix(
         "source",
         F.expr(f"size * n * 4 <= source_size AND pmod(xxhash64(doc_id, size, k, {seed + 2}), n) < {RESERVE}").alias("waits"),
         F.expr(f"pmod(xxhash64(doc_id, size, k, {seed}), CAST(ceil(n / {BLOCK}) AS BIGINT))").alias("block"),
-        F.expr(f"named_struct('s', CAST(size AS DOUBLE), 'h', xxhash64(doc_id, size, k, {seed + 1}), 'doc_id', doc_id, 'k', k, 'p', p)").alias("item"),
+        F.expr(f"named_struct('s', CAST(size AS DOUBLE), 'g', size * {GIANT} > source_size, 'h', xxhash64(doc_id, size, k, {seed + 1}), 'doc_id', doc_id, 'k', k, 'p', p)").alias("item"),
     )
     open_rows = fractional.filter("NOT waits").drop("waits")
     levels, blocks = [], -(-most_docs // BLOCK)
