@@ -13,6 +13,10 @@ LOWER[65:91] += 32
 IN_WORD = np.ones(256, dtype=bool)
 IN_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 
+#: Letters, digits and all beyond ASCII: words without punctuation.
+IN_NAME = np.zeros(256, dtype=bool)
+IN_NAME[48:58] = IN_NAME[97:123] = IN_NAME[128:] = True
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -50,14 +54,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, starts, first
 
 
-def located_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As words(), with the end byte of each word too."""
+def located_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), with the end byte of each word too. table: the lower-cased bytes that words are made of."""
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none, none, np.zeros(len(offsets), dtype=np.int64)
     low = LOWER[data]
-    inside = IN_WORD[low]
+    inside = table[low]
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = inside[:-1]
