@@ -110,6 +110,6 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
 def short_shingle(hashes: np.ndarray) -> np.ndarray:
     """The one shingle of a text with fewer words than a shingle has; its length keeps it apart from the others."""
     total = np.zeros(1, dtype=np.uint64)
-    for i, h in enumerate(hashes):
-        total = mix(total) + h * _PLACES[i % 5]
+    for i in range(len(hashes)):
+        total = mix(total) + hashes[i : i + 1] * _PLACES[i % 5]
     return mix(total, 1000 + len(hashes))
