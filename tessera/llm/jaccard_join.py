@@ -2,10 +2,13 @@
 
 Candidates come from prefix filtering under several global token orders. Of a set of n
 shingles, the n - ceil(t n) + 1 first ones under any one order of all shingles hold one that
-every set with similarity t or more also has among its first ones. The first order puts
-shingles that many documents share last, then goes by a hash; it is indexed. The other orders
-go by hashes of their own, and a candidate must share a prefix token under each of them before
-it is verified by its exact overlap.
+every set with similarity t or more also has among its first ones.
+ - Rarest first: a document whose prefix is all its own has no partner. How often a shingle
+   occurs is counted over all documents in cells of a hash, so an occurrence count of one is
+   certain. What remains is counted again without the documents that went.
+ - By a hash, after shingles that many documents share: this order is indexed.
+ - By further hashes: a candidate must share a prefix token under each of these too, before it
+   is verified by its exact overlap.
 
 The join finds the components of the link graph without listing all pairs of a group:
  1. documents with equal sets are one class, represented by its smallest id;
@@ -28,10 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, pick, scratch, sized, text_chunks, written
+from tessera.llm.common import discard, partitions, pick, scratch, sized, text_chunks, written
 from tessera.llm.components import components
 from tessera.llm.words import mix, shingle_sets, words
 
@@ -43,6 +48,8 @@ STRETCH_TOKENS, STRETCH_COUNT = 2_000_000, 4
 LAST_TOKENS, LAST_COUNT = 100_000, 32
 #: Postings that a task of the index is to hold; members of a list that meet at once; partners of a document that meet at once.
 TASK_POSTINGS, LIST_CHUNK, PARTNERS = 2_000_000, 50_000, 256
+#: Cells of a shard as bits; shingles that a shard is to hold; rounds of the rarest-first filter.
+CELL_BITS, SHARD_TOKENS, ROUNDS = 24, 2_000_000, 2
 
 
 def prefix_length(n, part: int = 4, whole: int = 5):
@@ -88,6 +95,99 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, doc_id long, n long, c1 long, c2 long")
 
 
+def packed(values: np.ndarray) -> bytes:
+    """32-bit numbers as byte planes, compressed."""
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def with_partners(docs: DataFrame, k: int, part: int, whole: int, shards: int) -> DataFrame:
+    """Ids of the documents (doc_id, text) whose prefix under the rarest-first order isn't all their own.
+
+    Runs of documents send the cells of their shingles to the shards of the cells; shards return how many cells of each
+    document occur once. A cell that occurs twice in a run is sent once, so a shingle that all documents share is one
+    entry a run.
+    """
+    cells = 1 << CELL_BITS
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, sets, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column(1)):
+                hashes, _, starts = words(data, offsets)
+                sets += shingle_sets(hashes, starts, k)
+                ids.append(batch.column(0).slice(first, end - first).to_numpy())
+                size += len(hashes)
+                if size >= STRETCH_TOKENS:
+                    yield run_of(number, np.concatenate(ids), sets)
+                    number, ids, sets, size = number + 1, [], [], 0
+        if ids:
+            yield run_of(number, np.concatenate(ids), sets)
+
+    def run_of(number: int, ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        place = mix(np.concatenate(sets), 91) % np.uint64(shards * cells)
+        owner = np.repeat(np.arange(1, len(n) + 1), n)
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order].astype(np.int64), owner[order]
+        new = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        alone = np.diff(np.append(begin, len(place))) == 1
+        place, owner = place[begin], np.where(alone, owner[begin], 0)
+        shard = place // cells
+        cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(shard))
+        spans = list(zip(cut.tolist(), ends.tolist(), strict=True))
+        gaps = [packed(np.diff(place[a:b] - shard[a] * cells, prepend=0)) for a, b in spans]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([-1, *shard[cut].tolist()], pa.int32()),
+                pa.array([number] * (len(spans) + 1), pa.int64()),
+                pa.array([ids.astype("<i8").tobytes(), *gaps], pa.binary()),
+                pa.array([n.astype("<u4").tobytes(), *[packed(owner[a:b]) for a, b in spans]], pa.binary()),
+            ],
+            ["shard", "run", "x", "y"],
+        )
+
+    def count(group: pa.Table) -> pa.Table:
+        runs = group.column("run").to_pylist()
+        places = [np.cumsum(unpacked(x.as_py()), dtype=np.int64) for x in group.column("x")]
+        owners = [unpacked(y.as_py()) for y in group.column("y")]
+        flat = np.concatenate(places)
+        order = np.argsort(flat, kind="stable")
+        sorted_ = flat[order]
+        differs = np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])
+        alone = np.zeros(len(flat), dtype=bool)
+        alone[order] = differs[:-1] & differs[1:]
+        out, at = [], 0
+        for owner in owners:
+            mine = owner[alone[at : at + len(owner)]]
+            out.append(packed(np.bincount(mine[mine > 0] - 1) if (mine > 0).any() else np.zeros(0, np.int64)))
+            at += len(owner)
+        return pa.table({"run": pa.array(runs, pa.int64()), "x": pa.nulls(len(runs), pa.binary()), "y": pa.array(out, pa.binary())})
+
+    def settle(group: pa.Table) -> pa.Table:
+        kept = np.zeros(0, np.int64)
+        rows = list(zip(group.column("x").to_pylist(), group.column("y").to_pylist(), strict=True))
+        for ids, n in [(np.frombuffer(x, "<i8"), np.frombuffer(y, "<u4").astype(np.int64)) for x, y in rows if x is not None]:
+            own = np.zeros(len(ids), np.int64)
+            for _, y in (r for r in rows if r[0] is None):
+                some = unpacked(y)
+                own[: len(some)] += some
+            kept = ids[(n > 0) & (own < prefix_length(n, part, whole))]
+        return pa.table({"doc_id": pa.array(kept.astype(np.int64))})
+
+    sent = written(docs.mapInArrow(send, "shard int, run long, x binary, y binary"), "jaccard-cells")
+    back = sent.filter("shard >= 0").groupBy("shard").applyInArrow(count, "run long, x binary, y binary")
+    kept = written(sent.filter("shard < 0").select("run", "x", "y").unionByName(back).groupBy("run").applyInArrow(settle, "doc_id long"), "jaccard-kept")
+    discard(sent)
+    return kept
+
+
 def postings(docs: DataFrame, last: np.ndarray, counts: np.ndarray, k: int, part: int, whole: int, tasks: int) -> DataFrame:
     """Rows (task, tokens, ids, sizes): the prefix postings of a run of documents that go to one task of the index.
 
@@ -261,6 +361,9 @@ def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str =
     own = written(own, "jaccard-own")
     others = written(own.filter("rep <> doc_id").select("doc_id").distinct(), "jaccard-others")
     reps = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").join(sized(others), "doc_id", "left_anti")
+    shards = max(partitions(df), -(-total // SHARD_TOKENS))
+    for _ in range(ROUNDS):
+        reps = docs.join(sized(with_partners(reps, k, part, whole, shards)), "doc_id", "left_semi")
 
     frequent = seen.filter("kind = 1").groupBy(F.col("c1").alias("token")).agg(F.sum("n").alias("n")).filter(F.col("n") >= LAST_COUNT)
     top = frequent.orderBy(F.desc("n"), "token").limit(LAST_TOKENS).toArrow()
