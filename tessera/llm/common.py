@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +87,14 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         end = min(max(end, first + 1), rows)
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+
+
+def packed(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Whole numbers as byte planes, compressed."""
+    size = np.dtype(kind).itemsize
+    return zstandard.compress(np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, size).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)

@@ -31,12 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, partitions, pick, scratch, sized, text_chunks, written
+from tessera.llm.common import discard, packed, partitions, pick, scratch, sized, text_chunks, unpacked, written
 from tessera.llm.components import components
 from tessera.llm.words import mix, shingle_sets, words
 
@@ -95,16 +94,6 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, doc_id long, n long, c1 long, c2 long")
 
 
-def packed(values: np.ndarray) -> bytes:
-    """32-bit numbers as byte planes, compressed."""
-    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
-
-
 def with_partners(docs: DataFrame, k: int, part: int, whole: int, shards: int) -> DataFrame:
     """Ids of the documents (doc_id, text) whose prefix under the rarest-first order isn't all their own.
 

@@ -163,6 +163,12 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model.fit(x, [lang for lang, _ in got])
 
 
+def judged(text: str | None, model: Model | None) -> tuple[str, float]:
+    if model is None or not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    return model.predict(features(text))
+
+
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
 
@@ -171,17 +177,26 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             for first, end, _, _ in text_chunks(batch.column(2)):
                 langs, scores = [], []
                 for value in batch.column(2).slice(first, end - first):
-                    text = value.as_py() or ""
-                    if model is None or not (text[:200].isalpha() or any(map(str.isalpha, text))):
-                        langs.append("und")
-                        scores.append(0.0)
-                    else:
-                        lang, score = model.predict(features(text))
-                        langs.append(lang)
-                        scores.append(score)
+                    lang, score = judged(value.as_py(), model)
+                    langs.append(lang)
+                    scores.append(score)
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = pick(df, doc_id=id_col, text=text_col).select("doc_id", held_out_column().alias("held_out"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def accepted(df: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of df whose language is told with a score of `least` or more, with all their columns; `und` goes."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, _, _ in text_chunks(batch.column(at)):
+                part = batch.slice(first, end - first)
+                kept = [judged(value.as_py(), model)[1] >= least for value in part.column(at)]
+                yield part.filter(pa.array(kept))
+
+    return df.mapInArrow(run, df.schema)

@@ -33,6 +33,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.language_id import predict, train
 
