@@ -1,15 +1,58 @@
-"""A training-data pipeline of five corpus operators over `documents`."""
+"""A training-data pipeline of five corpus operators over `documents`.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
+last return the columns of `documents`; the last returns a row per text of the mix with its
+token count and digests.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tessera.llm import bpe, exact_dedup, jaccard_join, language_id, mixing
+from tessera.llm.common import table, written
+from tessera.llm.queries import tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language isn't told with a score of a half, go."""
+    return language_id.accepted(docs, language_id.train(docs))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    return exact_dedup.distinct(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link by word shingles, one stays: the one with the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per text of the mix: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe.encode_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("BPE", encode),
+]
+
+#: Tokenisation, shingle components and pivotal rounding are beyond SQL; tests hold the pipeline against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
