@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample; every row is then indexed under its leaf
 the tree with a priority queue ordered by its inner product with the centroids and visits
 leaves in that order. How many it visits is calibrated: for sample queries the true neighbours
 are found by brute force over all rows, and visits widen until their mean recall reaches the
-target. Queries and rows meet leaf by leaf, in chunks of bounded size on both sides.
+target. Queries and rows meet in bins of neighbouring leaves, of bounded size on both sides,
+and a query looks only at the leaves it visits.
 
 Nearness is the inner product in double precision; results are ordered by it, ties to the
 smaller id. Equal vectors are one entry that carries its smallest ids, as many as an answer
@@ -85,14 +86,15 @@ class Tree:
                     waiting.append((int(child), part))
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves, best bin first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, sizes: list[int] | None = None, need: int = 0) -> list[int]:
+        """The first leaves, best bin first; more of them until they hold as many rows as needed."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held < need):
             _, node = heapq.heappop(queue)
             own = self.children[node]
             if not len(own):
                 out.append(self.leaf[node])
+                held += sizes[out[-1]] if sizes else need
                 continue
             for value, child in zip((self.centroids[own] @ q).tolist(), own.tolist(), strict=True):
                 heapq.heappush(queue, (-value, child))
@@ -118,24 +120,35 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: list[list[int]], k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
-    """For each query its k nearest of the rows' ids: (query's number, (score, id) in order)."""
+def best(
+    queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: list[list[int]], k: int, leaf: np.ndarray | None = None, visited: list[list[int]] | None = None
+) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+    """For each query its k nearest of the rows' ids: (query's number, (score, id) in order). leaf, visited: the rows'
+    leaves and those that a query visits; others are left out."""
     least = np.array([i[0] for i in ids])
-    for at in range(0, len(queries), 256):
-        rough = queries[at : at + 256] @ rows.T
-        take = min(len(rows), k + 13)
-        top = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(rows) else np.tile(np.arange(len(rows)), (len(rough), 1))
+    take = min(len(rows), k + 13)
+    if leaf is not None:
+        present, leaf = np.unique(leaf, return_inverse=True)
+        place = {n: i for i, n in enumerate(present.tolist())}
+    for at in range(0, len(queries), 128):
+        rough = queries[at : at + 128] @ rows.T
+        if leaf is not None:
+            open_ = np.zeros((len(rough), len(present)), dtype=bool)
+            for i in range(len(rough)):
+                open_[i, [place[n] for n in visited[at + i] if n in place]] = True
+            rough[~open_[:, leaf]] = -np.inf
+        top = np.partition(rough, len(rows) - take, axis=1)[:, len(rows) - take]
         for i in range(len(rough)):
-            # all that tie with the last one taken are looked at too
-            edge = rough[i, top[i]].min() - 1e-9
-            chosen = np.flatnonzero(rough[i] >= edge) if take < len(rows) else top[i]
+            # all that come near the last one taken, or tie with it, are looked at exactly
+            edge = top[i] - 1e-9 if np.isfinite(top[i]) else -np.finfo(np.float64).max
+            chosen = np.flatnonzero(rough[i] >= edge)
             exact = (queries[at + i] * rows[chosen]).sum(axis=1)
             order = np.lexsort((least[chosen], -exact))[: k + 1]
             found = [(float(exact[j]), v) for j in order for v in ids[chosen[j]] if v != own[at + i]]
             yield at + i, sorted(found, key=lambda s: (-s[0], s[1]))[:k]
 
 
-def search(df: DataFrame, k: int = 20, recall: float = 0.97, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(df: DataFrame, k: int = 20, recall: float = 0.95, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per query and neighbour found: query_id, rank, vec_id, score. Queries: rows whose id is divisible by `every`."""
     spark = df.sparkSession
     kind = "query_id long, rank int, vec_id long, score double"
@@ -172,43 +185,51 @@ def search(df: DataFrame, k: int = 20, recall: float = 0.97, every: int = 20, id
         return spark.createDataFrame([], kind)
     most = calibrate(index, matrix(probes.column("v"), dim), probes.column("vec_id").to_numpy(), tree, dim, k, recall)
 
+    # leaves side by side share a bin of about ROW_CHUNK rows; a larger leaf is several bins. A row a leaf, at most
+    # SAMPLE / LEAF_SAMPLE of them
+    first, bins, sizes, at, held = [0] * len(tree.leaf), [1] * len(tree.leaf), [0] * len(tree.leaf), 0, 0
+    for leaf, n in sorted((r["leaf"], r["count"]) for r in index.groupBy("leaf").count().collect()):
+        if held and held + n > ROW_CHUNK:
+            at, held = at + 1, 0
+        first[leaf], bins[leaf], sizes[leaf] = at, -(-n // ROW_CHUNK), n
+        held += n
+        at, held = (at + bins[leaf], 0) if bins[leaf] > 1 else (at, held)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                leaves = [shared.value.visits(q, most) for q in matrix(part.column(1), dim)]
-                take = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in leaves]))
-                yield pa.RecordBatch.from_arrays([pa.array([i for x in leaves for i in x], pa.int32()), part.column(0).take(take), part.column(1).take(take)], ["leaf", "query_id", "q"])
-
-    routed = written(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(route, "leaf int, query_id long, q array<float>"), "ann-routed")
-    sizes = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ROW_CHUNK).cast("int").alias("row_chunks"))
-    loads = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("query_chunks"))
-    plan = F.broadcast(sizes.join(loads, "leaf"))  # a row a leaf
-    left = (
-        routed.join(plan, "leaf")
-        .withColumn("b", F.pmod(F.xxhash64("query_id"), F.col("query_chunks")).cast("int"))
-        .withColumn("a", F.explode(F.expr("sequence(0, row_chunks - 1)")))
-        .select("leaf", "a", "b", "query_id", "q")
-    )
-    right = (
-        index.join(plan, "leaf")
-        .withColumn("a", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("row_chunks")).cast("int"))
-        .withColumn("b", F.explode(F.expr("sequence(0, query_chunks - 1)")))
-        .select("leaf", "a", "b", "ids", "v")
-    )
-
-    def meet(asking: pa.Table, held: pa.Table) -> pa.Table:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                bin_, leaves, take = [], [], []
+                for i, q in enumerate(matrix(part.column(1), dim)):
+                    mine: dict[int, list[int]] = {}
+                    for leaf in shared.value.visits(q, most, sizes, k + 1):
+                        for b in range(first[leaf], first[leaf] + bins[leaf]):
+                            mine.setdefault(b, []).append(leaf)
+                    bin_ += mine.keys()
+                    leaves += mine.values()
+                    take += [i] * len(mine)
+                at = pa.array(take, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(bin_, pa.int32()), part.column(0).take(at), part.column(1).take(at), pa.array(leaves, pa.list_(pa.int32()))], ["bin", "query_id", "q", "leaves"])
+
+    routed = written(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(route, "bin int, query_id long, q array<float>, leaves array<int>"), "ann-routed")
+    loads = F.broadcast(routed.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("parts")))  # a row a bin
+    left = routed.join(loads, "bin").select("bin", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), "query_id", "q", "leaves")
+    plan = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(first, bins, strict=True))], "leaf int, first int, bins int"))
+    binned = index.join(plan, "leaf").withColumn("bin", (F.col("first") + F.pmod(F.xxhash64(F.col("ids")[0]), F.col("bins"))).cast("int"))
+    right = binned.join(loads, "bin").select("bin", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "leaf", "ids", "v")
+
+    def meet(asking: pa.Table, rows: pa.Table) -> pa.Table:
         q, v, s = [], [], []
-        if asking.num_rows and held.num_rows:
+        if asking.num_rows and rows.num_rows:
             own = asking.column("query_id").to_numpy()
-            for i, found in best(matrix(asking.column("q"), dim), own, matrix(held.column("v"), dim), held.column("ids").to_pylist(), k):
-                q += [int(own[i])] * len(found)
-                s += [x for x, _ in found]
-                v += [x for _, x in found]
+            found = best(matrix(asking.column("q"), dim), own, matrix(rows.column("v"), dim), rows.column("ids").to_pylist(), k, rows.column("leaf").to_numpy(), asking.column("leaves").to_pylist())
+            for i, near in found:
+                q += [int(own[i])] * len(near)
+                s += [x for x, _ in near]
+                v += [x for _, x in near]
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    keys = ["leaf", "a", "b"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = left.groupBy("bin", "part").cogroup(right.groupBy("bin", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
     place_of = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place_of).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
