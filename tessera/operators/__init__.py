@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Operators over frames of nodes, edges, vectors, candidates and events."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Queries: operators bound to the driver's tables, each with SQL that gives the same rows."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Where rows come from: adapters over relational tables, workspaces of files, manifests."""
