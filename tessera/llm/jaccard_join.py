@@ -14,10 +14,12 @@ The join finds the components of the link graph without listing all pairs of a g
  1. documents with equal sets are one class, represented by its smallest id;
  2. the classes that share a prefix token form a list; each list links its members to one of
     them, its hub, where verified;
- 3. lists whose members are in one component by then are done; in the others every pair
-    between different components is verified.
+ 3. lists whose members are in one component by then are done; the others link their members to
+    hubs chosen anew, and what is open after that is counted out: documents that still share a list
+    meet in blocks, in which exact overlaps between different components come from an inverted
+    index.
 No pair of a list is left out unless its two are connected already, so components are exact.
-Lists of very frequent tokens are cut in chunks, and chunks meet pairwise.
+Lists of very frequent tokens are cut in chunks for the first hubs; after that they are one again.
 
 Defined results: a null or empty text has an empty set, no links and its own id as component;
 a text of fewer words than a shingle is one shingle of all its words; rows that repeat an id
@@ -49,6 +51,10 @@ LAST_TOKENS, LAST_COUNT = 100_000, 32
 TASK_POSTINGS, LIST_CHUNK, PARTNERS = 2_000_000, 50_000, 256
 #: Cells of a shard as bits; shingles that a shard is to hold; rounds of the rarest-first filter.
 CELL_BITS, SHARD_TOKENS, ROUNDS = 24, 2_000_000, 2
+#: Times that open lists link their members to another hub before all their pairs are looked at.
+TURNS = 1
+#: Documents of a block when the rest is counted out.
+BLOCK_DOCS = 1024
 
 
 def prefix_length(n, part: int = 4, whole: int = 5):
@@ -264,20 +270,27 @@ def lists_of(index: DataFrame, part: int, whole: int) -> DataFrame:
     return index.groupBy("task").applyInArrow(run, "kind int, a long, b long, ids array<long>, sizes array<int>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
-    """Of the pairs (a, b) of ids those that link: prefixes under the filtering orders intersect, then the exact overlap decides."""
-    loads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
-    loads = written(loads, "jaccard-loads")
-    asked = written(pairs.select(F.col("b").alias("doc_id")).union(loads.select("a")).distinct(), "jaccard-asked")
+def sets_of(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(doc_id, s): the sorted shingles of the documents asked for."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(1)):
                 hashes, _, starts = words(data, offsets)
                 found = [s.tobytes() for s in shingle_sets(hashes, starts, k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(found, pa.binary())], ["doc_id", "s"])
 
-    chosen = written(docs.join(sized(asked), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, s binary"), "jaccard-sets").dropDuplicates(["doc_id"])
+    rows = docs.join(sized(asked), "doc_id", "left_semi").select("doc_id", "text")
+    return written(rows.mapInArrow(run, "doc_id long, s binary"), "jaccard-sets").dropDuplicates(["doc_id"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
+    """Of the pairs (a, b) of ids those that link: prefixes under the filtering orders intersect, then the exact overlap decides."""
+    loads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
+    loads = written(loads, "jaccard-loads")
+    asked = written(pairs.select(F.col("b").alias("doc_id")).union(loads.select("a")).distinct(), "jaccard-asked")
+
+    chosen = sets_of(docs, asked, k)
     left = pairs.join(sized(loads), "a").join(chosen, pairs["b"] == chosen["doc_id"]).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.col("s").alias("member"))
     hubs = chosen.join(sized(loads.withColumnRenamed("a", "doc_id")), "doc_id").select(F.col("doc_id").alias("a"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("s").alias("hub"))
 
@@ -303,37 +316,87 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -
     return left.groupBy("a", "part").cogroup(hubs.groupBy("a", "part")).applyInArrow(meet, "a long, b long")
 
 
-def across(lists: DataFrame, labels: DataFrame, part: int, whole: int) -> DataFrame:
-    """Pairs (a, b) of members of one list that are in different components and of sizes that can link."""
-    cut = lists.groupBy("a").agg(F.max("b").alias("most")).filter("most > 0").withColumnRenamed("a", "key")
-    members = lists.select(F.col("a").alias("key"), F.col("b").cast("int").alias("chunk"), F.explode(F.arrays_zip("ids", "sizes")).alias("x")).select("key", "chunk", F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n"))
+def open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the lists that are more than one component, with their components."""
     known = members.join(labels, members["doc_id"] == labels["id"], "left").select("key", "chunk", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     known = written(known, "jaccard-members")
-    # a list that is one component by now is done
-    open_keys = written(known.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("key"), "jaccard-open")
-    still = known.join(sized(open_keys), "key").join(sized(written(cut, "jaccard-cut")), "key", "left").withColumn("most", F.coalesce("most", F.lit(0)))
-    meeting = still.withColumn("other", F.explode(F.expr("sequence(0, CAST(most AS INT))"))).select(
-        "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc_id", "n", "component"
-    )
+    keys = written(known.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("key"), "jaccard-open")
+    return known.join(sized(keys), "key")
+
+
+def to_hubs(still: DataFrame, turn: int, part: int, whole: int) -> DataFrame:
+    """Pairs (a, b) of each list's hub of this turn and the members of other components; as many at most as there are members."""
+    hubs = still.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.xxhash64("doc_id", F.lit(turn))).alias("hub"))
+    met = still.join(hubs, "key").filter("component <> hub.component").filter(F.lit(whole) * F.least("n", "hub.n") >= F.lit(part) * F.greatest("n", "hub.n"))
+    return met.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
+
+
+def blocks_of(still: DataFrame) -> DataFrame:
+    """Members of open lists, once each, as (doc_id, component, cluster, block): whatever shares a list shares a cluster.
+
+    A large component fills blocks of its own; the others of a cluster share blocks.
+    """
+    hubs = still.groupBy("key").agg(F.min("doc_id").alias("hub"))
+    clusters = written(components(still.join(hubs, "key").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))), "jaccard-clusters")
+    docs = still.groupBy("doc_id").agg(F.min("component").alias("component")).join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    docs = written(docs, "jaccard-open-docs")
+    large = written(docs.groupBy("cluster", F.col("component")).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= BLOCK_DOCS), "jaccard-large")
+    told = docs.join(sized(large), ["cluster", "component"], "left")
+    rest = written(told.filter("m IS NULL").groupBy("cluster").agg(F.count(F.lit(1)).alias("small")), "jaccard-small")
+    parts = F.ceil(F.coalesce("m", "small") / BLOCK_DOCS)
+    block = F.concat_ws("/", F.when(F.col("m").isNotNull(), F.col("component").cast("string")).otherwise(F.lit("")), F.pmod(F.xxhash64("doc_id"), parts).cast("string"))
+    return told.join(sized(rest), "cluster", "left").select("doc_id", "component", "cluster", block.alias("block"), F.col("m").isNotNull().alias("pure"))
+
+
+def across(still: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
+    """Links (a, b) between different components of each cluster of open lists, enough of them to join what links.
+
+    Blocks of a cluster meet pairwise, but for two of one component. Within a pair exact overlaps are counted from an
+    inverted index of the blocks' shingles, a document at a time, so no pairs of documents are emitted.
+    """
+    placed = written(blocks_of(still), "jaccard-placed")
+    blocks = placed.select("cluster", "block", "pure", F.when(F.col("pure"), F.col("component")).alias("one")).distinct()
+    x, y = (blocks.select("cluster", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "pure", "one")]) for side in "xy")
+    meeting = x.join(y, "cluster").filter("block_x <= block_y AND NOT (pure_x AND pure_y AND one_x <=> one_y)").select("cluster", "block_x", "block_y")
+    meeting = written(meeting, "jaccard-meeting")  # a few rows a cluster: its blocks by two
+    sides = meeting.select("cluster", "block_x", "block_y", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"))
+    rows = placed.join(sized(sides), ["cluster", "block"]).select("block_x", "block_y", "cluster", "doc_id", "component", (F.col("block") == F.col("block_x")).alias("first"))
+    sets = sets_of(docs, written(placed.select("doc_id").distinct(), "jaccard-asked"), k)
 
     def run(group: pa.Table) -> pa.Table:
-        n, doc, comp, chunk = (group.column(x).to_numpy() for x in ("n", "doc_id", "component", "chunk"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        order = np.argsort(n, kind="stable")
-        n, doc, comp, chunk = n[order].astype(np.int64), doc[order], comp[order], chunk[order]
-        found = []
-        reach = np.searchsorted(n, (n * whole) // part, side="right")
-        for x in range(len(n)):
-            y = np.arange(x + 1, reach[x])
-            y = y[comp[y] != comp[x]]
-            if i != j:
-                y = y[chunk[y] != chunk[x]]
-            if len(y):
-                found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    return meeting.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        doc, comp, first = (group.column(c).to_numpy() for c in ("doc_id", "component", "first"))
+        held = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in group.column("s")]
+        one = group.column("block_x")[0].as_py() == group.column("block_y")[0].as_py()
+        n = np.array([len(s) for s in held], dtype=np.int64)
+        found, token = np.unique(np.concatenate(held), return_inverse=True)
+        owner = np.repeat(np.arange(len(held)), n)
+        order = np.argsort(token, kind="stable")
+        begin = np.searchsorted(token[order], np.arange(len(found) + 1))
+        owner, begin = owner[order], begin.tolist()
+        token, ends = token.tolist(), np.cumsum(n).tolist()
+        root = {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        asking = range(len(held)) if one else np.flatnonzero(first == (first.sum() * 2 <= len(first))).tolist()
+        a, b = [], []
+        for i in asking:
+            near = np.concatenate([owner[begin[t] : begin[t + 1]] for t in token[ends[i] - n[i] : ends[i]] if begin[t + 1] - begin[t] > 1] or [owner[:0]])
+            both = np.bincount(near, minlength=len(held))
+            linked = np.flatnonzero((whole * both >= part * (n[i] + n - both)) & (comp != comp[i]))
+            for j in linked.tolist():
+                p, q = top(int(comp[i])), top(int(comp[j]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    a.append(int(doc[i]))
+                    b.append(int(doc[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.join(sets, "doc_id").groupBy("cluster", "block_x", "block_y").applyInArrow(run, "a long, b long")
 
 
 def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,14 +427,22 @@ def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str =
 
     pairs = written(found.filter("kind = 0").select("a", "b").distinct(), "jaccard-pairs")
     links = written(verified(pairs, reps, k, part, whole), "jaccard-links")
-    labels = written(components(links), "jaccard-labels")
     lists = found.filter("kind = 1").select("a", "b", "ids", "sizes").dropDuplicates(["a", "b"])
-    rest = written(across(lists, labels, part, whole), "jaccard-rest")
-    if not rest.isEmpty():
-        more = verified(rest, reps, k, part, whole)
-        final = written(components(links.union(more)), "jaccard-final")
-    else:
-        final = labels
+    members = lists.select(F.col("a").alias("key"), F.col("b").cast("int").alias("chunk"), F.explode(F.arrays_zip("ids", "sizes")).alias("x"))
+    members = written(members.select("key", "chunk", F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n")), "jaccard-postings")
+    labels = written(components(links), "jaccard-labels")
+    for turn in range(TURNS + 1):
+        still = written(open_lists(members, labels), "jaccard-still")
+        if still.isEmpty():
+            break
+        # hubs of other turns join most of what is one component; then all that is left is counted out
+        if turn < TURNS:
+            more = verified(written(to_hubs(still, turn, part, whole), "jaccard-pairs"), reps, k, part, whole)
+        else:
+            more = across(still, reps, k, part, whole)
+        links = links.union(written(more, "jaccard-links"))
+        labels = written(components(links), "jaccard-labels")
+    final = labels
     return own.join(final, own["rep"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
