@@ -8,7 +8,7 @@ import struct
 import numpy as np
 
 _HEAD = struct.Struct("<QQQQ")
-#: Bits of a successor's hash that a context keeps; quantised log10 probabilities run from -LOWEST to 0.
+#: Bits of a successor's number, below its context's rank; quantised log10 probabilities run from -LOWEST to 0.
 SUCCESSOR_BITS, LOWEST = 40, 16.0
 STEPS = (1 << 16) - 1
 
@@ -111,9 +111,9 @@ class Trie:
 
     @staticmethod
     def encode(contexts: np.ndarray, counts: np.ndarray, successors: np.ndarray, logs: np.ndarray) -> bytes:
-        """contexts: sorted, distinct hashes; counts: their successors; successors: hashes, sorted within a context."""
+        """contexts: sorted, distinct numbers; counts: their successors; successors: numbers, sorted within a context."""
         rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), counts)
-        relative = (rank << np.uint64(SUCCESSOR_BITS)) | (successors >> np.uint64(64 - SUCCESSOR_BITS))
+        relative = (rank << np.uint64(SUCCESSOR_BITS)) | successors
         pointers = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64)
         parts = [EliasFano.encode(contexts), EliasFano.encode(pointers), EliasFano.encode(relative), quantised(logs).tobytes()]
         return struct.pack("<4Q", *map(len, parts)) + b"".join(parts)
@@ -134,7 +134,7 @@ class Trie:
         rank = self.contexts.find(contexts)
         known = np.flatnonzero(rank >= 0)
         out = np.full(len(words), np.nan)
-        relative = (rank[known].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | (words[known] >> np.uint64(64 - SUCCESSOR_BITS))
+        relative = (rank[known].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | words[known]
         at = self.successors.find(relative)
         hit = at >= 0
         out[known[hit]] = restored(self.steps[at[hit]])

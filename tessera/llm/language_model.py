@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, packed, partitions, pick, text_chunks, unpacked, written
+from tessera.llm.common import packed, partitions, pick, text_chunks, unpacked, written
 from tessera.llm.elias_fano import STEPS, Trie, quantised, restored
 from tessera.llm.words import mix, words
 
@@ -107,9 +107,9 @@ def by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, tuple[np.ndar
     return order, (shard[begin], begin)
 
 
-def merge_words(group: pa.Table) -> pa.Table:
+def merge_words(group: pa.Table, shards: int) -> pa.Table:
     """Of each run's words of this shard, in the run's order, twice the corpus count, plus one if other runs have the word
-    too; and, as run -1, the distinct words and tokens."""
+    too (a), and the word's number in the corpus (b); and, as run -1, the distinct words and tokens."""
     runs, shard = group.column("run").to_pylist(), group.column("shard")[0].as_py()
     parts = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("a")]
     local = np.concatenate([unpacked(x.as_py(), "<u8") for x in group.column("b")])
@@ -119,9 +119,14 @@ def merge_words(group: pa.Table) -> pa.Table:
     real = found != START
     several = np.bincount(place, minlength=len(found)) > 1
     told = total * np.uint64(2) + several.astype(np.uint64)
-    counts, at = [], 0
+    # the words' numbers: frequent ones get small numbers, which pack well
+    order = np.lexsort((found, -total.astype(np.int64)))
+    code = np.empty(len(found), dtype=np.int64)
+    code[order] = np.arange(len(found)) * shards + shard
+    counts, codes, at = [], [], 0
     for p in parts:
         counts.append(packed(told[place[at : at + len(p)]], "<u8"))
+        codes.append(packed(code[place[at : at + len(p)]], "<u8"))
         at += len(p)
     n = len(runs)
     return pa.table(
@@ -130,7 +135,7 @@ def merge_words(group: pa.Table) -> pa.Table:
             "run": pa.array([*runs, -1], pa.int64()),
             "shard": pa.array([shard] * (n + 1), pa.int32()),
             "a": pa.array([*counts, None], pa.binary()),
-            "b": pa.nulls(n + 1, pa.binary()),
+            "b": pa.array([*codes, None], pa.binary()),
             "v": pa.array([0] * n + [int((real & (total > 0)).sum())], pa.int64()),
             "n": pa.array([0] * n + [int(total[real].sum())], pa.int64()),
         }
@@ -148,11 +153,12 @@ class Run:
         self.vocab = np.frombuffer(row["d"], np.uint64)
         self.token = unpacked(row["e"]).astype(np.int64)
         size = len(self.vocab)
-        self.count = np.zeros(size, dtype=np.int64)
-        got = {r["shard"]: r["a"] for r in back.to_pylist() if r["kind"] == 1}
+        self.count, self.code = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        got = {r["shard"]: (r["a"], r["b"]) for r in back.to_pylist() if r["kind"] == 1}
         by, (present, begin) = by_shard(self.vocab, shards)
         for s, part in zip(present.tolist(), np.split(by, begin[1:]), strict=True):
-            self.count[part] = unpacked(got[s], "<u8").astype(np.int64)
+            self.count[part] = unpacked(got[s][0], "<u8").astype(np.int64)
+            self.code[part] = unpacked(got[s][1], "<u8").astype(np.int64)
         alone = self.count % 2 == 0
         self.count //= 2
         train = np.repeat(~self.held, self.length)
@@ -162,24 +168,23 @@ class Run:
         keys, self.bigram = np.unique(before * size + self.token, return_inverse=True)
         self.n = np.bincount(self.bigram[train], minlength=len(keys))
         self.context, self.word = keys // size, keys % size
-        self.known = alone[self.context] | alone[self.word]
+        self.known = alone[self.context] | alone[self.word] | (self.count[self.context] == 0) | (self.count[self.word] == 0)
         #: distinct trained words after a context among the bigrams that only this run has
         self.own = np.bincount(self.context[self.known & (self.n > 0)], minlength=size)
         self.alone = alone
         # what is asked: contexts not known alone, each in its first shard and those that its words spread to
         self.spread = 1 + self.count // HOT
         asked = np.flatnonzero(~self.known)
-        sub = (self.vocab[self.word[asked]] >> np.uint64(7)).astype(np.uint64) % self.spread[self.context[asked]].astype(np.uint64)
-        shard = self.shard_of(self.context[asked], sub.astype(np.int64))
-        order = np.lexsort((self.vocab[self.word[asked]], self.vocab[self.context[asked]], shard))
+        shard = self.shard_of(self.context[asked], self.code[self.word[asked]] // shards % self.spread[self.context[asked]])
+        order = np.lexsort((self.code[self.word[asked]], self.code[self.context[asked]], shard))
         self.asked, self.asked_shard = asked[order], shard[order]
         seen = np.flatnonzero(np.bincount(self.context, minlength=size) > 0)
-        seen = seen[~alone[seen]]
+        seen = seen[~alone[seen] & (self.count[seen] > 0)]
         repeat = self.spread[seen]
         self.places = np.repeat(seen, repeat)
         subs = np.arange(len(self.places)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
         shard = self.shard_of(self.places, subs)
-        order = np.lexsort((self.vocab[self.places], shard))
+        order = np.lexsort((self.code[self.places], shard))
         self.places, self.first, self.places_shard = self.places[order], (subs == 0)[order], shard[order]
 
     def shard_of(self, context: np.ndarray, sub: np.ndarray) -> np.ndarray:
@@ -187,20 +192,15 @@ class Run:
 
     def messages(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes, bytes]]:
         """By shard: contexts, their corpus counts, their distinct words known here alone, how many bigrams follow, words, counts."""
-        for s in np.unique(np.concatenate([self.places_shard, self.asked_shard])).tolist():
+        asked_key, place_key = self.code[self.context[self.asked]], self.code[self.places]
+        for s in np.unique(self.places_shard).tolist():
             a, b = np.searchsorted(self.places_shard, [s, s + 1])
             c, d = np.searchsorted(self.asked_shard, [s, s + 1])
             places, asked = self.places[a:b], self.asked[c:d]
-            each = np.zeros(len(self.vocab), dtype=np.int64) if len(asked) > len(self.vocab) else None
-            if each is None:
-                value, times = np.unique(self.context[asked], return_counts=True)
-                each = dict(zip(value.tolist(), times.tolist(), strict=True))
-                follow = np.array([each.get(p, 0) for p in places.tolist()], dtype=np.int64)
-            else:
-                follow = np.bincount(self.context[asked], minlength=len(self.vocab))[places]
+            follow = np.searchsorted(asked_key[c:d], place_key[a:b], side="right") - np.searchsorted(asked_key[c:d], place_key[a:b])
             yield (
-                s, self.vocab[places].tobytes(), packed(self.count[places], "<u8"), packed(np.where(self.first[a:b], self.own[places], 0)),
-                packed(follow), self.vocab[self.word[asked]].tobytes(), packed(self.n[asked]),
+                s, packed(self.code[places], "<u8"), packed(self.count[places], "<u8"), packed(np.where(self.first[a:b], self.own[places], 0)),
+                packed(follow), packed(self.code[self.word[asked]], "<u8"), packed(self.n[asked]),
             )
 
     def score(self, back: pa.Table, tokens: int, distinct: int, discount: float) -> pa.RecordBatch:
@@ -264,7 +264,7 @@ def score(df: DataFrame, folds: int = 7, fold: int = 2, discount: float = DISCOU
     shards = max(partitions(df), -(-size // SHARD_TOKENS))
     first = written(runs_of(docs, shards, folds, fold), "lm-runs")
     runs = first.filter("kind = 0").select("run", "a", "b", "c", "d", "e")
-    counted = written(first.filter("kind = 1").select("run", "shard", "a", "b").groupBy("shard").applyInArrow(merge_words, "kind int, run long, shard int, a binary, b binary, v long, n long"), "lm-words")
+    counted = written(first.filter("kind = 1").select("run", "shard", "a", "b").groupBy("shard").applyInArrow(lambda group: merge_words(group, shards), "kind int, run long, shard int, a binary, b binary, v long, n long"), "lm-words")
     sums = counted.filter("run = -1").agg(F.sum("v"), F.sum("n")).first()
     distinct, tokens = sums[0] or 0, sums[1] or 0
     back = counted.filter("run >= 0").select("kind", "run", "shard", "a", "b")
@@ -276,13 +276,13 @@ def score(df: DataFrame, folds: int = 7, fold: int = 2, discount: float = DISCOU
         columns = list(zip(*rows, strict=True)) or [()] * 8
         return pa.table({"run": pa.array(columns[0], pa.int64()), "shard": pa.array(columns[1], pa.int32())} | {x: pa.array(columns[2 + i], pa.binary()) for i, x in enumerate("abcdef")})
 
-    asked = written(runs.groupBy("run").cogroup(back.groupBy("run")).applyInArrow(ask, "run long, shard int, a binary, b binary, c binary, d binary, e binary, f binary"), "lm-bigrams")
+    asked = runs.groupBy("run").cogroup(back.groupBy("run")).applyInArrow(ask, "run long, shard int, a binary, b binary, c binary, d binary, e binary, f binary")
 
     def answer(group: pa.Table) -> pa.Table:
         runs_, shard = group.column("run").to_pylist(), group.column("shard")[0].as_py()
         take = lambda name, kind: [unpacked(x.as_py(), kind).astype(np.int64) for x in group.column(name)]
-        contexts = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("a")]
-        successors = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("e")]
+        contexts = [unpacked(x.as_py(), "<u8") for x in group.column("a")]
+        successors = [unpacked(x.as_py(), "<u8") for x in group.column("e")]
         counts, own, follow, n = take("b", "<u8"), take("c", "<u4"), take("d", "<u4"), take("f", "<u4")
         start = np.cumsum([0, *map(len, contexts)])
         of = np.concatenate([np.repeat(np.arange(a, a + len(f)), f) for a, f in zip(start, follow, strict=False)])
@@ -296,7 +296,6 @@ def score(df: DataFrame, folds: int = 7, fold: int = 2, discount: float = DISCOU
         return pa.table({"kind": pa.array([2] * k, pa.int32()), "run": pa.array(runs_, pa.int64()), "shard": pa.array([shard] * k, pa.int32()), "a": pa.array(afters, pa.binary()), "b": pa.array(steps, pa.binary())})
 
     answers = written(asked.groupBy("shard").applyInArrow(answer, "kind int, run long, shard int, a binary, b binary"), "lm-answers")
-    discard(asked)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.concat_tables([Run(row, right, shards).score(right, tokens, distinct, discount) for row in left.to_pylist()] or [empty])
