@@ -1 +1,211 @@
-"""Queries."""
+"""Queries of text and path scalars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.catalogue import query
+from tessera.functions import paths as P
+from tessera.functions import text as T
+from tessera.sources.tables import table
+
+SPACE = "\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+PUNCT = "!-/:-@\\[-`{-~"
+COUNT = f"""greatest(len(regexp_extract_all(text, '[^{SPACE}{PUNCT}]+')) + len(regexp_extract_all(text, '[{PUNCT}]')) + length(text) - length(replace(text, chr(10), '')), CAST(ceil(strlen(text) / 4.0) AS BIGINT))"""
+PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+PART = "replace(p_name, ' ', '_')"
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+@query(f"SELECT doc_id, CAST({COUNT} AS BIGINT) AS tokens FROM documents")
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", T.token_count("text").alias("tokens"))
+
+
+@query(f"WITH c AS (SELECT conv_id, turn, CAST({COUNT} AS BIGINT) AS n FROM conversations) SELECT b.conv_id, b.turn, b.n - a.n AS diff FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each turn less those of the turn before."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.token_count("text").alias("n"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("n").alias("was"))
+    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", (F.col("n") - F.col("was")).alias("diff"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g')), '[_\\-/\\\\.:]+'), lambda t: length(t) > 1), ',') AS tokens
+FROM (SELECT p_partkey, p_name || 'HTTPServer.get' || p_brand || '/x' AS x FROM part)""")
+def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("p_name", F.lit("HTTPServer.get"), "p_brand", F.lit("/x"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.identifier_tokens(name), ",").alias("tokens"))
+
+
+@query(f"SELECT p_partkey, round(CASE WHEN lower({PART}) = 'widget' THEN 1.0 WHEN NOT contains(lower({PART}), 'widget') THEN 0.0 ELSE greatest(0.12, least(1.0, sqrt(6.0 / strlen({PART})))) END, 6) AS specificity FROM part")
+def name_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(T.specificity(F.lit("widget"), F.replace("p_name", F.lit(" "), F.lit("_"))), 6).alias("specificity"))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)
+SELECT word, array_to_string(list_distinct_ordered, ',') AS variants FROM (SELECT word, list_filter([word,
+  CASE WHEN word LIKE '%ing' AND length(word) >= 6 THEN left(word, length(word) - 3) END, CASE WHEN word LIKE '%ing' AND length(word) >= 6 THEN left(word, length(word) - 3) || 'e' END,
+  CASE WHEN word LIKE '%ation' AND length(word) >= 8 THEN left(word, length(word) - 5) END, CASE WHEN word LIKE '%ation' AND length(word) >= 8 THEN left(word, length(word) - 5) || 'ate' END,
+  CASE WHEN word LIKE '%tion' AND length(word) >= 7 THEN left(word, length(word) - 4) || 't' END], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM w)""")
+def stem_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("word")).distinct()
+    return words.select("word", F.array_join(T.stem_variants("word"), ",").alias("variants"))
+
+
+@query("SELECT c_custkey, lower(regexp_replace('getCustomerOf' || c_mktsegment, '(.)([A-Z])', '\\1_\\2', 'g')) AS loose, length(c_mktsegment) AS n FROM customer WHERE false")
+def snake_case_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty table stays empty."""
+    return table(spark, sf_dir, "customer").filter("false").select("c_custkey", T.snake_case(F.concat(F.lit("getCustomerOf"), "c_mktsegment")).alias("loose"), F.length("c_mktsegment").cast("long").alias("n"))
+
+
+@query("SELECT n_nationkey, 'get_' || regexp_replace(lower(n_name), '[^a-z]', '', 'g') || '_by' AS snake FROM nation")
+def snake_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.regexp_replace(F.lower("n_name"), "[^a-z]", "")
+    camel = F.concat(F.lit("get"), F.initcap(plain), F.lit("By"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", T.snake_case(camel).alias("snake"))
+
+
+@query(f"""SELECT p_partkey, split_part({PART}, '_', 1) || array_to_string(list_transform(string_split({PART}, '_')[2:], lambda w: upper(left(w, 1)) || substr(w, 2)), '') AS camel,
+array_to_string(list_transform(string_split({PART}, '_'), lambda w: upper(left(w, 1)) || substr(w, 2)), '') AS pascal FROM part""")
+def case_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.camel_case(name).alias("camel"), T.pascal_case(name).alias("pascal"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{0600}-\\x{06FF}]') THEN 'arabic' WHEN regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') THEN 'han' WHEN regexp_matches(text, '[\\x{0400}-\\x{04FF}]') THEN 'cyrillic' WHEN regexp_matches(text, '[\\x{00C0}-\\x{024F}]') THEN 'latin_extended' ELSE 'latin' END AS script FROM documents""")
+def script_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", T.script("text").alias("script"))
+
+
+@query("""SELECT doc_id, len(list_intersect(list_distinct(string_split_regex(lower(text), '[^a-z]+')), ['the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was', 'not'])) >= 2 AS english FROM documents""")
+def english_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", T.english_likeness("text").alias("english"))
+
+
+INTENTS = (("bugfix", "error|fix|bug"), ("refactor", "refactor|rename"), ("test", "test"), ("style", "style|css|color"), ("docs", "doc|readme"))
+
+
+@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{r}') THEN '{n}'" for n, r in INTENTS) + " ELSE 'feature' END AS intent FROM conversations WHERE role = 'user'")
+def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.lit("feature")
+    for name, rule in reversed(INTENTS):
+        chosen = F.when(F.lower("text").rlike(rule), name).otherwise(chosen)
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", chosen.alias("intent"))
+
+
+@query("""SELECT item_id, regexp_matches(lower(text), 'style|css|scss|color|theme') AS style, regexp_matches(lower(text), 'delete|drop|security|payment') AS critical, regexp_matches(text, '[a-z]+_[a-z]+|[a-z]+[A-Z][a-z]+') AS anchored,
+CASE WHEN regexp_matches(text, '[a-z]+_[a-z]+|[a-z]+[A-Z][a-z]+') THEN 0.94 ELSE 0.62 END AS confidence FROM benchmark""")
+def task_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, anchored = F.lower("text"), F.col("text").rlike("[a-z]+_[a-z]+|[a-z]+[A-Z][a-z]+")
+    return table(spark, sf_dir, "benchmark").select(
+        "item_id", low.rlike("style|css|scss|color|theme").alias("style"), low.rlike("delete|drop|security|payment").alias("critical"), anchored.alias("anchored"), F.when(anchored, 0.94).otherwise(0.62).alias("confidence")
+    )
+
+
+@query("""SELECT doc_id, array_to_string(list_distinct_in_order, '|') AS hints FROM (SELECT doc_id, list_filter(h, lambda x, i: list_position(h, x) = i) AS list_distinct_in_order FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+|\\b[A-Za-z0-9_]+@[A-Za-z0-9.]+') AS h FROM documents))""")
+def prompt_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses named in a text, each once, in order."""
+    found = F.regexp_extract_all("text", F.lit(r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\b[A-Za-z0-9_]+@[A-Za-z0-9.]+)"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(F.array_distinct(found), "|").alias("hints"))
+
+
+@query("""SELECT item_id, CAST(len(c) AS INT) AS clauses, trim(c[1]) AS first FROM (SELECT item_id, string_split_regex(lower(text), ' and how | including | as well as | and also |\\. ') AS c FROM benchmark)""")
+def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split(F.lower("text"), r" and how | including | as well as | and also |\. ")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.size(parts).alias("clauses"), F.trim(parts[0]).alias("first"))
+
+
+@query("""SELECT item_id, array_to_string(list_transform(list_slice(list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda w: length(w) > 3), lambda w: {'n': -length(w), 'w': w})), 1, 4), lambda s: s.w), ',') AS nouns FROM benchmark""")
+def cluster_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four longest words."""
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))), lambda w: F.length(w) > 3)
+    ranked = F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(ranked, 1, 4)["w"], ",").alias("nouns"))
+
+
+ALIASES = (("greeting", "the|and"), ("place", "der|die"), ("time", "les|des"), ("thing", "los|las"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '\\b({r})\\b') THEN '{n}' END" for n, r in ALIASES) + "], lambda x: x IS NOT NULL), ',') AS concepts FROM documents")
+def alias_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.array_compact(F.array(*[F.when(F.lower("text").rlike(rf"\b({r})\b"), n) for n, r in ALIASES]))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(found, ",").alias("concepts"))
+
+
+LANGS = "CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{e}' THEN '{n}'" for n, ends in P.LANGUAGES.items() for e in ends) + " END"
+
+
+@query(f"SELECT page_id, {LANGS} AS language FROM (SELECT page_id, {PATH} AS path FROM pages)")
+def language_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", P.language(T.url_path("url")).alias("language"))
+
+
+@query(f"""SELECT page_id, list_has_any(list_slice(s, 1, -2), ['node_modules', 'target', 'dist', 'build', 'out', 'vendor', 'bin', 'obj', 'tmp', 'logs', 'coverage']) AS ignored, list_has_any(s, ['test', 'tests']) AS test_like, CAST(len(s) AS INT) AS depth FROM (SELECT page_id, string_split(lower({PATH}), '/') AS s FROM pages)""")
+def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = T.url_path("url")
+    return table(spark, sf_dir, "pages").select("page_id", P.ignored(path).alias("ignored"), P.test_like(path).alias("test_like"), F.size(P.segments(path)).alias("depth"))
+
+
+@query(f"""SELECT page_id, CASE WHEN x LIKE 'apps/%' THEN split_part(x, '/', 2) ELSE split_part(x, '/', 1) END AS slug, CASE WHEN x LIKE 'apps/%' THEN 'apps/' || split_part(x, '/', 2) END AS app
+FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'apps/' ELSE '' END || ltrim({PATH}, '/') AS x FROM pages)""")
+def package_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.when(F.col("page_id") % 2 == 0, "apps/").otherwise(""), F.ltrim(T.url_path("url"), F.lit("/")))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("x")).select("page_id", P.package_slug("x").alias("slug"), P.app_prefix("x").alias("app"))
+
+
+@query(f"""SELECT page_id, contains(f, 'en/1') OR contains(f, '1') AND length('1') > 2 AS hit FROM (SELECT page_id, lower(replace({PATH}, '-', '_')) AS f FROM pages)""")
+def path_hint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", P.hint_match(T.url_path("url"), F.lit("en/1")).alias("hit"))
+
+
+@query("""WITH h AS (SELECT doc_id, sha256(text) AS hash FROM documents) SELECT hash, count(*) AS n, min(doc_id) AS first_id FROM h GROUP BY hash HAVING count(*) > 1""")
+def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("hash"))
+    return hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+@query("""WITH known AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 3 <> 0), now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 7 <> 0)
+SELECT coalesce(now.doc_id, known.doc_id) AS doc_id, CASE WHEN known.doc_id IS NULL THEN 'created' WHEN now.doc_id IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM now FULL JOIN known USING (doc_id) WHERE now.n_chars IS DISTINCT FROM known.n_chars""")
+def incremental_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints known before against those now: what was created, modified or deleted."""
+    all_docs = docs(spark, sf_dir).select("doc_id", "n_chars")
+    known = all_docs.filter("doc_id % 3 <> 0").withColumnRenamed("n_chars", "was")
+    now = all_docs.filter("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("is"))
+    both = now.join(known, "doc_id", "full").filter(~F.col("is").eqNullSafe(F.col("was")))
+    return both.select("doc_id", F.when(F.col("was").isNull(), "created").when(F.col("is").isNull(), "deleted").otherwise("modified").alias("change"))
+
+
+@query("SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 50 = 1)")
+def prune_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose path isn't present any more."""
+    present = docs(spark, sf_dir).filter("doc_id % 50 = 1").select("source").distinct()
+    return docs(spark, sf_dir).join(present, "source", "left_anti").select("doc_id")
+
+
+@query("SELECT source, count(*) AS n_foreign FROM documents WHERE substr(sha256(lang), 1, 16) <> substr(sha256('en'), 1, 16) GROUP BY source")
+def foreign_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of another project than the current one; a project's id is the first 16 digits of its root's hash."""
+    project = F.substring(F.sha2("lang", 256), 1, 16)
+    return docs(spark, sf_dir).filter(project != F.substring(F.sha2(F.lit("en"), 256), 1, 16)).groupBy("source").agg(F.count(F.lit(1)).alias("n_foreign"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE turn IN (0, 2))
+SELECT conv_id, count(*) FILTER (WHERE turn = 0) AS removed, count(*) FILTER (WHERE turn = 2) AS added FROM l a
+WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.conv_id = a.conv_id AND b.turn = 2 - a.turn AND b.line = a.line) GROUP BY conv_id""")
+def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one version that the other lacks, both ways; repeats count each."""
+    turns = table(spark, sf_dir, "conversations").filter("turn IN (0, 2)")
+    lines = turns.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    other = lines.select("conv_id", (2 - F.col("turn")).alias("turn"), "line").distinct()
+    lone = lines.join(other, ["conv_id", "turn", "line"], "left_anti")
+    return lone.groupBy("conv_id").agg(F.count_if(F.col("turn") == 0).alias("removed"), F.count_if(F.col("turn") == 2).alias("added"))
+
+
+@query()
+def fold_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold's short id: 20 bits of a hash of its path and lines."""
+    return table(spark, sf_dir, "pages").select("page_id", T.djb2_20(T.url_path("url")).alias("fold_id"))
