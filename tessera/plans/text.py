@@ -168,21 +168,20 @@ def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
-@query("""WITH known AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 3 <> 0), now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 7 <> 0)
+@query("""WITH known AS (SELECT doc_id, n_chars FROM documents WHERE lang <> 'fr'), now AS (SELECT doc_id, CASE WHEN lang = 'de' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE source <> 'src3')
 SELECT coalesce(now.doc_id, known.doc_id) AS doc_id, CASE WHEN known.doc_id IS NULL THEN 'created' WHEN now.doc_id IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM now FULL JOIN known USING (doc_id) WHERE now.n_chars IS DISTINCT FROM known.n_chars""")
 def incremental_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints known before against those now: what was created, modified or deleted."""
-    all_docs = docs(spark, sf_dir).select("doc_id", "n_chars")
-    known = all_docs.filter("doc_id % 3 <> 0").withColumnRenamed("n_chars", "was")
-    now = all_docs.filter("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("is"))
+    """Fingerprints known before against those now: what was created (French), modified (German) or deleted (one source)."""
+    known = docs(spark, sf_dir).filter("lang <> 'fr'").select("doc_id", F.col("n_chars").alias("was"))
+    now = docs(spark, sf_dir).filter("source <> 'src3'").select("doc_id", F.when(F.col("lang") == "de", F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("is"))
     both = now.join(known, "doc_id", "full").filter(~F.col("is").eqNullSafe(F.col("was")))
     return both.select("doc_id", F.when(F.col("was").isNull(), "created").when(F.col("is").isNull(), "deleted").otherwise("modified").alias("change"))
 
 
-@query("SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 50 = 1)")
+@query("SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE n_chars < 60)")
 def prune_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose path isn't present any more."""
-    present = docs(spark, sf_dir).filter("doc_id % 50 = 1").select("source").distinct()
+    present = docs(spark, sf_dir).filter("n_chars < 60").select("source").distinct()
     return docs(spark, sf_dir).join(present, "source", "left_anti").select("doc_id")
 
 
