@@ -1 +1,76 @@
-"""Queries."""
+"""Queries of parsers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.catalogue import query
+from tessera.operators import parse as P
+from tessera.sources.tables import table
+
+
+def rows_sql(kind: str) -> str:
+    rule = P.HTML[kind].replace("'", "''")
+    return f"SELECT page_id, CAST(i - 1 AS INT) AS place, f[i] AS name FROM (SELECT page_id, f, unnest(range(1, len(f) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '{rule}', 1) AS f FROM pages))"
+
+
+@query(rows_sql("id"))
+def html_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.html(table(spark, sf_dir, "pages"), "id")
+
+
+@query(rows_sql("link"))
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.html(table(spark, sf_dir, "pages"), "link")
+
+
+@query(rows_sql("class"))
+def html_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.html(table(spark, sf_dir, "pages"), "class")
+
+
+@query(rows_sql("function"))
+def html_script_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.html(table(spark, sf_dir, "pages"), "function")
+
+
+@query(rows_sql("heading"))
+def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.html(table(spark, sf_dir, "pages"), "heading")
+
+
+@query("SELECT key, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.' || key) AS BIGINT)) AS BIGINT) AS total FROM (SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY key")
+def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = table(spark, sf_dir, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+STATEMENTS = (
+    (1, "SELECT * FROM orders o JOIN Customer c ON o.o_custkey = c.c_custkey"),
+    (2, "CREATE TABLE IF NOT EXISTS users (id INT); INSERT INTO users VALUES (1)"),
+    (3, "UPDATE part SET p_size = 1; CREATE VIEW cheap AS SELECT * FROM part"),
+)
+
+
+@query("SELECT * FROM (VALUES (1, 'orders'), (1, 'customer'), (2, 'users'), (3, 'part'), (3, 'cheap')) AS t(id, table_name)")
+def sql_table_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.sql_tables(spark.createDataFrame(list(STATEMENTS), "id int, sql string"), "id", "sql")
+
+
+CODE = (
+    ("a.py", "python", "import os\nfrom x.y import z\n\nclass Shop:\n    def buy(self):\n        a = 1\n        b = 2\n        return a + b\n\ndef main():\n    pass\n"),
+    ("b.rs", "rust", "use crate::shop::Cart;\npub struct Cart;\npub fn total(c: &Cart) -> u32 {\n    let a = 1;\n    let b = 2;\n    a + b\n}\n"),
+    ("c.js", "javascript", "import x from './x'\nexport class View {}\nexport function render() {\n  return 1\n}\n"),
+)
+
+
+@query("""SELECT * FROM (VALUES ('a.py', 'import', 'os', 1), ('a.py', 'import', 'x.y', 2), ('a.py', 'class', 'Shop', 4), ('a.py', 'function', 'buy', 5), ('a.py', 'function', 'main', 10),
+('b.rs', 'import', 'crate::shop::Cart', 1), ('b.rs', 'class', 'Cart', 2), ('b.rs', 'function', 'total', 3), ('c.js', 'import', './x', 1), ('c.js', 'class', 'View', 2), ('c.js', 'function', 'render', 3)) AS t(path, kind, name, line)""")
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.parse(spark.createDataFrame(list(CODE), "path string, language string, content string"))
+
+
+@query("SELECT * FROM (VALUES ('a.py', 1), ('b.rs', 1), ('c.js', 0)) AS t(path, folds)")
+def skeleton_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(path, P.skeleton(content)[1]) for path, _, content in CODE], "path string, folds int")

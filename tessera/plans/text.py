@@ -56,11 +56,6 @@ def stem_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", F.array_join(T.stem_variants("word"), ",").alias("variants"))
 
 
-@query("SELECT c_custkey, lower(regexp_replace('getCustomerOf' || c_mktsegment, '(.)([A-Z])', '\\1_\\2', 'g')) AS loose, length(c_mktsegment) AS n FROM customer WHERE false")
-def snake_case_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An empty table stays empty."""
-    return table(spark, sf_dir, "customer").filter("false").select("c_custkey", T.snake_case(F.concat(F.lit("getCustomerOf"), "c_mktsegment")).alias("loose"), F.length("c_mktsegment").cast("long").alias("n"))
-
 
 @query("SELECT n_nationkey, 'get_' || regexp_replace(lower(n_name), '[^a-z]', '', 'g') || '_by' AS snake FROM nation")
 def snake_case(spark: SparkSession, sf_dir: str) -> DataFrame:
