@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, packed, partitions, pick, scratch, sized, text_chunks, unpacked, written
+from tessera.llm.common import BROADCAST_ROWS, discard, packed, partitions, pick, scratch, sized, text_chunks, unpacked, written
 from tessera.llm.components import components
 from tessera.llm.words import mix, shingle_sets, words
 
@@ -271,7 +271,7 @@ def lists_of(index: DataFrame, part: int, whole: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(doc_id, s): the sorted shingles of the documents asked for."""
+    """(doc_id, s): the sorted shingles of the documents asked for. docs: distinct ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +281,7 @@ def sets_of(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(found, pa.binary())], ["doc_id", "s"])
 
     rows = docs.join(sized(asked), "doc_id", "left_semi").select("doc_id", "text")
-    return written(rows.mapInArrow(run, "doc_id long, s binary"), "jaccard-sets").dropDuplicates(["doc_id"])
+    return written(rows.mapInArrow(run, "doc_id long, s binary"), "jaccard-sets")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
@@ -291,7 +291,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -
     asked = written(pairs.select(F.col("b").alias("doc_id")).union(loads.select("a")).distinct(), "jaccard-asked")
 
     chosen = sets_of(docs, asked, k)
-    left = pairs.join(sized(loads), "a").join(chosen, pairs["b"] == chosen["doc_id"]).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.col("s").alias("member"))
+    # the short side goes to the sets, not the sets to it, while it is short
+    asking = pairs.join(sized(loads), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    asking = F.broadcast(asking) if pairs.count() <= BROADCAST_ROWS else asking
+    left = chosen.join(asking, F.col("b") == F.col("doc_id")).select("a", "part", "b", F.col("s").alias("member"))
     hubs = chosen.join(sized(loads.withColumnRenamed("a", "doc_id")), "doc_id").select(F.col("doc_id").alias("a"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("s").alias("hub"))
 
     def first_ones(s: np.ndarray, seed: int) -> np.ndarray:
@@ -396,7 +399,8 @@ def across(still: DataFrame, docs: DataFrame, k: int, part: int, whole: int) ->
                     b.append(int(doc[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.join(sets, "doc_id").groupBy("cluster", "block_x", "block_y").applyInArrow(run, "a long, b long")
+    rows = written(rows, "jaccard-rows")
+    return sets.join(sized(rows), "doc_id").groupBy("cluster", "block_x", "block_y").applyInArrow(run, "a long, b long")
 
 
 def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,6 +421,9 @@ def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str =
     for _ in range(ROUNDS):
         reps = docs.join(sized(with_partners(reps, k, part, whole, shards)), "doc_id", "left_semi")
 
+    if not own.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        reps = reps.dropDuplicates(["doc_id"])
+
     frequent = seen.filter("kind = 1").groupBy(F.col("c1").alias("token")).agg(F.sum("n").alias("n")).filter(F.col("n") >= LAST_COUNT)
     top = frequent.orderBy(F.desc("n"), "token").limit(LAST_TOKENS).toArrow()
     last = top.column("token").to_numpy().astype(np.int64).view(np.uint64)
