@@ -44,7 +44,7 @@ from tessera.llm.words import mix, shingle_sets, words
 #: Seeds of the token orders; the first is indexed, the others filter.
 ORDERS = (11, 23, 37)
 #: A token that this many documents of one stretch of input share counts as frequent there.
-STRETCH_TOKENS, STRETCH_COUNT = 2_000_000, 4
+STRETCH_TOKENS, STRETCH_COUNT = 1_000_000, 4
 #: Frequent tokens that are put last: the most frequent so many (a fixed size to broadcast), each with so many documents.
 LAST_TOKENS, LAST_COUNT = 100_000, 32
 #: Postings that a task of the index is to hold; members of a list that meet at once; partners of a document that meet at once.
@@ -195,7 +195,7 @@ def postings(docs: DataFrame, last: np.ndarray, counts: np.ndarray, k: int, part
         late, often = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for first, end, data, offsets in text_chunks(batch.column(1), 4 << 20):
+            for first, end, data, offsets in text_chunks(batch.column(1)):
                 tokens, owner, sizes, chunk = [], [], [], []
                 hashes, _, starts = words(data, offsets)
                 for doc, s in zip(ids[first:end].tolist(), shingle_sets(hashes, starts, k), strict=True):
