@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -118,8 +119,8 @@ class Bpe:
         self.automaton.make_automaton()
         self.ids = ids
         self.fit: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.table = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
@@ -187,26 +188,26 @@ class Bpe:
         return token in self.halves or len(self.bytes[token]) == 1
 
     def encode(self, text: str) -> np.ndarray:
-        out: list[int] = []
+        out: list[bytes] = []
         parts = self.split_added.split(text) if self.split_added is not None and any(x in text for x in self.added) else (text,)
         known = self.cache
         for part in parts:
             if part in self.added:
-                out.append(self.added[part])
+                out.append(self.added[part].to_bytes(4, "little"))
                 continue
             for piece in pieces(part):
                 ids = known.get(piece)
                 if ids is None:
                     ids = self.older.get(piece)
                     if ids is None:
-                        ids = self.encode_piece(piece.encode())
+                        ids = array("I", self.encode_piece(piece.encode())).tobytes()
                     if len(piece) <= 64:
                         if len(known) >= CACHE:
                             self.older, self.cache = known, {}
                             known = self.cache
                         known[piece] = ids
-                out += ids
-        return np.array(out, dtype="<u4")
+                out.append(ids)
+        return np.frombuffer(b"".join(out), dtype="<u4")
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Token bytes side by side, gathered from one table by its offsets."""
