@@ -53,14 +53,14 @@ def stdp(pairs: DataFrame, tau: float = 180.0) -> DataFrame:
     """pairs (id, dt seconds, useful): spikes before add 0.20 e^(-dt/tau), half as much again if useful; after take 0.15 e^(dt/tau)."""
     dt = F.col("dt")
     gain = F.when(dt >= 0, 0.20 * F.exp(-dt / tau) * F.when(F.col("useful"), 1.5).otherwise(1.0)).otherwise(-0.15 * F.exp(dt / tau))
-    return pairs.groupBy("id").agg((F.round(F.sum(gain), 6) + 0.0).alias("delta"))
+    return pairs.groupBy("id").agg((F.round(F.sum(gain) + 1e-9, 6) + 0.0).alias("delta"))
 
 
 def homeostasis(edges: DataFrame, cap: float = 3.5) -> DataFrame:
     """Weights into a node are scaled down together if they exceed the cap. Sums are aggregated before they are joined back."""
     sums = edges.groupBy("target").agg(F.sum("weight").alias("total"))
     scaled = F.when(F.col("total") > cap, F.col("weight") * cap / F.col("total")).otherwise(F.col("weight"))
-    return edges.join(sums, "target").select("id", F.round(clamp(scaled), 6).alias("weight"))
+    return edges.join(sums, "target").select("id", F.round(clamp(scaled) + 1e-9, 6).alias("weight"))
 
 
 def transition_shares(moves: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir)
 
 
-@query(f"WITH {EDGES_SQL} SELECT id, source, target, edge_type, round(weight, 6) AS weight, confidence FROM edges")
+@query(f"WITH {EDGES_SQL} SELECT id, source, target, edge_type, round(weight + 1e-9, 6) AS weight, confidence FROM edges")
 def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+    return edges(spark, sf_dir).withColumn("weight", F.round(F.col("weight") + 1e-9, 6))
 
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL}, kept AS (SELECT * FROM nodes WHERE NOT (node_type = 'Class' AND access_count = 0))

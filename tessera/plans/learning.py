@@ -26,7 +26,7 @@ STDP_SQL = """pre AS (SELECT user_id AS id, ts FROM events WHERE event_type = 'v
 p AS (SELECT pre.id, (epoch_ms(post.ts) - epoch_ms(pre.ts)) / 1000.0 AS dt, useful FROM pre JOIN post ON pre.id = post.id AND abs(epoch_ms(post.ts) - epoch_ms(pre.ts)) <= 3600000)"""
 
 
-@query(f"WITH {STDP_SQL} SELECT id, round(sum(CASE WHEN dt >= 0 THEN 0.20 * exp(-dt / 180) * CASE WHEN useful THEN 1.5 ELSE 1.0 END ELSE -0.15 * exp(dt / 180) END), 6) + 0.0 AS delta FROM p GROUP BY id")
+@query(f"WITH {STDP_SQL} SELECT id, round(1e-9 + sum(CASE WHEN dt >= 0 THEN 0.20 * exp(-dt / 180) * CASE WHEN useful THEN 1.5 ELSE 1.0 END ELSE -0.15 * exp(dt / 180) END), 6) + 0.0 AS delta FROM p GROUP BY id")
 def stdp_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spikes of one user within the hour, before and after: hour buckets make the interval join an equality join."""
     events = table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
@@ -36,7 +36,7 @@ def stdp_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.stdp(pairs.select("id", ((F.col("b") - F.col("a")) / 1000.0).alias("dt"), "useful"))
 
 
-@query(f"WITH {EDGES_SQL}, s AS (SELECT *, sum(weight) OVER (PARTITION BY target) AS total FROM edges) SELECT id, round(greatest(0.05, least(1.0, CASE WHEN total > 3.5 THEN weight * 3.5 / total ELSE weight END)), 6) AS weight FROM s")
+@query(f"WITH {EDGES_SQL}, s AS (SELECT *, sum(weight) OVER (PARTITION BY target) AS total FROM edges) SELECT id, round(greatest(0.05, least(1.0, CASE WHEN total > 3.5 THEN weight * 3.5 / total ELSE weight END)) + 1e-9, 6) AS weight FROM s")
 def homeostasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.homeostasis(edges(spark, sf_dir))
 
