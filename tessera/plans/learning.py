@@ -23,7 +23,7 @@ def pheromone_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STDP_SQL = """pre AS (SELECT user_id AS id, ts FROM events WHERE event_type = 'view'), post AS (SELECT user_id AS id, ts, event_type = 'purchase' AS useful FROM events WHERE event_type IN ('purchase', 'error')),
-p AS (SELECT pre.id, (epoch_ms(post.ts) - epoch_ms(pre.ts)) / 1000.0 AS dt, useful FROM pre JOIN post ON pre.id = post.id AND abs(epoch_ms(post.ts) - epoch_ms(pre.ts)) <= 3600000)"""
+p AS (SELECT pre.id, ((epoch_us(post.ts) // 1000) - (epoch_us(pre.ts) // 1000)) / 1000.0 AS dt, useful FROM pre JOIN post ON pre.id = post.id AND abs((epoch_us(post.ts) // 1000) - (epoch_us(pre.ts) // 1000)) <= 3600000)"""
 
 
 @query(f"WITH {STDP_SQL} SELECT id, round(1e-9 + sum(CASE WHEN dt >= 0 THEN 0.20 * exp(-dt / 180) * CASE WHEN useful THEN 1.5 ELSE 1.0 END ELSE -0.15 * exp(dt / 180) END), 6) + 0.0 AS delta FROM p GROUP BY id")
