@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import cut
+
 #: Share of an activation that an edge of a kind lets through (fixed values).
 ATTENUATION = {
     "Calls": 1.0, "Imports": 0.9, "DependsOn": 0.85, "UsedBy": 0.8, "References": 0.75, "Implements": 0.7, "Extends": 0.7, "Contains": 0.6, "Tests": 0.5, "Documents": 0.4,
@@ -78,6 +80,8 @@ def walk(steps: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     for depth in range(1, hops + 1):
         reached = frontier.select(F.col("id").alias("src")).join(steps, "src").groupBy(F.col("dst").alias("id")).agg(F.min("edge_id").alias("via"))
         frontier = reached.join(found.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via")
+        if 1 < depth < hops:
+            frontier = cut(frontier, "frontier")
         found = found.unionByName(frontier)
     return found
 
@@ -117,6 +121,8 @@ def shortest_paths(edges: DataFrame, origin: str, hops: int) -> DataFrame:
         reached = frontier.select(F.col("id").alias("src"), "path").join(steps, "src")
         best = reached.groupBy(F.col("dst").alias("id")).agg(F.min_by("path", F.struct("src", "edge_id")).alias("before"))
         frontier = best.join(found.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.concat("before", F.array("id")).alias("path"))
+        if 1 < depth < hops:
+            frontier = cut(frontier, "frontier")
         found = found.unionByName(frontier)
     return found
 
@@ -136,6 +142,8 @@ def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.7
     for hop in range(hops):
         moved = frontier.select(F.col("id").alias("src"), "energy").join(steps, "src").select(F.col("dst").alias("id"), (F.col("energy") * decay * F.col("w")).alias("energy"))
         frontier = moved.filter(F.col("energy") >= cutoff).groupBy("id").agg(F.max("energy").alias("energy"))
+        if 0 < hop < hops - 1:
+            frontier = cut(frontier, "frontier")
         reached = reached.unionByName(frontier.select("id", (F.col("energy") * (1 - 0.15 * hop)).alias("energy")))
     return reached.groupBy("id").agg(F.round(F.max("energy"), 6).alias("energy"))
 

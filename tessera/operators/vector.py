@@ -34,14 +34,17 @@ def blocks(queries: DataFrame, size: int = 4096) -> list[DataFrame]:
     return [queries] if n <= 1 else [queries.filter(F.pmod(F.xxhash64("q"), F.lit(n)) == i) for i in range(n)]
 
 
+def against(rows: DataFrame, queries: DataFrame, on: str | None = None) -> DataFrame:
+    """Every row with every query (of the same key, if given), a block of queries at a time."""
+    parts = [rows.join(F.broadcast(block), on) if on else rows.join(F.broadcast(block)) for block in blocks(queries)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, least: float = -2.0) -> DataFrame:
     """queries (q, x), a block at a time, against all vectors: q, place, node_id, score. Exact; ties to the smaller id."""
-    out = []
-    for block in blocks(queries):
-        scored = vectors.join(F.broadcast(block)).select("q", "node_id", F.round(dot("x", "v"), 6).alias("score")).filter(F.col("score") >= least)
-        place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "node_id"))
-        out.append(scored.withColumn("place", place).filter(F.col("place") <= k).select("q", "place", "node_id", "score"))
-    return reduce(DataFrame.unionByName, out)
+    scored = against(vectors, queries).select("q", "node_id", F.round(dot("x", "v"), 6).alias("score")).filter(F.col("score") >= least)
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "node_id"))
+    return scored.withColumn("place", place).filter(F.col("place") <= k).select("q", "place", "node_id", "score")
 
 
 def quantized(v: Column | str) -> Column:

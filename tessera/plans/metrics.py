@@ -105,11 +105,11 @@ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each vector of the query set (id divisible by 20) its ten nearest, relevant where the label is the same: (q, gold, got, place)."""
-    from tessera.operators.vector import dot
+    from tessera.operators.vector import against, dot
 
     v = table(spark, sf_dir, "embeddings")
     asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("gold"), F.col("embedding").alias("x"))
-    scored = v.join(F.broadcast(asked), F.col("q") != F.col("vec_id")).select("q", "gold", F.col("label").alias("got"), "vec_id", F.round(dot("x", "embedding"), 9).alias("s"))
+    scored = against(v, asked).filter("q <> vec_id").select("q", "gold", F.col("label").alias("got"), "vec_id", F.round(dot("x", "embedding"), 9).alias("s"))
     place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "vec_id"))
     return scored.withColumn("place", place).filter("place <= 10").select("q", "gold", "got", "place")
 

@@ -64,7 +64,7 @@ def vector_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     near = asked(spark, sf_dir, 20).join(F.broadcast(V.centroids(v).select("dir", "c"))).select("q", "x", "dir", F.round(V.dot("x", "c"), 9).alias("s"))
     chosen = near.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "dir"))).filter("r <= 2").select("q", "x", "dir")
-    scored = v.join(F.broadcast(chosen), "dir").select("q", "node_id", F.round(V.dot("x", "v"), 6).alias("score"))
+    scored = V.against(v, chosen, "dir").select("q", "node_id", F.round(V.dot("x", "v"), 6).alias("score"))
     return scored.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "node_id"))).filter("place <= 8").select("q", "place", "node_id", "score")
 
 
@@ -72,7 +72,7 @@ def vector_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noise loses, libraries and files of the same stem gain; the threshold holds after that."""
     factor = F.when(F.col("dir") == 0, 0.55).when(F.col("dir") == 1, 1.12).otherwise(1.0) * F.when(F.col("node_id") % 7 == 0, 1.15).otherwise(1.0)
-    scored = vectors(spark, sf_dir).join(F.broadcast(asked(spark, sf_dir, 20).select("q", "x"))).select("q", "node_id", F.round(V.dot("x", "v") * factor, 6).alias("score")).filter("score >= 0.1")
+    scored = V.against(vectors(spark, sf_dir), asked(spark, sf_dir, 20).select("q", "x")).select("q", "node_id", F.round(V.dot("x", "v") * factor, 6).alias("score")).filter("score >= 0.1")
     return scored.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "node_id"))).filter("place <= 4").select("q", "place", "node_id", "score")
 
 
@@ -92,7 +92,7 @@ def quantize_i8(spark: SparkSession, sf_dir: str) -> DataFrame:
 scored AS (SELECT a.node_id AS q, b.node_id, round(list_inner_product(a.v, b.z) * b.scale / 127, 6) AS score FROM z a, z b WHERE a.node_id % 20 = 0) """ + TOP_SQL.format(8))
 def quantized_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = vectors(spark, sf_dir).select("node_id", V.quantized("v").alias("z"))
-    scored = held.join(F.broadcast(asked(spark, sf_dir, 20).select("q", "x"))).select("q", "node_id", F.round(V.dot("x", "z.q") * F.col("z.scale") / 127, 6).alias("score"))
+    scored = V.against(held, asked(spark, sf_dir, 20).select("q", "x")).select("q", "node_id", F.round(V.dot("x", "z.q") * F.col("z.scale") / 127, 6).alias("score"))
     return scored.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "node_id"))).filter("place <= 8").select("q", "place", "node_id", "score")
 
 
@@ -101,7 +101,7 @@ CORR_SQL = "p AS (SELECT a.vec_id AS q, b.vec_id AS node_id, list_inner_product(
 
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = vectors(spark, sf_dir).filter("node_id % 20 = 0").select(F.col("node_id").alias("q"), F.col("v").alias("u"))
-    return vectors(spark, sf_dir).join(F.broadcast(some)).select("q", "node_id", V.dot("u", "v").alias("x"), V.dot(F.slice("u", 1, 32), F.slice("v", 1, 32)).alias("y"))
+    return V.against(vectors(spark, sf_dir), some).select("q", "node_id", V.dot("u", "v").alias("x"), V.dot(F.slice("u", 1, 32), F.slice("v", 1, 32)).alias("y"))
 
 
 @query(f"WITH {CORR_SQL} SELECT q, round(corr(x, y), 6) AS pearson FROM p GROUP BY q")
