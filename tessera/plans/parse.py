@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalogue import query
+from tessera.operators import overlays as O
 from tessera.operators import parse as P
 from tessera.sources.tables import table
 
@@ -74,3 +75,39 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM (VALUES ('a.py', 1), ('b.rs', 1), ('c.js', 0)) AS t(path, folds)")
 def skeleton_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(path, P.skeleton(content)[1]) for path, _, content in CODE], "path string, folds int")
+
+
+PAGE_FILES = (
+    ("next", "web/app/shop/[id]/page.tsx", "/shop/:id"), ("next", "app/(site)/about/page.tsx", "/about"), ("next", "app/page.tsx", "/"), ("next", "lib/x.ts", None), ("nuxt", "pages/user/[name].vue", "/user/:name"),
+    ("nuxt", "pages/index.vue", "/"), ("sveltekit", "src/routes/blog/[slug]/+page.svelte", "/blog/:slug"), ("astro", "src/pages/docs/index.astro", "/docs"), ("remix", "app/routes/users.$id.tsx", "/users/:id"), ("remix", "app/routes/_index.tsx", "/"),
+)
+
+
+def literal(v: str | None) -> str:
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in PAGE_FILES) + ") AS t(framework, path, route)")
+def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.createDataFrame([row[:2] for row in PAGE_FILES], "framework string, path string")
+    route = F.lit(None).cast("string")
+    for name in O.PAGES:
+        route = F.when(F.col("framework") == name, O.page_route(F.col("path"), name)).otherwise(route)
+    return files.withColumn("route", route)
+
+
+DECLARATIONS = (
+    ("react", "export function App() {}\nconst Nav = () => 1\nfunction helper() {}", "App,Nav"), ("flutter", "class Home extends StatelessWidget {}", "Home"), ("swiftui", "struct Main: View { }", "Main"), ("android", "class Shop : AppCompatActivity() {}", "Shop"),
+    ("compose", "@Composable\nfun Card() {}", "Card"), ("eloquent", "class Post extends Model {}", "Post"), ("blade", "@extends('base') @include('menu')", "base,menu"), ("twig", "{% block body %}", "body"), ("tauri", "#[tauri::command]\nfn greet() {}", "greet"),
+    ("electron", "ipcMain.handle('open', f)", "open"), ("env", "A_KEY=1\n#x\nB=2", "A_KEY,B"), ("schema", "Schema::create('users', f)", "users"), ("scss", "$gap: 1px;\n$x:2", "$gap,$x"), ("css_var", ":root{--main: red;--b:1}", "--main,--b"),
+    ("mixin", "@mixin wide-box($a) {}", "wide-box"), ("vue_store", "const s = useCartStore()", "useCartStore"), ("cjs", "const a = require('fs')", "fs"), ("razor", '@page "/shop"', "/shop"), ("wordpress", "register_rest_route('v1', '/x')", "v1"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{kind}', {literal(names)})" for kind, _, names in DECLARATIONS) + ") AS t(framework, names)")
+def overlay_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = spark.createDataFrame([row[:2] for row in DECLARATIONS], "framework string, content string")
+    found = F.lit(None).cast("array<string>")
+    for name in O.COMPONENTS:
+        found = F.when(F.col("framework") == name, O.components(F.col("content"), name)).otherwise(found)
+    return held.select("framework", F.array_join(found, ",").alias("names"))
