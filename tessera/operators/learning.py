@@ -22,16 +22,20 @@ def pheromone_fold(events: DataFrame, start: float = 0.5, block: int = 10_000) -
     a = F.when(F.col("kind") == "evaporate", 0.98).otherwise(1.0)
     b = F.when(F.col("kind") == "reinforce", 0.15).when(F.col("kind") == "penalise", -0.10).otherwise(0.0)
     step = F.struct(a.alias("a"), b.alias("b"), F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"))
-    ordered = events.select("key", F.struct("ts", "seq").alias("at"), step.alias("f"))
-    # blocks by time: about so many events of a key each
+    f = composed(events.select("key", "ts", "seq", step.alias("f")), block)
+    return f.select("key", F.round(clamp_between(F.col("f.a") * start + F.col("f.b"), F.col("f.lo"), F.col("f.hi")), 6).alias("weight"))
+
+
+def composed(steps: DataFrame, block: int = 10_000) -> DataFrame:
+    """steps (key, ts, seq, f): each key's steps in order as one function (key, f), composed in blocks of time of about so many."""
+    ordered = steps.select("key", F.struct("ts", "seq").alias("at"), "f")
     sizes = ordered.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at.ts").alias("first"), F.max("at.ts").alias("last"))
     placed = ordered.join(sizes, "key").withColumn("span", F.greatest(F.lit(1.0), F.unix_micros("last") - F.unix_micros("first") + 1.0))
     placed = placed.withColumn("block", F.floor((F.unix_micros("at.ts") - F.unix_micros("first")) / F.col("span") * F.ceil(F.col("n") / block)).cast("long"))
     runs = placed.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("at", "f"))).alias("xs"))
-    composed = runs.select("key", "block", fold_functions(F.transform("xs", lambda x: x["f"])).alias("f"))
-    whole = composed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", "f"))).alias("xs"))
-    f = whole.select("key", fold_functions(F.transform("xs", lambda x: x["f"])).alias("f"))
-    return f.select("key", F.round(clamp_between(F.col("f.a") * start + F.col("f.b"), F.col("f.lo"), F.col("f.hi")), 6).alias("weight"))
+    parts = runs.select("key", "block", fold_functions(F.transform("xs", lambda x: x["f"])).alias("f"))
+    whole = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", "f"))).alias("xs"))
+    return whole.select("key", fold_functions(F.transform("xs", lambda x: x["f"])).alias("f"))
 
 
 def clamp_between(x: Column, low: Column, high: Column) -> Column:

@@ -122,6 +122,7 @@ def node_access_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.col("event_type") == "purchase"
     step = F.struct(F.lit(1.0).alias("a"), F.when(good, 0.08).otherwise(-0.12).alias("b"), F.when(good, -1e300).otherwise(0.1).alias("lo"), F.when(good, 3.0).otherwise(1e300).alias("hi"))
     used = table(spark, sf_dir, "events").filter("event_type IN ('purchase', 'error')")
-    by = used.groupBy(F.col("user_id").alias("key")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", step.alias("f")))).alias("xs"), F.count_if(good).alias("accesses"))
-    f = by.select("key", "accesses", L.fold_functions(F.transform("xs", lambda x: x["f"])).alias("f"))
+    rows = used.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), step.alias("f"))
+    accesses = used.groupBy(F.col("user_id").alias("key")).agg(F.count_if(good).alias("accesses"))
+    f = L.composed(rows).join(accesses, "key")
     return f.select("key", F.round(L.clamp_between(F.col("f.a") + F.col("f.b"), F.col("f.lo"), F.col("f.hi")), 6).alias("relevance"), "accesses")
