@@ -35,7 +35,7 @@ from tessera.llm.words import mix, words
 END, START = np.uint64(0x1D8AF066F4A1C3B5), np.uint64(0x93C467E37DB0C7A4)
 DISCOUNT = 0.75
 #: Tokens of a run, and of a shard; a context with more tokens than HOT is spread.
-RUN_TOKENS, SHARD_TOKENS, HOT = 2_000_000, 2_000_000, 2_000_000
+RUN_TOKENS, SHARD_TOKENS, HOT = 1_500_000, 2_000_000, 2_000_000
 #: In place of a quantised probability: the bigram isn't in training.
 ABSENT = STEPS
 

@@ -192,7 +192,7 @@ def brute_scores(rows: list[tuple]) -> dict:
     return out
 
 
-@pytest.mark.parametrize("run_tokens", [2_000_000, 400])
+@pytest.mark.parametrize("run_tokens", [1_500_000, 400])
 def test_language_model(docs, rows, none, monkeypatch, run_tokens):
     monkeypatch.setattr(language_model, "RUN_TOKENS", run_tokens)
     want = brute_scores(rows)
