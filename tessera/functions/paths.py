@@ -70,3 +70,9 @@ def hint_match(path: Column | str, hint: Column | str) -> Column:
 def matches(path: Column | str, gold: Column | str) -> Column:
     """Suffix or containment."""
     return col(path).endswith(col(gold)) | F.contains(col(path), col(gold))
+
+
+def crate_dir(path: Column | str) -> Column:
+    """The folder before src, lib or app, else the first component."""
+    before = r"^(.*?)/?(?:src|lib|app)/"
+    return F.when(col(path).rlike(r"(^|/)(src|lib|app)/"), F.regexp_extract(col(path), before, 1)).otherwise(F.split(col(path), "/")[0])

@@ -68,3 +68,15 @@ def drop_stage(rules: list[tuple[str, Column]]) -> Column:
 
 def coverage_claim(seeds: Column, missing: Column, gaps: Column) -> Column:
     return F.when(seeds == 0, "no_seed_resolved").when(missing > 0, "partial").when(gaps > 0, "bounded").otherwise("no_recorded_gap")
+
+
+def promoted(candidates: DataFrame, most: int, least_bonus: float, margin: float) -> DataFrame:
+    """candidates (task, id, score, bonus): the best by score; the last of them gives way to the best learned one beyond,
+    if that has enough bonus and, with it, beats the last by the margin. (task, id, why)"""
+    ranked = candidates.withColumn("place", F.row_number().over(W.partitionBy("task").orderBy(F.desc("score"), "id")))
+    weakest = F.min(F.when(F.col("place") <= most, F.col("score")))
+    beyond = (F.col("place") > most) & (F.col("bonus") >= least_bonus)
+    lifted = F.when(beyond, F.struct((F.col("score") + F.col("bonus")).alias("lifted"), (-F.col("id")).alias("order"), F.col("id").alias("id")))
+    by = ranked.groupBy("task").agg(weakest.alias("least"), F.max(lifted).alias("best")).filter(F.col("best.lifted") > F.col("least") + margin).select("task", F.col("best.id").alias("new"))
+    kept = ranked.filter(F.col("place") <= most).join(by, "task", "left").filter((F.col("place") < most) | F.col("new").isNull())
+    return kept.select("task", "id", F.lit("ranked").alias("why")).unionByName(by.select("task", F.col("new").alias("id"), F.lit("learned").alias("why")))

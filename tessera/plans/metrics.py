@@ -188,3 +188,11 @@ def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
         F.greatest(F.lit(2048), F.floor(0.40 * total)).cast("long").alias("context_budget"), F.greatest(F.lit(1024), F.floor(0.25 * total)).cast("long").alias("answer_budget")
     )
+
+
+@query(f"WITH {CELLS_SQL} SELECT benchmark, round(CASE WHEN count(*) FILTER (WHERE predicted >= 0.7) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE predicted >= 0.7 AND (failed OR recall < 0.5)) / count(*) FILTER (WHERE predicted >= 0.7) END, 6) AS proxy FROM cells GROUP BY benchmark")
+def fsr_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without labels: of what was claimed, the share with a gap on record."""
+    claimed = F.count_if(F.col("predicted") >= 0.7)
+    gaps = F.count_if((F.col("predicted") >= 0.7) & (F.col("failed") | (F.col("recall") < 0.5)))
+    return cells(spark, sf_dir).groupBy("benchmark").agg(F.round(F.when(claimed == 0, 0.0).otherwise(F.try_divide(gaps, claimed)), 6).alias("proxy"))

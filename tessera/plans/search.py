@@ -132,3 +132,26 @@ def innermost_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = points.join(spans, "f").filter("a <= pos AND pos < b")
     order = W.partitionBy("f").orderBy(F.col("b") - F.col("a"), "a", "id")
     return inside.withColumn("k", F.row_number().over(order)).filter("k = 1").select("f", "pos", "id")
+
+
+@query(f"""WITH {NODES_SQL}, j AS (SELECT p.p_partkey AS ref, n.id FROM part p JOIN nodes n ON n.name = replace(p.p_name, ' ', '_') AND contains(n.file_path, 'm' || (p.p_size % 10)) WHERE n.node_type = 'Symbol')
+SELECT ref, min(id) AS id, CASE WHEN count(*) = 1 THEN 'proven' ELSE 'likely' END AS confidence FROM j GROUP BY ref""")
+def resolve_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exported name with a path hint: one match is proven, of more the first is likely."""
+    symbols = nodes(spark, sf_dir).filter("node_type = 'Symbol'").select("name", "id", "file_path")
+    refs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.concat(F.lit("m"), (F.col("p_size") % 10).cast("string")).alias("hint"))
+    found = refs.join(symbols, "name").filter(F.contains("file_path", F.col("hint")))
+    return found.groupBy("ref").agg(F.min("id").alias("id"), F.when(F.count(F.lit(1)) == 1, "proven").otherwise("likely").alias("confidence"))
+
+
+@query(f"""WITH folds AS (SELECT sha256(url) AS id, split_part({PATH}, '/', 2) AS symbol, page_id FROM pages), asked AS (SELECT DISTINCT lower(split_part({PATH}, '/', 2)) AS q FROM pages UNION SELECT substr(sha256(url), 1, 6) FROM pages),
+f AS (SELECT q, page_id, CASE WHEN id = q THEN 1 WHEN left(id, 6) = q THEN 2 ELSE 3 END AS p FROM asked JOIN folds ON id = q OR left(id, 6) = q OR lower(symbol) = q WHERE q <> '')
+SELECT q, page_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY p, page_id) AS k FROM f) WHERE k = 1""")
+def fold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold by its id, else by the id's first six digits, else by its symbol: each is an equality join."""
+    symbol = F.split_part(url_path("url"), F.lit("/"), F.lit(2))
+    folds = table(spark, sf_dir, "pages").select(F.sha2("url", 256).alias("id"), symbol.alias("symbol"), "page_id")
+    asked = folds.select(F.lower("symbol").alias("q")).union(folds.select(F.substring("id", 1, 6))).filter("q <> ''").distinct()
+    keys = [folds.select(F.col("id").alias("q"), "page_id", F.lit(1).alias("p")), folds.select(F.substring("id", 1, 6).alias("q"), "page_id", F.lit(2).alias("p")), folds.select(F.lower("symbol").alias("q"), "page_id", F.lit(3).alias("p"))]
+    found = asked.join(keys[0].union(keys[1]).union(keys[2]), "q")
+    return found.groupBy("q").agg(F.min_by("page_id", F.struct("p", "page_id")).alias("page_id"))

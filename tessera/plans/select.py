@@ -131,3 +131,19 @@ def activation_with_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = spark.createDataFrame(sorted(flux.items()), "id string, flux double")
     carried = spread.join(F.broadcast(held), "id", "left").withColumn("flux", F.coalesce("flux", F.lit(0.0)))
     return carried.select("id", F.round(F.least(F.lit(1.0), F.col("energy") * (0.65 + 0.35 * F.col("flux"))), 6).alias("energy"))
+
+
+PROMOTED_SQL = """WITH c AS (SELECT p_brand AS task, p_partkey AS id, CAST(p_size AS DOUBLE) AS score, p_partkey % 20 AS bonus, 0.5 + p_partkey % 10 / 10.0 AS relevance FROM part),
+kept AS (SELECT * FROM c WHERE relevance >= 0.55), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY score DESC, id) AS place FROM kept),
+weak AS (SELECT task, min(score) AS least FROM r WHERE place <= 4 GROUP BY task),
+best AS (SELECT task, id, score + bonus AS lifted FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY score + bonus DESC, id) AS k FROM r WHERE place > 4 AND bonus >= 14) WHERE k = 1),
+swap AS (SELECT best.task, best.id FROM best JOIN weak USING (task) WHERE lifted > least + 1)
+SELECT r.task, r.id, 'ranked' AS why FROM r LEFT JOIN swap s ON s.task = r.task WHERE place < 4 OR (place = 4 AND s.id IS NULL) UNION ALL SELECT task, id, 'learned' FROM swap"""
+
+
+@query(PROMOTED_SQL)
+def learned_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four of a task by score, without those that were learned to be irrelevant; the last gives way to a learned one that beats it."""
+    part = table(spark, sf_dir, "part")
+    c = part.select(F.col("p_brand").alias("task"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"), (F.col("p_partkey") % 20).alias("bonus"), (0.5 + F.col("p_partkey") % 10 / 10.0).alias("relevance"))
+    return S.promoted(c.filter("relevance >= 0.55"), 4, 14, 1.0)

@@ -203,3 +203,10 @@ def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold's short id: 20 bits of a hash of its path and lines."""
     return table(spark, sf_dir, "pages").select("page_id", T.djb2_20(T.url_path("url")).alias("fold_id"))
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches(x, '(^|/)(src|lib|app)/') THEN regexp_extract(x, '^(.*?)/?(src|lib|app)/', 1) ELSE split_part(x, '/', 1) END AS dir FROM (SELECT page_id, 'crates/c' || (page_id % 3) || '/src' || {PATH} AS x FROM pages)""")
+def crate_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies before the sources' folder, for spreading a selection."""
+    x = F.concat(F.lit("crates/c"), (F.col("page_id") % 3).cast("string"), F.lit("/src"), T.url_path("url"))
+    return table(spark, sf_dir, "pages").select("page_id", P.crate_dir(x).alias("dir"))
