@@ -14,10 +14,9 @@ The join finds the components of the link graph without listing all pairs of a g
  1. documents with equal sets are one class, represented by its smallest id;
  2. the classes that share a prefix token form a list; each list links its members to one of
     them, its hub, where verified;
- 3. lists whose members are in one component by then are done; the others link their members to
-    hubs chosen anew, and what is open after that is counted out: documents that still share a list
-    meet in blocks, in which exact overlaps between different components come from an inverted
-    index.
+ 3. lists whose members are in one component by then are done; the others are counted out:
+    documents that still share a list meet in blocks, in which exact overlaps between different
+    components come from an inverted index.
 No pair of a list is left out unless its two are connected already, so components are exact.
 Lists of very frequent tokens are cut in chunks for the first hubs; after that they are one again.
 
@@ -51,8 +50,6 @@ LAST_TOKENS, LAST_COUNT = 100_000, 32
 TASK_POSTINGS, LIST_CHUNK, PARTNERS = 2_000_000, 50_000, 256
 #: Cells of a shard as bits; shingles that a shard is to hold; rounds of the rarest-first filter.
 CELL_BITS, SHARD_TOKENS, ROUNDS = 24, 2_000_000, 2
-#: Times that open lists link their members to another hub before all their pairs are looked at.
-TURNS = 1
 #: Documents of a block when the rest is counted out.
 BLOCK_DOCS = 1024
 
@@ -327,13 +324,6 @@ def open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(sized(keys), "key")
 
 
-def to_hubs(still: DataFrame, turn: int, part: int, whole: int) -> DataFrame:
-    """Pairs (a, b) of each list's hub of this turn and the members of other components; as many at most as there are members."""
-    hubs = still.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.xxhash64("doc_id", F.lit(turn))).alias("hub"))
-    met = still.join(hubs, "key").filter("component <> hub.component").filter(F.lit(whole) * F.least("n", "hub.n") >= F.lit(part) * F.greatest("n", "hub.n"))
-    return met.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
-
-
 def blocks_of(still: DataFrame) -> DataFrame:
     """Members of open lists, once each, as (doc_id, component, cluster, block): whatever shares a list shares a cluster.
 
@@ -438,16 +428,9 @@ def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str =
     members = lists.select(F.col("a").alias("key"), F.col("b").cast("int").alias("chunk"), F.explode(F.arrays_zip("ids", "sizes")).alias("x"))
     members = written(members.select("key", "chunk", F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n")), "jaccard-postings")
     labels = written(components(links), "jaccard-labels")
-    for turn in range(TURNS + 1):
-        still = written(open_lists(members, labels), "jaccard-still")
-        if still.isEmpty():
-            break
-        # hubs of other turns join most of what is one component; then all that is left is counted out
-        if turn < TURNS:
-            more = verified(written(to_hubs(still, turn, part, whole), "jaccard-pairs"), reps, k, part, whole)
-        else:
-            more = across(still, reps, k, part, whole)
-        links = links.union(written(more, "jaccard-links"))
+    still = written(open_lists(members, labels), "jaccard-still")
+    if not still.isEmpty():
+        links = links.union(written(across(still, reps, k, part, whole), "jaccard-links"))
         labels = written(components(links), "jaccard-labels")
     final = labels
     return own.join(final, own["rep"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
