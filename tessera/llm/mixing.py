@@ -157,4 +157,5 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     else:
         rows = rows.withColumn("_row", F.row_number().over(W.partitionBy(id_col, source_col, "_n").orderBy(text_col)).cast("long"))
     on = rows[f"`{id_col}`"].eqNullSafe(copies["_id"]) & rows[f"`{source_col}`"].eqNullSafe(copies["_source"]) & (rows["_n"] == copies["_size"]) & (rows["_row"] == copies["_k"])
-    return rows.join(sized(copies), on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[f"`{c}`" for c in kept])
+    # one row of `copies` for each document: always a join of two shuffled sides
+    return rows.join(copies.hint("merge"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[f"`{c}`" for c in kept])
