@@ -51,7 +51,7 @@ TASK_POSTINGS, LIST_CHUNK, PARTNERS = 2_000_000, 50_000, 256
 #: Cells of a shard as bits; shingles that a shard is to hold; rounds of the rarest-first filter.
 CELL_BITS, SHARD_TOKENS, ROUNDS = 24, 2_000_000, 2
 #: Documents of a block when the rest is counted out.
-BLOCK_DOCS = 1024
+BLOCK_DOCS = 2048
 
 
 def prefix_length(n, part: int = 4, whole: int = 5):
@@ -365,8 +365,7 @@ def across(still: DataFrame, docs: DataFrame, k: int, part: int, whole: int) ->
         owner = np.repeat(np.arange(len(held)), n)
         order = np.argsort(token, kind="stable")
         begin = np.searchsorted(token[order], np.arange(len(found) + 1))
-        owner, begin = owner[order], begin.tolist()
-        token, ends = token.tolist(), np.cumsum(n).tolist()
+        owner, ends = owner[order], np.cumsum(n).tolist()
         root = {c: c for c in comp.tolist()}
 
         def top(c: int) -> int:
@@ -378,7 +377,9 @@ def across(still: DataFrame, docs: DataFrame, k: int, part: int, whole: int) ->
         asking = range(len(held)) if one else np.flatnonzero(first == (first.sum() * 2 <= len(first))).tolist()
         a, b = [], []
         for i in asking:
-            near = np.concatenate([owner[begin[t] : begin[t + 1]] for t in token[ends[i] - n[i] : ends[i]] if begin[t + 1] - begin[t] > 1] or [owner[:0]])
+            mine = token[ends[i] - n[i] : ends[i]]
+            first_at, many = begin[mine], begin[mine + 1] - begin[mine]
+            near = owner[np.repeat(first_at - np.cumsum(many) + many, many) + np.arange(many.sum())]
             both = np.bincount(near, minlength=len(held))
             linked = np.flatnonzero((whole * both >= part * (n[i] + n - both)) & (comp != comp[i]))
             for j in linked.tolist():
