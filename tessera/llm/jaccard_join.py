@@ -183,7 +183,8 @@ def with_partners(docs: DataFrame, k: int, part: int, whole: int, shards: int) -
 def postings(docs: DataFrame, last: np.ndarray, counts: np.ndarray, k: int, part: int, whole: int, tasks: int) -> DataFrame:
     """Rows (task, tokens, ids, sizes): the prefix postings of a run of documents that go to one task of the index.
 
-    last, counts: tokens that are put last, sorted, and their documents. Very frequent ones go to several chunks of tasks.
+    last, counts: tokens that are put last, sorted, and their documents. Very frequent ones go to several chunks of
+    tasks: the chunks of a cut list count from 1, a list that isn't cut is chunk 0.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((last, counts))
@@ -212,7 +213,7 @@ def postings(docs: DataFrame, last: np.ndarray, counts: np.ndarray, k: int, part
                     tokens.append(s[take])
                     owner.append(np.full(p, doc, np.int64))
                     sizes.append(np.full(p, len(s), np.int32))
-                    chunk.append(np.where(chunks > 1, int(mix(np.array([doc], np.int64).view(np.uint64))[0] >> np.uint64(1)) % np.maximum(chunks, 1), 0))
+                    chunk.append(np.where(chunks > 1, 1 + int(mix(np.array([doc], np.int64).view(np.uint64))[0] >> np.uint64(1)) % np.maximum(chunks, 1), 0))
                 if not tokens:
                     continue
                 t, o, n, c = map(np.concatenate, (tokens, owner, sizes, chunk))
@@ -248,7 +249,7 @@ def lists_of(index: DataFrame, part: int, whole: int) -> DataFrame:
         # equal lists of documents are one list; a chunk of a cut list keeps its token as key
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(o.view(np.uint64), 77), dtype=np.uint64)])
         key = (total[begin + size] - total[begin]).view(np.int64)
-        cut = np.isin(t[begin], t[np.flatnonzero(c > 0)])
+        cut = c[begin] > 0
         key = np.where(cut, t[begin].view(np.int64), key)
         long = np.flatnonzero((size > 2) | cut)
         _, once = np.unique(np.stack([key[long], c[begin[long]].astype(np.int64)], axis=1), axis=0, return_index=True) if len(long) else (None, np.zeros(0, np.int64))

@@ -335,6 +335,22 @@ def test_jaccard_join_near_the_threshold(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_jaccard_join_of_cut_lists(spark, monkeypatch):
+    """A text's exact copies make its tokens so frequent that their lists are cut; the near copies still link to it."""
+    monkeypatch.setattr(jaccard_join, "LIST_CHUNK", 40)
+    rng = random.Random(5)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for i in range(120):
+            w = list(base)
+            if i % 40 == 39:
+                w[i // 2] = f"n{i}"
+            rows.append((rng.randrange(1 << 40), " ".join(w), "en", "a", 1, True))
+    got = jaccard_join.join(spark.createDataFrame(rows, SCHEMA).repartition(12)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def test_shingles_equal_a_plain_restatement():
     texts = ["a b c d e f", "A  b\tc d e f", "x", "", " ", "one two three four", "é b c d e é b c d e"]
     raw = [t.encode() for t in texts]
