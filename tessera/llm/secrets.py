@@ -3,7 +3,10 @@
 Base spans are found by three fixed patterns. The method adds spans of kind `novel`: a
 long token in a sensitive context is kept when its marginal compressed size, with zstandard
 primed by an identifier dictionary and by the text around it, is close to that of random
-bytes. Words, identifiers and repeats of the surroundings compress away.
+bytes. Words, identifiers and repeats of the surroundings compress away. Amid text of its own
+alphabet, as in lists of credentials, a random token costs no more than its surroundings do;
+there it is kept when it mixes letters and digits as identifiers don't, and the surroundings
+hold next to no match for it, literals being charged in full.
 
 Defined results: a null text is empty and has no spans; repeated rows give repeated rows;
 an empty table gives an empty result; extra columns are ignored. Spans are in code points,
@@ -44,6 +47,11 @@ DICTIONARY = (
 #: Marginal compressed bits a byte from which a candidate is incompressible. Random letters of either case and
 #: digits cost 7 to 8 amid prose or code, words and identifiers of the surroundings 1 to 5.
 NOVEL_BITS = 6.0
+#: Share of a candidate that no match in the surroundings may cover, and its joints (see there), at least and a code point,
+#: from which it is random whatever its surroundings' alphabet. Identifiers have one or two, random hex or base32 0.3 to 0.5 a code point.
+UNMATCHED, JOINTS, JOINTS_EACH = 0.75, 3, 0.12
+GRAFT = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: No span of a base kind `assign`, nor a sensitive context, is without one of these (lower-cased bytes).
 NEEDLES = (b"passw", b"secret", b"token", b"api", b"credential", b"private", b"bearer", b"authorization", b"access")
 
@@ -52,15 +60,32 @@ class Novelty:
     """Marginal compressed bytes of a string after its context, over the identifier dictionary."""
 
     def __init__(self, dictionary: bytes = DICTIONARY):
-        self.packer = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+        # a negative level leaves literals as they are
+        self.packer, self.matcher = (
+            zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            for level in (9, -1)
+        )
 
     def bits(self, context: str, candidate: str) -> float:
+        return self.extra(self.packer, context, candidate)
+
+    def unmatched(self, context: str, candidate: str) -> float:
+        """Share of the candidate that repeats nothing of the context or the dictionary."""
+        return self.extra(self.matcher, context, candidate) / 8.0
+
+    @staticmethod
+    def extra(packer: zstandard.ZstdCompressor, context: str, candidate: str) -> float:
         before = context.encode()
         body = candidate.encode()
-        extra = len(self.packer.compress(before + body)) - len(self.packer.compress(before))
+        extra = len(packer.compress(before + body)) - len(packer.compress(before))
         return 8.0 * extra / len(body)
 
 
+def joints(word: str) -> float:
+    """Places where a letter meets a digit, and half of those where a capital follows a small letter."""
+    return len(GRAFT.findall(word)) + len(HUMP.findall(word)) / 2
+
+
 def sensitive(text: str) -> bool:
     low = text.encode("utf-8", "surrogatepass").lower()
     return any(x in low for x in NEEDLES)
@@ -89,7 +114,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, t
             if any(a < end and start < b for a, b, _ in base) or word.isalpha() and (word[1:].islower() or word.isupper()):
                 continue
             around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND] + "\n"
-            if novelty.bits(around, text[start:end]) >= threshold:
+            mixed = joints(word) >= max(JOINTS, JOINTS_EACH * len(word))
+            if novelty.bits(around, word) >= threshold or mixed and novelty.unmatched(around, word) >= UNMATCHED:
                 out.append((start, end, 3))
     return out
 

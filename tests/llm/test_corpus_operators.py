@@ -263,6 +263,21 @@ def test_secrets(spark, none):
     assert got[902].n_novel == 1 and secrets.scan(none).count() == 0
 
 
+def test_secrets_in_lists():
+    """Random secrets amid others of their alphabet are found; identifiers amid others, and secrets said before, aren't."""
+    rng, novelty = random.Random(4), secrets.Novelty()
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters in (digits + "ABCDEF", digits + "abcdef", upper + "234567", lower + digits, upper + lower + digits):
+        for size in (24, 40):
+            lines = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(100)]
+            text = "\n".join(f"credential {x}" for x in lines)
+            base = secrets.base_spans(text)
+            assert len(secrets.novel_spans(text, base, novelty)) + len(base) >= 90
+    names = ["release_notes_version_2", "sha256_of_the_whole_file", "convertUtf8ToUtf16Strings", "user_account_2024_01_15", "parseHttp2FrameHeaderBytes"]
+    text = "\n".join(f"credential {x}" for x in names * 4)
+    assert secrets.novel_spans(text, [], novelty) == []
+
+
 def test_ann(spark):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(30, 16))
