@@ -1,8 +1,9 @@
 """License scan: winnowed fingerprints of templates pick candidates, banded alignment reports them.
 
 Templates are cut into words without punctuation and case; of their runs of K words, the least
-hash in each window of WINDOW runs is kept, with its place, in an inverted index. Every run of
-every document is looked up there. Where runs of a template are found, the template is aligned
+hash in each window of WINDOW runs is kept, with its place, in an inverted index; of templates of
+up to SHORT words all runs are kept, as changes that COVERAGE allows may leave only one of them,
+and of those of up to TINY words the runs of K - 1 too. Every run of every document is looked up there. Where runs of a template are found, the template is aligned
 with the words around that diagonal, within a band, and reported if enough of its words match
 in order. Of overlapping reports the one with most matched words stays.
 
@@ -25,6 +26,8 @@ from tessera.llm.common import pick, text_chunks
 from tessera.llm.words import IN_NAME, located_words, shingles
 
 K, WINDOW = 3, 4
+#: Words of a template up to which all its runs are indexed, and up to which a changed word may lie in all its runs of K.
+SHORT, TINY = 64, 5
 #: Share of a template's words that must match, in order.
 COVERAGE = 0.8
 #: (license, template): notices as they stand in files and texts, and the opening grants of common licenses.
@@ -67,13 +70,13 @@ def name_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def winnow(values: np.ndarray, window: int = WINDOW) -> list[int]:
     """Places of the least value in each window, the rightmost of equal ones; all values if there are no more than a window's."""
+    if len(values) <= window:
+        return list(range(len(values)))
     kept: list[int] = []
-    for i in range(max(1, len(values) - window + 1)):
-        part = values[i : i + window]
-        if len(part):
-            at = i + len(part) - 1 - int(np.argmin(part[::-1]))
-            if not kept or kept[-1] != at:
-                kept.append(at)
+    for i in range(len(values) - window + 1):
+        at = i + window - 1 - int(np.argmin(values[i : i + window][::-1]))
+        if not kept or kept[-1] != at:
+            kept.append(at)
     return kept
 
 
@@ -90,9 +93,10 @@ class Index:
         for t, (license_, text) in enumerate(templates):
             hashes = name_words(text.encode())[0]
             held.append((license_, hashes))
-            runs = shingles(hashes, K)
-            for at in winnow(runs):
-                found[int(runs[at])].append((t, at))
+            for k in (K, K - 1) if len(hashes) <= TINY else (K,):
+                runs = shingles(hashes, k)
+                for at in range(len(runs)) if len(hashes) <= SHORT else winnow(runs):
+                    found[int(runs[at])].append((t, at))
         prints = np.array(sorted(found), dtype=np.uint64)
         common = np.zeros(1 << 16, dtype=bool)
         common[(prints >> np.uint64(48)).astype(np.int64)] = True
@@ -168,10 +172,11 @@ def scan(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, covera
             for first_row, end_row, data, offsets in text_chunks(batch.column(1)):
                 hashes, starts, ends, first = located_words(data, offsets, IN_NAME)
                 by_doc = defaultdict(list)
-                for place, number in index.hits(shingles(hashes, K)):
-                    doc = int(np.searchsorted(first, place, side="right")) - 1
-                    if place + K <= first[doc + 1]:
-                        by_doc[doc].append((place - int(first[doc]), number))
+                for k in (K, K - 1):
+                    for place, number in index.hits(shingles(hashes, k)):
+                        doc = int(np.searchsorted(first, place, side="right")) - 1
+                        if place + k <= first[doc + 1]:
+                            by_doc[doc].append((place - int(first[doc]), number))
                 n, names, shown = [0] * (end_row - first_row), [""] * (end_row - first_row), [""] * (end_row - first_row)
                 for doc, hits in by_doc.items():
                     a, b = int(first[doc]), int(first[doc + 1])

@@ -391,6 +391,23 @@ def test_licenses(spark, none):
     assert 0.8 <= float(got[4].spans.split(":")[3]) < 1 and licenses.scan(none).count() == 0
 
 
+def test_license_variants_of_one_word(spark):
+    """Each template with a word changed, left out or put in is found wherever its alignment reaches the coverage."""
+    rows, want = [], {}
+    index = licenses.Index.of(licenses.TEMPLATES)
+    for t, (_, text) in enumerate(licenses.TEMPLATES):
+        words_ = text.split()
+        for at in range(len(words_)):
+            for new in ([], ["zebra"], ["zebra", words_[at]]):
+                doc = " ".join(["plain"] * 9 + words_[:at] + new + words_[at + 1 :] + ["plain"] * 9)
+                template, hashes = index.templates[t][1], licenses.name_words(doc.encode())[0]
+                want[len(rows)] = licenses.align(template, hashes, -len(template), len(hashes))[0] >= licenses.COVERAGE * len(template)
+                rows.append((len(rows), doc, None, None, 0, None))
+    got = {r.doc_id: r.n_spans for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i in want if want[i] and not got[i]] == [] and sum(want.values()) > 500
+    assert licenses.winnow(np.array([4, 1, 3], np.uint64)) == [0, 1, 2]
+
+
 def test_license_alignment_equals_plain_lcs():
     rng = np.random.default_rng(3)
     for _ in range(60):
