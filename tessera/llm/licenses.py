@@ -3,7 +3,8 @@
 Templates are cut into words without punctuation and case; of their runs of K words, the least
 hash in each window of WINDOW runs is kept, with its place, in an inverted index; of templates of
 up to SHORT words all runs are kept, as changes that COVERAGE allows may leave only one of them,
-and of those of up to TINY words the runs of K - 1 too. Every run of every document is looked up there. Where runs of a template are found, the template is aligned
+and of those of up to TINY words the runs of K - 1 too. Every run of every document is looked up there. Where runs of a template (of a whole license text: a share of
+its runs) are found, the template is aligned
 with the words around that diagonal, within a band, and reported if enough of its words match
 in order. Of overlapping reports the one with most matched words stays.
 
@@ -14,9 +15,11 @@ exclusive, from the first matched word to the end of the last.
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,9 @@ from tessera.llm.words import IN_NAME, located_words, shingles
 K, WINDOW = 3, 4
 #: Words of a template up to which all its runs are indexed, and up to which a changed word may lie in all its runs of K.
 SHORT, TINY = 64, 5
+#: Share of the indexed runs of a template of more than SHORT words that a band must hold before it is aligned. Of
+#: runs of 3, a fifth of the words changed one by one leaves two fifths.
+HELD = 0.1
 #: Share of a template's words that must match, in order.
 COVERAGE = 0.8
 #: (license, template): notices as they stand in files and texts, and the opening grants of common licenses.
@@ -62,6 +68,13 @@ TEMPLATES = (
 )
 
 
+@functools.cache
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """(license, text) of the whole texts beside this module, named by their license. AGPL-3.0 is put together from GPL-3.0's
+    text, section 13 apart, so it has the preamble of that."""
+    return tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
 def name_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(text, dtype=np.uint8)
     hashes, starts, ends, _ = located_words(data, np.array([0, len(data)]), IN_NAME)
@@ -72,12 +85,8 @@ def winnow(values: np.ndarray, window: int = WINDOW) -> list[int]:
     """Places of the least value in each window, the rightmost of equal ones; all values if there are no more than a window's."""
     if len(values) <= window:
         return list(range(len(values)))
-    kept: list[int] = []
-    for i in range(len(values) - window + 1):
-        at = i + window - 1 - int(np.argmin(values[i : i + window][::-1]))
-        if not kept or kept[-1] != at:
-            kept.append(at)
-    return kept
+    parts = np.lib.stride_tricks.sliding_window_view(values, window)
+    return np.unique(np.arange(window - 1, len(values)) - np.argmin(parts[:, ::-1], axis=1)).tolist()
 
 
 @dataclass
@@ -85,26 +94,31 @@ class Index:
     templates: list[tuple[str, np.ndarray]]
     prints: np.ndarray  # sorted, distinct
     places: list[list[tuple[int, int]]]  # by print: (template, place)
-    common: np.ndarray  # of the prints' 16 highest bits
+    common: np.ndarray  # of the prints' 20 highest bits
+    least: list[int]  # by template: its runs that a band must hold
 
     @classmethod
     def of(cls, templates: Sequence[tuple[str, str]]) -> Index:
-        held, found = [], defaultdict(list)
+        held, least, found = [], [], defaultdict(list)
         for t, (license_, text) in enumerate(templates):
             hashes = name_words(text.encode())[0]
             held.append((license_, hashes))
+            least.append(1)
             for k in (K, K - 1) if len(hashes) <= TINY else (K,):
                 runs = shingles(hashes, k)
-                for at in range(len(runs)) if len(hashes) <= SHORT else winnow(runs):
+                chosen = range(len(runs)) if len(hashes) <= SHORT else winnow(runs)
+                for at in chosen:
                     found[int(runs[at])].append((t, at))
+                if len(hashes) > SHORT:
+                    least[t] = max(1, int(HELD * len(chosen)))
         prints = np.array(sorted(found), dtype=np.uint64)
-        common = np.zeros(1 << 16, dtype=bool)
-        common[(prints >> np.uint64(48)).astype(np.int64)] = True
-        return cls(held, prints, [found[int(p)] for p in prints], common)
+        common = np.zeros(1 << 20, dtype=bool)
+        common[(prints >> np.uint64(44)).astype(np.int64)] = True
+        return cls(held, prints, [found[int(p)] for p in prints], common, least)
 
     def hits(self, runs: np.ndarray) -> list[tuple[int, int]]:
         """(place of the run, number of the print)."""
-        near = np.flatnonzero(self.common[(runs >> np.uint64(48)).astype(np.int64)])
+        near = np.flatnonzero(self.common[(runs >> np.uint64(44)).astype(np.int64)])
         at = np.searchsorted(self.prints, runs[near])
         same = (at < len(self.prints)) & (self.prints[np.minimum(at, len(self.prints) - 1)] == runs[near])
         return list(zip(near[same].tolist(), at[same].tolist(), strict=True))
@@ -135,23 +149,48 @@ def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple
     return matched, -first, last
 
 
+def align_long(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """align() for whole license texts, a row of the band at a time. Cells: matched words, then first and last, reversed."""
+    width, mask = high - low + 1, (1 << 24) - 1
+    a, b = max(0, low), max(0, low, min(len(words), len(template) + high))
+    near, real = np.zeros(len(template) + width - 1, np.uint64), np.zeros(len(template) + width - 1, bool)
+    near[a - low : b - low], real[a - low : b - low] = words[a:b], True
+    row = np.zeros(width, np.int64)
+    for i, word in enumerate(template):
+        fresh = np.append(row[1:], 0)
+        at = np.flatnonzero((near[i : i + width] == word) & real[i : i + width])
+        was, j = row[at], mask - (at + i)
+        fresh[at] = np.maximum(fresh[at], (((was >> 48) + 1) << 48) | (np.where(was > 0, (was >> 24) & mask, j) << 24) | j)
+        row = np.maximum.accumulate(fresh)
+    top = int(row[-1])
+    return (top >> 48, mask - (top >> 24 & mask) + low, mask - (top & mask) + low) if top else (0, -1, -1)
+
+
+def dense(own: set[tuple[int, int]], band: int, least: int) -> list[int]:
+    """The diagonals, in order, around which a band of them holds so many runs of the template."""
+    d = np.sort(np.array([x for x, _ in own]))
+    return np.unique(d[np.searchsorted(d, d + band, "right") - np.searchsorted(d, d - band) >= least]).tolist()
+
+
 def spans(index: Index, words: np.ndarray, hits: list[tuple[int, int]], coverage: float = COVERAGE) -> list[tuple[int, int, int, int]]:
     """(first word, last word, matched, template), overlaps settled, in order."""
     diagonals = defaultdict(set)
     for place, number in hits:
         for t, at in index.places[number]:
-            diagonals[t].add(place - at)
+            diagonals[t].add((place - at, at))
     found = []
     for t, own in diagonals.items():
         template = index.templates[t][1]
         band = 3 + len(template) // 10
-        ordered = sorted(own)
+        ordered = dense(own, band, index.least[t]) if len(own) >= index.least[t] else []
+        if not ordered:
+            continue
         group = [ordered[0]]
         for d in [*ordered[1:], None]:
             if d is not None and d - group[-1] <= band:
                 group.append(d)
                 continue
-            matched, first, last = align(template, words, group[0] - band, group[-1] + band)
+            matched, first, last = (align if len(template) <= SHORT else align_long)(template, words, group[0] - band, group[-1] + band)
             if matched >= coverage * len(template):
                 found.append((first, last, matched, t))
             group = [d]
@@ -162,9 +201,9 @@ def spans(index: Index, words: np.ndarray, hits: list[tuple[int, int]], coverage
     return sorted(kept)
 
 
-def scan(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_spans, licenses (in order of name, comma-joined), spans (license:start:end:coverage, comma-joined)."""
-    templates = list(templates)
+def scan(df: DataFrame, templates: Sequence[tuple[str, str]] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_spans, licenses (in order of name, comma-joined), spans (license:start:end:coverage, comma-joined). templates: notices and whole texts, if not given."""
+    templates = list(templates) if templates is not None else [*TEMPLATES, *whole_texts()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index.of(templates)

@@ -408,6 +408,28 @@ def test_license_variants_of_one_word(spark):
     assert licenses.winnow(np.array([4, 1, 3], np.uint64)) == [0, 1, 2]
 
 
+def test_whole_license_texts(spark):
+    """Each whole text, its words changed here and there, is one span of its license; two of them in a document are two."""
+    rng = random.Random(8)
+    texts = dict(licenses.whole_texts())
+    rows, want = [], []
+    for name, text in texts.items():
+        words_ = [w if rng.random() < 0.97 else "zebra" for w in text.split()]
+        rows.append((len(rows), " ".join(["plain text"] * 50 + words_ + ["more text"] * 50), None, None, 0, None))
+        want.append(name)
+    rows.append((len(rows), texts["MIT"] + " between " * 30 + texts["GPL-2.0"] + " between " * 30 + texts["MIT"], None, None, 0, None))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    for i, name in enumerate(want):
+        cover = {x.split(":")[0]: float(x.split(":")[3]) for x in got[i].spans.split(",")}
+        assert cover.get(name, 0) > 0.9 and got[i].n_spans == 1, (name, got[i].spans)
+    assert [x.split(":")[0] for x in got[len(want)].spans.split(",")] == ["MIT", "GPL-2.0", "MIT"]
+    npr = np.random.default_rng(1)
+    for _ in range(200):
+        t, w = npr.integers(0, 6, 30).astype(np.uint64), npr.integers(0, 6, 50).astype(np.uint64)
+        low, high = sorted(npr.integers(-30, 50, 2).tolist())
+        assert licenses.align_long(t, w, low, high)[0] == licenses.align(t, w, low, high)[0]
+
+
 def test_license_alignment_equals_plain_lcs():
     rng = np.random.default_rng(3)
     for _ in range(60):
