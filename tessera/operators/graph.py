@@ -166,13 +166,21 @@ def call_chain(edges: DataFrame, origin: str, depth: int = 4) -> DataFrame:
     return chain
 
 
+#: Nodes and edges beyond which the flow isn't solved.
+TUBE_NODES, TUBE_EDGES = 250, 400
+
+
+def beyond_tube(nodes: Sequence[str], edges: Sequence[tuple[str, str, float]]) -> bool:
+    return len(nodes) > TUBE_NODES or len(edges) > TUBE_EDGES
+
+
 def physarum(nodes: Sequence[str], edges: Sequence[tuple[str, str, float]], sources: Sequence[str], rounds: int = 30, sweeps: int = 40) -> dict[tuple[str, str], float]:
     """Flow over a small graph (at most 250 nodes and 400 edges): conductances grow where flow is and fade elsewhere.
 
     The first source has pressure 10, the other ones 0; pressures settle by Gauss-Seidel sweeps in order of node id,
     which is part of the result. Edges with less than 8 % of the largest flow or a conductance under 0.12 are pruned.
     """
-    if len(nodes) > 250 or len(edges) > 400:
+    if beyond_tube(nodes, edges):
         return {}
     order = sorted(nodes)
     conductance = {(a, b): max(0.05, w) for a, b, w in edges}

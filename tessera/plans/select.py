@@ -117,13 +117,16 @@ def sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def activation_with_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spreading activation, modulated by the flow that the small graph of nations carries."""
+    """Spreading activation, modulated by the flow that the graph of nations carries; where it's beyond the kernel's bound, energies stay."""
     e = edges(spark, sf_dir)
     start = spark.createDataFrame([("cust:1", 1.0), ("cust:2", 0.8)], "id string, energy double")
     spread = G.spread(e, start, 2)
-    ends = e.filter("edge_type IN ('DependsOn', 'Contains')").join(spread.select(F.col("id").alias("source")), "source", "left_semi").limit(400).collect()
+    ends = e.filter("edge_type IN ('DependsOn', 'Contains')").join(spread.select(F.col("id").alias("source")), "source", "left_semi").limit(G.TUBE_EDGES + 1).collect()  # one more tells that they are too many
     rows = sorted((r.source, r.target, r.weight) for r in ends)
-    tube = G.physarum(sorted({x for a, b, _ in rows for x in (a, b)}), rows, ["cust:1", "cust:2"])
+    names = sorted({x for a, b, _ in rows for x in (a, b)})
+    if G.beyond_tube(names, rows):
+        return spread
+    tube = G.physarum(names, rows, ["cust:1", "cust:2"])
     flux: dict[str, float] = {}
     most = max(tube.values(), default=1.0)
     for (a, b), q in tube.items():

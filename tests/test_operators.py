@@ -10,6 +10,7 @@ from tessera.operators import graph as G
 from tessera.operators import learning as L
 from tessera.operators import parse as P
 from tessera.operators import vector as V
+from tessera.plans import select
 from tessera.sources import files, snapshot
 from tessera.streaming import state
 
@@ -39,6 +40,23 @@ def test_physarum_keeps_the_only_path_and_drops_dead_ends():
     assert G.physarum([str(i) for i in range(300)], edges, ["a"]) == {}
 
 
+def nation_edges(spark, people: int):
+    """cust:1, cust:2 and others of one nation in one region."""
+    rows = [(f"cust:{i}", "nation:1", "DependsOn", 0.5) for i in range(1, people + 1)] + [("region:1", "nation:1", "Contains", 1.0)]
+    df = spark.createDataFrame(rows, "source string, target string, edge_type string, weight double")
+    return df.select(F.concat_ws(">", "source", "target").alias("id"), "*", F.lit("proven").alias("state"))
+
+
+@pytest.mark.parametrize("people", [20, 240, 260, 450])
+def test_flux_leaves_energies_beyond_the_bound(spark, monkeypatch, people):
+    e = nation_edges(spark, people)
+    monkeypatch.setattr(select, "edges", lambda *_: e)
+    plain = {r.id: r.energy for r in G.spread(e, spark.createDataFrame([("cust:1", 1.0), ("cust:2", 0.8)], "id string, energy double"), 2).collect()}
+    got = {r.id: r.energy for r in select.activation_with_flux(spark, "").collect()}
+    assert got.keys() == plain.keys() and len(got) >= people
+    assert (got == plain) == (people > 248)  # with the nation and the region more than 250 nodes
+
+
 def test_greedy_dedup_follows_the_first_leader():
     assert V.greedy_dedup([(1, [1.0, 0.0]), (2, [0.95, 0.31]), (3, [0.0, 1.0]), (4, [0.3, 0.95])], 0.9) == [(1, 1), (2, 1), (3, 3), (4, 3)]
 
