@@ -195,13 +195,12 @@ def call_flow_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def physarum_tube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flow from a customer to others of its nation through nations and regions; a small graph solved as one."""
+    """The flow from a customer to others of its nation through nations and regions; none beyond the kernel's bound."""
     e = edges(spark, sf_dir)
     home = e.filter("edge_type = 'DependsOn' AND source = 'cust:1'").select("target")
     near = e.filter("edge_type = 'DependsOn'").join(F.broadcast(home), "target", "left_semi")
-    # the kernel's own bound is 400 edges: the nation's first customers by id, and all regions
-    some = near.orderBy(F.length("source"), "source").limit(200).select("source", "target", "weight").unionByName(e.filter("edge_type = 'Contains'").select("source", "target", "weight"))
-    rows = sorted((r.source, r.target, r.weight) for r in some.collect())
+    whole = near.select("source", "target", "weight").unionByName(e.filter("edge_type = 'Contains'").select("source", "target", "weight"))
+    rows = sorted((r.source, r.target, r.weight) for r in whole.limit(G.TUBE_EDGES + 1).collect())  # one more tells that they are too many
     people = [a for a, _, _ in rows if a.startswith("cust:")]
     names = sorted({x for a, b, _ in rows for x in (a, b)})
     tube = G.physarum(names, rows, ["cust:1", *[p for p in people if p != "cust:1"][:2]])

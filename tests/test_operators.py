@@ -10,6 +10,7 @@ from tessera.operators import graph as G
 from tessera.operators import learning as L
 from tessera.operators import parse as P
 from tessera.operators import vector as V
+from tessera.plans import graph as graph_plans
 from tessera.plans import select
 from tessera.sources import files, snapshot
 from tessera.streaming import state
@@ -57,6 +58,17 @@ def test_flux_leaves_energies_beyond_the_bound(spark, monkeypatch, people):
     assert (got == plain) == (people > 248)  # with the nation and the region more than 250 nodes
 
 
+@pytest.mark.parametrize("people", [20, 230, 260, 450])
+def test_tube_is_of_the_whole_nation_or_empty(spark, monkeypatch, people):
+    e = nation_edges(spark, people)
+    monkeypatch.setattr(graph_plans, "edges", lambda *_: e)
+    got = {(r.source, r.target): r.flux for r in graph_plans.physarum_tube(spark, "").collect()}
+    rows = sorted((r.source, r.target, r.weight) for r in e.collect())
+    people_of = [a for a, _, _ in rows if a.startswith("cust:")]
+    plain = G.physarum(sorted({x for a, b, _ in rows for x in (a, b)}), rows, ["cust:1", *[p for p in people_of if p != "cust:1"][:2]])
+    assert got == {k: round(q, 6) for k, q in plain.items()} and bool(got) == (people <= 248)
+
+
 def test_greedy_dedup_follows_the_first_leader():
     assert V.greedy_dedup([(1, [1.0, 0.0]), (2, [0.95, 0.31]), (3, [0.0, 1.0]), (4, [0.3, 0.95])], 0.9) == [(1, 1), (2, 1), (3, 3), (4, 3)]
 
