@@ -10,7 +10,8 @@ import numpy as np
 _HEAD = struct.Struct("<QQQQ")
 #: Bits of a successor's number, below its context's rank; quantised log10 probabilities run from -LOWEST to 0.
 SUCCESSOR_BITS, LOWEST = 40, 16.0
-STEPS = (1 << 16) - 1
+#: The last 16-bit value is left for what has no probability.
+STEPS = (1 << 16) - 2
 
 
 class EliasFano:

@@ -37,7 +37,7 @@ DISCOUNT = 0.75
 #: Tokens of a run, and of a shard; a context with more tokens than HOT is spread.
 RUN_TOKENS, SHARD_TOKENS, HOT = 2_000_000, 2_000_000, 2_000_000
 #: In place of a quantised probability: the bigram isn't in training.
-ABSENT = STEPS
+ABSENT = STEPS + 1
 
 
 def held_out(doc_id: object, folds: int, fold: int) -> bool:
@@ -215,7 +215,9 @@ class Run:
             steps[self.asked[c:d]] = np.frombuffer(r["b"], "<u2")
         unigram = (self.count + 1.0) / (tokens + 1.0 * (distinct + 1))
         n = self.count[self.context]
-        share = np.where(self.known, np.maximum(self.n - discount, 0.0) / np.maximum(n, 1), np.where(steps == ABSENT, 0.0, 10.0 ** restored(np.minimum(steps, ABSENT - 1))))
+        # what the run knows alone is rounded as in the trie, so that no score depends on the runs
+        own = restored(quantised(np.log10(np.maximum(self.n - discount, 1e-12) / np.maximum(n, 1))))
+        share = np.where(self.known, np.where(self.n > 0, 10.0**own, 0.0), np.where(steps == ABSENT, 0.0, 10.0 ** restored(np.minimum(steps, ABSENT - 1))))
         rest = discount * follow[self.context] / np.maximum(n, 1)
         logs = np.log10(np.where(n > 0, share + rest * unigram[self.word], unigram[self.word]))[self.bigram]
         begin = np.cumsum(self.length) - self.length
@@ -291,7 +293,7 @@ def score(df: DataFrame, folds: int = 7, fold: int = 2, discount: float = DISCOU
         for c, f, s in zip(contexts, follow, successors, strict=True):
             afters.append(packed(after[np.searchsorted(found, c)]))
             logs = trie.lookup(np.repeat(c, f), s)
-            steps.append(np.where(np.isnan(logs), ABSENT, np.minimum(quantised(np.nan_to_num(logs)), ABSENT - 1)).astype("<u2").tobytes())
+            steps.append(np.where(np.isnan(logs), ABSENT, quantised(np.nan_to_num(logs))).astype("<u2").tobytes())
         k = len(runs_)
         return pa.table({"kind": pa.array([2] * k, pa.int32()), "run": pa.array(runs_, pa.int64()), "shard": pa.array([shard] * k, pa.int32()), "a": pa.array(afters, pa.binary()), "b": pa.array(steps, pa.binary())})
 

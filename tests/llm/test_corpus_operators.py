@@ -205,6 +205,16 @@ def test_language_model(docs, rows, none, monkeypatch, run_tokens):
     assert language_model.score(none).count() == 0
 
 
+def test_language_model_scores_do_not_depend_on_runs(docs, monkeypatch):
+    scores = []
+    for run_tokens in (2_000_000, 400):
+        monkeypatch.setattr(language_model, "RUN_TOKENS", run_tokens)
+        frame = docs.coalesce(1) if run_tokens > 400 else docs
+        scores.append({r.doc_id: r.score for r in language_model.score(frame).collect()})
+    assert scores[0].keys() == scores[1].keys()
+    assert all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-9, abs_tol=1e-9) for i in scores[0])
+
+
 def test_elias_fano_trie():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 5, 3000):
