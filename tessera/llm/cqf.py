@@ -80,12 +80,19 @@ def decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted runs side by side, merged in order; counts of equal fingerprints add up."""
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    found = np.concatenate([f for f, _ in parts])
-    counts = np.concatenate([c for _, c in parts])
-    order = np.argsort(found, kind="stable")
-    found, counts = found[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
-    return found[first], np.add.reduceat(counts, first) if len(first) else counts
+    """Sorted filters, merged two by two without a sort; counts of equal fingerprints add up."""
+    runs = list(parts) or [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    while len(runs) > 1:
+        runs = [merge_two(*runs[i : i + 2]) for i in range(0, len(runs) - 1, 2)] + runs[len(runs) & ~1 :]
+    return runs[0]
+
+
+def merge_two(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint of b adds to its equal in a, or goes in where its remainder belongs."""
+    (found, counts), (more, n) = a, b
+    at = np.searchsorted(found, more)
+    same = at < len(found)
+    same[same] = found[at[same]] == more[same]
+    counts = counts.copy()
+    counts[at[same]] += n[same]
+    return np.insert(found, at[~same], more[~same]), np.insert(counts, at[~same], n[~same])

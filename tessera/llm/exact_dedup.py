@@ -9,7 +9,9 @@ partial aggregation before the shuffle, so two texts with one fingerprint stay a
 Defined results: a null text is empty, so nulls and empty texts are equal; of equal texts the
 row with the largest doc_id stays; rows with a null doc_id never win over others; rows that
 repeat a doc_id and its text are rows of one document and are flagged alike (`distinct` keeps
-one of them); an empty table gives an empty result; extra columns are ignored.
+one of them, and one of several equal texts whose ids are all null); rows that repeat a doc_id
+with different texts are judged by their texts; an empty table gives an empty result; extra
+columns of any name are ignored, and kept by `distinct`.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import cqf
-from tessera.llm.common import pick, sized, text_or_empty, written
+from tessera.llm.common import fresh, pick, sized, text_or_empty, written
 
 #: Distinct fingerprints that a block is to hold; blocks at most, as bits.
 BLOCK_ROWS, MOST_BITS = 1 << 18, 14
@@ -66,9 +68,8 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
     return prints.mapInArrow(partial, "block int, filter binary").groupBy("block").applyInArrow(combine, "fp long, n long")
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    docs = pick(df, doc_id=id_col, text=text_col).withColumn("text", text_or_empty()).withColumn("fp", F.xxhash64("text"))
+def groups_of(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, fp): the texts of two rows or more as (fp, text_sha256, keep_id, group_size)."""
     repeated = written(repeated_fingerprints(docs.select("fp"), docs.count()), "dedup-repeated")
     suspects = docs.join(sized(repeated.select("fp")), "fp", "left_semi")
     verified = (
@@ -76,7 +77,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("fp", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    groups = written(verified.filter("group_size > 1"), "dedup-groups")
+    return written(verified.filter("group_size > 1"), "dedup-groups")
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    docs = pick(df, doc_id=id_col, text=text_col).withColumn("text", text_or_empty()).withColumn("fp", F.xxhash64("text"))
+    groups = groups_of(docs)
     rows = docs.select("doc_id", "fp", F.sha2("text", 256).alias("text_sha256"))
     joined = rows.join(sized(groups), ["fp", "text_sha256"], "left")
     return joined.select(
@@ -89,13 +96,17 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def distinct(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns."""
-    gone = written(classes(df, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "dedup-gone")
-    key = df[f"`{id_col}`"]
-    kept = df.join(sized(gone), key == gone["_gone"], "left_anti")
-    again = written(df.groupBy(key.alias("_again")).count().filter("count > 1").select("_again"), "dedup-again")
+    """The rows of df that stay, one for each text, with all their columns."""
+    text = F.coalesce(df[f"`{text_col}`"], F.lit(""))
+    docs = pick(df, doc_id=id_col, text=text_col).withColumn("text", text_or_empty()).withColumn("fp", F.xxhash64("text"))
+    fp, sha, keep, size = fresh(df, "fp", "sha", "keep", "size")
+    groups = groups_of(docs).toDF(fp, sha, keep, size)
+    marked = df.withColumns({fp: F.xxhash64(text), sha: F.sha2(text, 256)}).join(sized(groups), [fp, sha], "left")
+    alone = F.col(f"`{size}`").isNull()
+    kept = marked.filter(alone | F.col(f"`{id_col}`").eqNullSafe(F.col(f"`{keep}`")))
+    again = written(kept.filter(~alone).groupBy(fp, sha).count().filter("count > 1").select(fp, sha), "dedup-again")
+    columns = [f"`{c}`" for c in df.columns]
     if again.isEmpty():
-        return kept
-    same = F.col("_again").eqNullSafe(key)
-    once = kept.join(sized(again), same, "left_anti")
-    return once.unionByName(kept.join(sized(again), same, "left_semi").dropDuplicates([id_col, text_col]))
+        return kept.select(columns)
+    once = kept.join(sized(again), [fp, sha], "left_anti").select(columns)
+    return once.unionByName(kept.join(sized(again), [fp, sha], "left_semi").dropDuplicates([fp, sha]).select(columns))
