@@ -5,34 +5,39 @@ once more with the fractional probability. Those probabilities are rounded depen
 documents, words' worth of probability moves from one to the other, up or down at random such
 that the expectation stays, until one of the two is at 0 or 1; the other goes on to the next.
 Documents meet in blocks of about BLOCK within a source, and what a block leaves (one document
-at most) meets the others' leftovers in the next level of a reduction tree. So each source's
-taken words differ from its target by less than the last leftover's size.
+at most) meets the others' leftovers in the next level of a reduction tree. In a source's last
+level the largest documents come first, and each meets all the smaller ones as one partner: mass
+moves between it and them, in shares that are the same in both directions, until it or half of
+them are integral. So a document that is a large part of its source is settled by chance too, and
+its words are made up for by many others. The last leftover of a source takes the nearer of 0 and 1, so its taken words differ from its target by half of that
+document's size at most, whatever the source's size.
 
 Blocks are dealt by a hash of the document, so a source with a third of all rows is many tasks,
 and reruns agree.
 
 Defined results: a null text has no words; a null source is a source, last in order; a document
-of no words is taken 0 times; repeated rows are documents of their own and are told apart by a
-number; an empty table gives an empty result; extra columns are ignored.
+of no words is taken 0 times; a null id is an id; repeated rows are documents of their own and
+are told apart by a number; an empty table gives an empty result; extra columns of any name are
+ignored, and kept by `mixed`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, sized, written
+from tessera.llm.common import fresh, pick, sized, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Documents that meet in one block of the tree, about.
 BLOCK = 32
-#: Of each source about so many documents, times the share of short ones, wait for the last level: short ones that
-#: meet last leave a short leftover.
+#: Of each source about so many documents, dealt by hash, wait for the last level: the short ones among them meet last
+#: and leave a short leftover.
 RESERVE = 256
-#: A document with more than one such part of its source's words isn't left to chance: it takes the nearer of 0 and 1,
-#: or the source would end far from its target.
-GIANT = 64
+#: So many of the largest documents of a source's last level meet all smaller ones there as one partner.
+POOLED = 16
 
 
 def word_count(text: Column) -> Column:
@@ -75,13 +80,13 @@ aggregate(slice(items, 2, size(items)), named_struct('c', items[0], 'done', slic
   CASE WHEN acc.c.p <= 0D OR acc.c.p >= 1D THEN named_struct('c', x, 'done', concat(acc.done, array(acc.c)))
   ELSE transform(array(named_struct(
       'up', least((1D - acc.c.p) * acc.c.s, x.p * x.s), 'down', least(acc.c.p * acc.c.s, (1D - x.p) * x.s),
-      'u', IF(acc.c.g, IF(acc.c.p >= 0.5D, -1D, 2D), pmod(xxhash64(acc.c.doc_id, acc.c.k, acc.c.s, x.doc_id, x.k, x.s, {seed}), 1073741824L) / 1073741824D))), m ->
+      'u', pmod(xxhash64(acc.c.doc_id, acc.c.k, acc.c.s, x.doc_id, x.k, x.s, {seed}), 1073741824L) / 1073741824D)), m ->
     transform(array(IF(m.u * (m.up + m.down) < m.down,
         named_struct('c', acc.c.p + m.up / acc.c.s, 'x', x.p - m.up / x.s),
         named_struct('c', acc.c.p - m.down / acc.c.s, 'x', x.p + m.down / x.s))), q ->
       transform(array(named_struct(
-          'c', named_struct('s', acc.c.s, 'g', acc.c.g, 'h', acc.c.h, 'doc_id', acc.c.doc_id, 'k', acc.c.k, 'p', CASE WHEN q.c < 1e-11D THEN 0D WHEN q.c > 1D - 1e-11D THEN 1D ELSE q.c END),
-          'x', named_struct('s', x.s, 'g', x.g, 'h', x.h, 'doc_id', x.doc_id, 'k', x.k, 'p', CASE WHEN q.x < 1e-11D THEN 0D WHEN q.x > 1D - 1e-11D THEN 1D ELSE q.x END))), e ->
+          'c', named_struct('s', acc.c.s, 'h', acc.c.h, 'doc_id', acc.c.doc_id, 'k', acc.c.k, 'p', CASE WHEN q.c < 1e-11D THEN 0D WHEN q.c > 1D - 1e-11D THEN 1D ELSE q.c END),
+          'x', named_struct('s', x.s, 'h', x.h, 'doc_id', x.doc_id, 'k', x.k, 'p', CASE WHEN q.x < 1e-11D THEN 0D WHEN q.x > 1D - 1e-11D THEN 1D ELSE q.x END))), e ->
         IF(e.c.p <= 0D OR e.c.p >= 1D,
           named_struct('c', e.x, 'done', concat(acc.done, array(e.c))),
           named_struct('c', e.c, 'done', concat(acc.done, array(e.x)))))[0])[0])[0]
@@ -90,6 +95,37 @@ aggregate(slice(items, 2, size(items)), named_struct('c', items[0], 'done', slic
 """
 
 
+def pooled(items: Column, seed: int) -> Column:
+    """Items by size: each of the first ones meets all after it as one partner. Those give or take in proportion to the
+    smaller of p and 1 - p, the same share in both directions, so every expectation stays."""
+
+    def spare(x: Column) -> Column:
+        return F.least(x["p"], 1 - x["p"])
+
+    def moved(x: Column) -> Column:
+        up, down = F.least((1 - x["c"]["p"]) * x["c"]["s"], x["rest"]), F.least(x["c"]["p"] * x["c"]["s"], x["rest"])
+        chance = F.pmod(F.xxhash64(x["c"]["doc_id"], x["c"]["k"], x["c"]["s"], F.lit(seed + 3)), F.lit(1 << 30)) / (1 << 30)
+        return F.struct(F.when(chance * (up + down) < down, up).otherwise(-down).alias("by"), x["rest"].alias("rest"))
+
+    def settled(p: Column) -> Column:
+        return F.when(p < 1e-11, 0.0).when(p > 1 - 1e-11, 1.0).otherwise(p)
+
+    def meet(xs: Column, at: Column) -> Column:
+        rest = F.aggregate(F.slice(xs, at + 2, F.size(xs)), F.lit(0.0), lambda total, x: total + spare(x) * x["s"])
+        move = F.transform(F.array(F.struct(F.element_at(xs, at + 1).alias("c"), rest.alias("rest"))), moved)
+
+        def apply(m: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                p = F.when(i == at, x["p"] + m["by"] / x["s"]).when((i > at) & (m["rest"] > 0), x["p"] - m["by"] / m["rest"] * spare(x)).otherwise(x["p"])
+                return F.struct(x["s"], x["h"], x["doc_id"], x["k"], settled(p).alias("p"))
+
+            return F.transform(xs, one)
+
+        return F.when(at + 1 < F.size(xs), F.transform(move, apply)[0]).otherwise(xs)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(POOLED - 1)), items, meet)
+
+
 def mix(
     df: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -114,9 +150,9 @@ def mix(
     ).withColumn("sure", F.floor("x")).withColumn("p", F.col("x") - F.col("sure"))
     fractional = wished.filter("p > 1e-11 AND p < 1 - 1e-11").select(
         "source",
-        F.expr(f"size * n * 4 <= source_size AND pmod(xxhash64(doc_id, size, k, {seed + 2}), n) < {RESERVE}").alias("waits"),
+        F.expr(f"pmod(xxhash64(doc_id, size, k, {seed + 2}), n) < {RESERVE}").alias("waits"),
         F.expr(f"pmod(xxhash64(doc_id, size, k, {seed}), CAST(ceil(n / {BLOCK}) AS BIGINT))").alias("block"),
-        F.expr(f"named_struct('s', CAST(size AS DOUBLE), 'g', size * {GIANT} > source_size, 'h', xxhash64(doc_id, size, k, {seed + 1}), 'doc_id', doc_id, 'k', k, 'p', p)").alias("item"),
+        F.expr(f"named_struct('s', CAST(size AS DOUBLE), 'h', xxhash64(doc_id, size, k, {seed + 1}), 'doc_id', doc_id, 'k', k, 'p', p)").alias("item"),
     )
     open_rows = fractional.filter("NOT waits").drop("waits")
     levels, blocks = [], -(-most_docs // BLOCK)
@@ -125,6 +161,8 @@ def mix(
             open_rows = open_rows.select("source", "item").unionByName(fractional.filter("waits").select("source", "item")).withColumn("block", F.lit(0).cast("long"))
         # bounded: a block has about BLOCK documents or leftovers; larger documents settle first
         met = open_rows.groupBy("source", "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
+        if blocks <= 1:
+            met = met.withColumn("items", pooled(F.col("items"), seed))
         level = written(met.select("source", "block", F.explode(F.expr(_MEET.replace("{seed}", str(seed)))).alias("item")), "mix-level")
         last = blocks <= 1
         settled = level if last else level.filter("item.p <= 0 OR item.p >= 1")
@@ -146,16 +184,15 @@ def mix(
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of df as often as the mix takes them, with all their columns."""
-    from pyspark.sql import Window as W
-
-    copies = written(mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("k").alias("_k"), "copies").withColumnRenamed("copies", "_copies"), "mix-copies")
-    kept = list(df.columns)
-    size = word_count(df[f"`{text_col}`"])
-    rows = df.withColumn("_n", size)
-    if copies.filter("_k > 1").isEmpty():
-        rows = rows.withColumn("_row", F.lit(1).cast("long"))
+    size, row, words, copies, copy, id_, source, k = fresh(df, "size", "row", "words", "copies", "copy", "id", "source_of", "k")
+    taken = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter("copies > 0")
+    taken = written(taken.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(words), F.col("k").alias(k), F.col("copies").alias(copies)), "mix-copies")
+    rows = df.withColumn(size, word_count(df[f"`{text_col}`"]))
+    if taken.filter(F.col(k) > 1).isEmpty():
+        rows = rows.withColumn(row, F.lit(1).cast("long"))
     else:
-        rows = rows.withColumn("_row", F.row_number().over(W.partitionBy(id_col, source_col, "_n").orderBy(text_col)).cast("long"))
-    on = rows[f"`{id_col}`"].eqNullSafe(copies["_id"]) & rows[f"`{source_col}`"].eqNullSafe(copies["_source"]) & (rows["_n"] == copies["_size"]) & (rows["_row"] == copies["_k"])
-    # one row of `copies` for each document: always a join of two shuffled sides
-    return rows.join(copies.hint("merge"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[f"`{c}`" for c in kept])
+        rows = rows.withColumn(row, F.row_number().over(W.partitionBy(f"`{id_col}`", f"`{source_col}`", size).orderBy(f"`{text_col}`")).cast("long"))
+    on = rows[f"`{id_col}`"].eqNullSafe(taken[id_]) & rows[f"`{source_col}`"].eqNullSafe(taken[source]) & (rows[size] == taken[words]) & (rows[row] == taken[k])
+    # one row of `taken` for each document: always a join of two shuffled sides
+    joined = rows.join(taken.hint("merge"), on)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select([rows[f"`{c}`"] for c in df.columns])
