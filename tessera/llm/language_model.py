@@ -6,19 +6,22 @@ to one over the vocabulary and one unknown word.
 
 All documents train but the held-out ones. The corpus is cut in runs of documents. Each run
 sends the counts of its words to the words' shards and gets corpus counts back. A bigram whose
-first or second word occurs in this run alone has its corpus count there already; all others go to their contexts' shards. A shard merges the runs' counts into a trie
-(contexts, pointers, successors, quantised probabilities) and answers the runs' bigrams from it
-by successor search within the context. Contexts with very many tokens are spread over shards
-by successor. So no task holds more than a share of the corpus, whatever its size.
+first or second word occurs in this run alone has its corpus count there already, and the run
+keeps it in a trie of its own; all others go to their contexts' shards. A shard merges the runs'
+counts into a trie. Every trie has the same levels (contexts, pointers, successors, quantised
+probabilities), and every trained bigram is answered from one by successor search within its
+context, so scores depend neither on runs nor on partitions. Contexts with very many tokens are
+spread over shards by successor. So no task holds more than a share of the corpus, whatever its
+size.
 
 Defined results: a null text is empty and scores its end alone; with no training rows every
-word is unknown; a null id is never held out; repeated rows are scored, and count, once each;
-an empty table gives an empty result; extra columns are ignored.
+word is unknown; ids are of any type, and a null id is never held out; repeated rows, and rows
+that repeat an id with other texts, are scored, and count, once each; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import packed, partitions, pick, text_chunks, unpacked, written
 from tessera.llm.elias_fano import STEPS, Trie, quantised, restored
@@ -40,12 +44,8 @@ RUN_TOKENS, SHARD_TOKENS, HOT = 2_000_000, 2_000_000, 2_000_000
 ABSENT = STEPS + 1
 
 
-def held_out(doc_id: object, folds: int, fold: int) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
-
-
-def runs_of(docs: DataFrame, shards: int, folds: int, fold: int) -> DataFrame:
-    """Kind 0: a run of documents (a: ids' places in Arrow, b: held out, c: lengths, d: vocabulary, e: tokens). Kind 1: its
+def runs_of(docs: DataFrame, shards: int) -> DataFrame:
+    """docs: doc_id, text, held_out. Kind 0: a run of documents (a: ids' places in Arrow, b: held out, c: lengths, d: vocabulary, e: tokens). Kind 1: its
     words of one shard (a) and their training counts (b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,20 +55,19 @@ def runs_of(docs: DataFrame, shards: int, folds: int, fold: int) -> DataFrame:
             for first, end, data, offsets in text_chunks(batch.column(1)):
                 found, _, start = words(data, offsets)
                 n = np.diff(start)
-                own = batch.column(0).slice(first, end - first).to_pylist()
-                ids += own
-                held += [held_out(i, folds, fold) for i in own]
+                ids.append(batch.column(0).slice(first, end - first))
+                held.append(batch.column(2).slice(first, end - first).to_numpy(zero_copy_only=False))
                 lengths.append(n + 1)
                 hashes.append(np.insert(found, start[1:], END))
-                size += int(n.sum()) + len(own)
+                size += int(n.sum()) + len(n)
                 if size >= RUN_TOKENS:
                     yield table(number, ids, held, lengths, hashes)
                     ids, held, lengths, hashes, size, number = [], [], [], [], 0, number + 1
         if ids:
             yield table(number, ids, held, lengths, hashes)
 
-    def table(number: int, ids: list, held: list[bool], lengths: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
-        length, flat, out = np.concatenate(lengths), np.concatenate(hashes), np.array(held, dtype=bool)
+    def table(number: int, ids: list, held: list[np.ndarray], lengths: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        length, flat, out = np.concatenate(lengths), np.concatenate(hashes), np.concatenate(held).astype(bool)
         vocab, token, often = np.unique(flat, return_inverse=True, return_counts=True)
         order = np.argsort(-often, kind="stable")  # frequent words get small numbers, which pack well
         rank = np.empty(len(order), dtype=np.int64)
@@ -90,9 +89,10 @@ def runs_of(docs: DataFrame, shards: int, folds: int, fold: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, run long, shard int, a binary, b binary, c binary, d binary, e binary")
 
 
-def packed_ids(ids: list) -> bytes:
+def packed_ids(ids: list[pa.Array]) -> bytes:
+    """The ids as they came, of whatever type."""
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([pa.array(ids)], ["doc_id"])
+    batch = pa.RecordBatch.from_arrays([pa.concat_arrays(ids)], ["doc_id"])
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
@@ -184,6 +184,9 @@ class Run:
         self.places = np.repeat(seen, repeat)
         subs = np.arange(len(self.places)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
         shard = self.shard_of(self.places, subs)
+        # a context whose spreads meet in a shard is one place there
+        _, once = np.unique(shard * size + self.places, return_index=True)
+        self.places, subs, shard = self.places[once], subs[once], shard[once]
         order = np.lexsort((self.code[self.places], shard))
         self.places, self.first, self.places_shard = self.places[order], (subs == 0)[order], shard[order]
 
@@ -203,6 +206,17 @@ class Run:
                 packed(follow), packed(self.code[self.word[asked]], "<u8"), packed(self.n[asked]),
             )
 
+    def own_steps(self, discount: float) -> np.ndarray:
+        """Quantised probabilities of the bigrams that this run knows alone, from a trie of them."""
+        context, word, n = (x[self.known] for x in (self.context, self.word, self.n))
+        places, follow = np.unique(context, return_counts=True)
+        trained = n > 0
+        held, each = np.unique(context[trained], return_counts=True)
+        logs = np.log10((n[trained] - discount) / self.count[context[trained]])
+        trie = Trie.mapped(Trie.encode(held.astype(np.uint64), each, word[trained].astype(np.uint64), logs))
+        found = trie.lookup(places.astype(np.uint64), follow, word.astype(np.uint64))
+        return np.where(np.isnan(found), ABSENT, quantised(np.nan_to_num(found)))
+
     def score(self, back: pa.Table, tokens: int, distinct: int, discount: float) -> pa.RecordBatch:
         steps = np.full(len(self.context), ABSENT, dtype=np.int64)
         follow = np.where(self.alone, self.own, 0)
@@ -215,9 +229,8 @@ class Run:
             steps[self.asked[c:d]] = np.frombuffer(r["b"], "<u2")
         unigram = (self.count + 1.0) / (tokens + 1.0 * (distinct + 1))
         n = self.count[self.context]
-        # what the run knows alone is rounded as in the trie, so that no score depends on the runs
-        own = restored(quantised(np.log10(np.maximum(self.n - discount, 1e-12) / np.maximum(n, 1))))
-        share = np.where(self.known, np.where(self.n > 0, 10.0**own, 0.0), np.where(steps == ABSENT, 0.0, 10.0 ** restored(np.minimum(steps, ABSENT - 1))))
+        steps[self.known] = self.own_steps(discount)
+        share = np.where(steps == ABSENT, 0.0, 10.0 ** restored(np.minimum(steps, ABSENT - 1)))
         rest = discount * follow[self.context] / np.maximum(n, 1)
         logs = np.log10(np.where(n > 0, share + rest * unigram[self.word], unigram[self.word]))[self.bigram]
         begin = np.cumsum(self.length) - self.length
@@ -259,12 +272,14 @@ def build_trie(contexts: np.ndarray, counts: np.ndarray, own: np.ndarray, of: np
 
 def score(df: DataFrame, folds: int = 7, fold: int = 2, discount: float = DISCOUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    kind = df.schema[id_col].dataType.simpleString()
-    docs = pick(df, doc_id=id_col, text=text_col)
+    id_type = df.schema[id_col].dataType
+    kind = id_type.simpleString()
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
+    docs = pick(df, doc_id=id_col, text=text_col).withColumn("held_out", held)
     # about six bytes a word; the sizes of shards need no more
     size = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     shards = max(partitions(df), -(-size // SHARD_TOKENS))
-    first = written(runs_of(docs, shards, folds, fold), "lm-runs")
+    first = written(runs_of(docs, shards), "lm-runs")
     runs = first.filter("kind = 0").select("run", "a", "b", "c", "d", "e")
     counted = written(first.filter("kind = 1").select("run", "shard", "a", "b").groupBy("shard").applyInArrow(lambda group: merge_words(group, shards), "kind int, run long, shard int, a binary, b binary, v long, n long"), "lm-words")
     sums = counted.filter("run = -1").agg(F.sum("v"), F.sum("n")).first()
@@ -292,7 +307,7 @@ def score(df: DataFrame, folds: int = 7, fold: int = 2, discount: float = DISCOU
         afters, steps = [], []
         for c, f, s in zip(contexts, follow, successors, strict=True):
             afters.append(packed(after[np.searchsorted(found, c)]))
-            logs = trie.lookup(np.repeat(c, f), s)
+            logs = trie.lookup(c, f, s)
             steps.append(np.where(np.isnan(logs), ABSENT, quantised(np.nan_to_num(logs))).astype("<u2").tobytes())
         k = len(runs_)
         return pa.table({"kind": pa.array([2] * k, pa.int32()), "run": pa.array(runs_, pa.int64()), "shard": pa.array([shard] * k, pa.int32()), "a": pa.array(afters, pa.binary()), "b": pa.array(steps, pa.binary())})
@@ -303,5 +318,5 @@ def score(df: DataFrame, folds: int = 7, fold: int = 2, discount: float = DISCOU
         return pa.concat_tables([Run(row, right, shards).score(right, tokens, distinct, discount) for row in left.to_pylist()] or [empty])
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    empty = pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{x: pa.array([], pa.int64()) for x in ("n_tokens", "n_known", "train_tokens")}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+    empty = pa.table({"doc_id": pa.array([], to_arrow_type(id_type)), "held_out": pa.array([], pa.bool_()), **{x: pa.array([], pa.int64()) for x in ("n_tokens", "n_known", "train_tokens")}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
     return runs.groupBy("run").cogroup(back.unionByName(answers).groupBy("run")).applyInArrow(finish, schema)
