@@ -6,12 +6,15 @@ it a linear SVM for each pair of languages votes. All machines are linear, so a
 decision values are means of weights over its trigrams: the whole text is read in one pass.
 
 The machines are fitted on the driver from a bounded sample of labelled rows: of each language
-the `per_lang` training rows with the smallest hash of their doc_id, for the `most_langs`
-most frequent languages. The language, source and id of a row never enter its prediction.
+the `per_lang` training documents with the smallest hash of their doc_id, fewer where there are
+so many languages that the sample would pass `most_rows`. Every language of the training rows
+is learned. The language, source and id of a row never enter its prediction.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with no labelled
-training rows everything is `und`; repeated rows give repeated rows; an empty table gives an
-empty result; extra columns are ignored.
+training rows everything is `und`; a row with a null id is in training; rows that repeat an id,
+its text and language are one document of the sample, and give repeated rows of the result; equal
+votes go to the language with the wider margin, then to the first by name; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,15 +143,19 @@ def held_out_column(id_col: str = "doc_id", folds: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, most_langs: int = 64) -> Model | None:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, most_rows: int = 16_000) -> Model | None:
     """Fits the machines on training rows (crc32 of the id's text mod 5 not 0, text and language not null)."""
     rows = pick(df, doc_id=id_col, text=text_col, lang=lang_col).filter(~held_out_column() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
-    if not common:
+    langs = rows.select(F.count_distinct("lang")).first()[0]
+    if not langs:
         return None
-    near = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").filter(F.col("lang").isin(common)).withColumn("n", F.row_number().over(near)).filter(F.col("n") <= per_lang)
-    sample = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").filter(F.col("lang").isin(common)).select("lang", "text")
+    share = max(1, min(per_lang, most_rows // langs))
+    keyed = rows.select("lang", "doc_id", F.xxhash64("text").alias("fp"), "text")
+    near = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "fp")
+    chosen = keyed.select("lang", "doc_id", "fp").withColumn("n", F.dense_rank().over(near)).filter(F.col("n") <= share).select("lang", "doc_id", "fp").distinct()
+    chosen = F.broadcast(chosen.toDF("l", "i", "f"))  # most_rows rows at most, or one a language
+    same = F.col("lang").eqNullSafe(F.col("l")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f"))
+    sample = keyed.join(chosen, same, "left_semi").dropDuplicates(["lang", "doc_id", "fp"]).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +164,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 data = [features(t.as_py()).astype(np.float32).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["lang", "x"])
 
-    # bounded: per_lang rows a language, most_langs languages, 32 KB a row
+    # bounded: most_rows rows, or one a language, of 32 KB
     got = sorted(((r.lang, bytes(r.x)) for r in sample.mapInArrow(vectors, "lang string, x binary").toLocalIterator()))
     x = np.array([np.frombuffer(v, dtype=np.float32) for _, v in got], dtype=np.float64)
     return Model.fit(x, [lang for lang, _ in got])
