@@ -152,7 +152,9 @@ def search(df: DataFrame, k: int = 20, recall: float = 0.95, every: int = 20, id
     """One row per query and neighbour found: query_id, rank, vec_id, score. Queries: rows whose id is divisible by `every`."""
     spark = df.sparkSession
     kind = "query_id long, rank int, vec_id long, score double"
-    rows = pick(df, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<float>").alias("v"))
+    element = df.schema[vector_col].dataType.elementType.simpleString()
+    element = element if element == "float" else "double"  # the components as they are: products are those of the original vectors
+    rows = pick(df, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast(f"array<{element}>").alias("v"))
     sound = rows.filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull()
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
@@ -178,7 +180,7 @@ def search(df: DataFrame, k: int = 20, recall: float = 0.95, every: int = 20, id
             leaf = shared.value.assign(matrix(batch.column(1), dim)) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), batch.column(0), batch.column(1)], ["leaf", "ids", "v"])
 
-    index = written(entries.mapInArrow(place, "leaf int, ids array<long>, v array<float>"), "ann-index")
+    index = written(entries.mapInArrow(place, f"leaf int, ids array<long>, v array<{element}>"), "ann-index")
     asked = sound.filter(F.col("vec_id") % every == 0).distinct()
     probes = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).toArrow()
     if not probes.num_rows:
@@ -211,7 +213,7 @@ def search(df: DataFrame, k: int = 20, recall: float = 0.95, every: int = 20, id
                 at = pa.array(take, pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(bin_, pa.int32()), part.column(0).take(at), part.column(1).take(at), pa.array(leaves, pa.list_(pa.int32()))], ["bin", "query_id", "q", "leaves"])
 
-    routed = written(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(route, "bin int, query_id long, q array<float>, leaves array<int>"), "ann-routed")
+    routed = written(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(route, f"bin int, query_id long, q array<{element}>, leaves array<int>"), "ann-routed")
     loads = F.broadcast(routed.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("parts")))  # a row a bin
     left = routed.join(loads, "bin").select("bin", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), "query_id", "q", "leaves")
     plan = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(first, bins, strict=True))], "leaf int, first int, bins int"))
