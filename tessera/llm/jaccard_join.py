@@ -1,12 +1,16 @@
 """N-gram Jaccard join: documents link when their sets of word shingles overlap enough.
 
-Candidates come from prefix filtering under several global token orders. Of a set of n
-shingles, the n - ceil(t n) + 1 first ones under any one order of all shingles hold one that
-every set with similarity t or more also has among its first ones.
+Candidates come from prefix filtering under several global token orders. Two sets of n and m
+shingles with similarity t or more have o = ceil(t (n + m) / (1 + t)) in common, so under any one
+order of all shingles the n - o + 1 first ones of one and the m - o + 1 first ones of the other
+share one. Where m isn't known, n - ceil(t n) + 1 do; for the smaller set of a pair
+n - ceil(2 t n / (1 + t)) + 1 do: its short prefix.
  - Rarest first: a document whose prefix is all its own has no partner. How often a shingle
    occurs is counted over all documents in cells of a hash, so an occurrence count of one is
    certain. What remains is counted again without the documents that went.
- - By a hash, after shingles that many documents share: this order is indexed.
+ - By a hash, after shingles that many documents share: this order is indexed. A shingle that is
+   in nobody's short prefix lists nobody, so a passage that many documents share, each with much
+   of its own, makes no candidates.
  - By further hashes: a candidate must share a prefix token under each of these too, before it
    is verified by its exact overlap.
 
@@ -15,15 +19,17 @@ The join finds the components of the link graph without listing all pairs of a g
  2. the classes that share a prefix token form a list; each list links its members to one of
     them, its hub, where verified;
  3. lists whose members are in one component by then are done; the others are counted out:
-    documents that still share a list meet in blocks, in which exact overlaps between different
-    components come from an inverted index.
+    documents that still share a list meet in blocks of bounded size, in which inverted indexes of
+    prefixes under the further orders give the candidates of different components, and exact
+    overlaps decide.
 No pair of a list is left out unless its two are connected already, so components are exact.
 Lists of very frequent tokens are cut in chunks for the first hubs; after that they are one again.
 
 Defined results: a null or empty text has an empty set, no links and its own id as component;
 a text of fewer words than a shingle is one shingle of all its words; rows that repeat an id
-and its text are alike; rows with a null id have a null component and no links; an empty table
-gives an empty result; extra columns are ignored. Ids are integers.
+and its text are alike; rows that repeat an id with different texts are texts of their own, and
+all of them are in the component of that id; rows with a null id have a null component and no
+links; an empty table gives an empty result; extra columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, discard, packed, partitions, pick, scratch, sized, text_chunks, unpacked, written
+from tessera.llm.common import BROADCAST_ROWS, discard, fresh, packed, partitions, pick, scratch, sized, text_chunks, unpacked, written
 from tessera.llm.components import components
 from tessera.llm.words import mix, shingle_sets, words
 
@@ -50,8 +56,8 @@ LAST_TOKENS, LAST_COUNT = 100_000, 32
 TASK_POSTINGS, LIST_CHUNK, PARTNERS = 2_000_000, 50_000, 256
 #: Cells of a shard as bits; shingles that a shard is to hold; rounds of the rarest-first filter.
 CELL_BITS, SHARD_TOKENS, ROUNDS = 24, 2_000_000, 2
-#: Documents of a block when the rest is counted out.
-BLOCK_DOCS = 2048
+#: Shingles of a block when the rest is counted out (a single longer document is a block's whole).
+BLOCK_SHINGLES = 100_000
 
 
 def prefix_length(n, part: int = 4, whole: int = 5):
@@ -59,6 +65,11 @@ def prefix_length(n, part: int = 4, whole: int = 5):
     return n + (-(n * part) // whole) + 1
 
 
+def overlap(n, m, part: int = 4, whole: int = 5):
+    """ceil(t (n + m) / (1 + t)): what two sets of n and m shingles must have in common."""
+    return -(-(n + m) * part // (part + whole))
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """Two kinds of rows. 0: doc_id, n shingles, c1 and c2, a 128-bit digest of the set. 1: a frequent token (c1) and its documents (n)."""
 
@@ -132,7 +143,7 @@ def with_partners(docs: DataFrame, k: int, part: int, whole: int, shards: int) -
         place, owner = place[begin], np.where(alone, owner[begin], 0)
         shard = place // cells
         cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(shard))
+        ends = np.append(cut[1:], len(shard))[: len(cut)]
         spans = list(zip(cut.tolist(), ends.tolist(), strict=True))
         gaps = [packed(np.diff(place[a:b] - shard[a] * cells, prepend=0)) for a, b in spans]
         return pa.RecordBatch.from_arrays(
@@ -181,7 +192,8 @@ def with_partners(docs: DataFrame, k: int, part: int, whole: int, shards: int) -
 
 
 def postings(docs: DataFrame, last: np.ndarray, counts: np.ndarray, k: int, part: int, whole: int, tasks: int) -> DataFrame:
-    """Rows (task, tokens, ids, sizes): the prefix postings of a run of documents that go to one task of the index.
+    """Rows (task, tokens, ids, sizes, chunks): the prefix postings of a run of documents that go to one task of the index.
+    Sizes of documents with the token in their short prefix are negative.
 
     last, counts: tokens that are put last, sorted, and their documents. Very frequent ones go to several chunks of
     tasks: the chunks of a cut list count from 1, a list that isn't cut is chunk 0.
@@ -199,7 +211,7 @@ def postings(docs: DataFrame, last: np.ndarray, counts: np.ndarray, k: int, part
                 for doc, s in zip(ids[first:end].tolist(), shingle_sets(hashes, starts, k), strict=True):
                     if not len(s):
                         continue
-                    p = prefix_length(len(s), part, whole)
+                    p, short = prefix_length(len(s), part, whole), prefix_length(len(s), 2 * part, part + whole)
                     at = np.searchsorted(late, s)
                     at[at == len(late)] = 0
                     known = late[at] == s if len(late) else np.zeros(len(s), bool)
@@ -208,11 +220,11 @@ def postings(docs: DataFrame, last: np.ndarray, counts: np.ndarray, k: int, part
                     if known.any():
                         take = np.lexsort((hashed, weight))[:p]
                     else:
-                        take = np.argpartition(hashed, p - 1)[:p] if p < len(s) else np.arange(len(s))
+                        take = np.argpartition(hashed, (short - 1, p - 1))[:p]
                     chunks = -(-weight[take] // LIST_CHUNK)
                     tokens.append(s[take])
                     owner.append(np.full(p, doc, np.int64))
-                    sizes.append(np.full(p, len(s), np.int32))
+                    sizes.append(np.where(np.arange(p) < short, -len(s), len(s)).astype(np.int32))
                     chunk.append(np.where(chunks > 1, 1 + int(mix(np.array([doc], np.int64).view(np.uint64))[0] >> np.uint64(1)) % np.maximum(chunks, 1), 0))
                 if not tokens:
                     continue
@@ -231,7 +243,8 @@ def postings(docs: DataFrame, last: np.ndarray, counts: np.ndarray, k: int, part
 
 
 def lists_of(index: DataFrame, part: int, whole: int) -> DataFrame:
-    """Kind 0: (a, b) a hub and a member of its list. Kind 1: a list of three or more, as key, chunk, ids and sizes."""
+    """Kind 0: (a, b) a hub and a member of its list. Kind 1: a list of three or more, as key, chunk, ids and sizes (negative
+    ones as in the postings)."""
 
     def run(group: pa.Table) -> pa.Table:
         t, o, n, c = (np.frombuffer(b"".join(group.column(x).to_pylist()), dtype=d) for x, d in (("tokens", np.uint64), ("ids", np.int64), ("sizes", np.int32), ("chunks", np.int32)))
@@ -240,6 +253,15 @@ def lists_of(index: DataFrame, part: int, whole: int) -> DataFrame:
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
         fresh = new | np.concatenate([[True], o[1:] != o[:-1]])  # rows that repeat a document count once
         t, o, n, c, new = t[fresh], o[fresh], n[fresh], c[fresh], new[fresh]
+        first, n = n < 0, np.abs(n)
+        # who can have a partner here: not smaller than the least with the token in its short prefix, nor too large for the largest
+        place = np.cumsum(new) - 1
+        least, most = np.full(len(t), 1 << 40, np.int64), np.full(len(t), -1, np.int64)
+        np.minimum.at(least, place[first], n[first])
+        np.maximum.at(most, place[first], n[first])
+        able = (c > 0) | ((n >= least[place]) & (n.astype(np.int64) * part <= most[place] * whole))
+        t, o, n, c, first, place = t[able], o[able], n[able], c[able], first[able], place[able]
+        new = np.concatenate([[True], place[1:] != place[:-1]]) if len(t) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(t)))
         hub = np.repeat(begin, size)
@@ -261,7 +283,7 @@ def lists_of(index: DataFrame, part: int, whole: int) -> DataFrame:
                 "a": pa.array(np.concatenate([pairs[:, 0], key[long]])),
                 "b": pa.array(np.concatenate([pairs[:, 1], c[begin[long]].astype(np.int64)])),
                 "ids": pa.array([None] * k + [o[begin[i] : begin[i] + size[i]] for i in long], pa.list_(pa.int64())),
-                "sizes": pa.array([None] * k + [n[begin[i] : begin[i] + size[i]] for i in long], pa.list_(pa.int32())),
+                "sizes": pa.array([None] * k + [np.where(first, -n, n)[begin[i] : begin[i] + size[i]] for i in long], pa.list_(pa.int32())),
             }
         )
 
@@ -300,6 +322,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -
         hashed = mix(s, seed)
         return np.sort(np.partition(hashed, p - 1)[:p])
 
+    def share(p: np.ndarray, q: np.ndarray, n: int, m: int) -> bool:
+        need = overlap(n, m, part, whole)
+        return len(np.intersect1d(p[: n - need + 1], q[: m - need + 1], assume_unique=True)) > 0
+
     def meet(members: pa.Table, hub: pa.Table) -> pa.Table:
         a, b = [], []
         if members.num_rows and hub.num_rows:
@@ -307,7 +333,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -
             own = [first_ones(x, seed) for seed in ORDERS[1:]]
             for other, s in zip(members.column("b").to_pylist(), members.column("member"), strict=True):
                 y = np.frombuffer(s.as_py(), dtype=np.uint64)
-                if all(len(np.intersect1d(p, first_ones(y, seed), assume_unique=True)) for p, seed in zip(own, ORDERS[1:], strict=True)):
+                small, large = min(len(x), len(y)), max(len(x), len(y))
+                if whole * small >= part * large and all(share(p, first_ones(y, seed), len(x), len(y)) for p, seed in zip(own, ORDERS[1:], strict=True)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if whole * both >= part * (len(x) + len(y) - both):
                         a.append(hub.column("a")[0].as_py())
@@ -318,11 +345,12 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -
 
 
 def open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the lists that are more than one component, with their components."""
+    """Members of the lists that are more than one component and have a short prefix, with their components."""
     known = members.join(labels, members["doc_id"] == labels["id"], "left").select("key", "chunk", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     known = written(known, "jaccard-members")
-    keys = written(known.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("key"), "jaccard-open")
-    return known.join(sized(keys), "key")
+    open_ = (F.min("component") < F.max("component")) & (F.min("n") < 0)
+    keys = written(known.groupBy("key").agg(open_.alias("open")).filter("open").select("key"), "jaccard-open")
+    return known.join(sized(keys), "key").withColumn("n", F.abs("n"))
 
 
 def blocks_of(still: DataFrame) -> DataFrame:
@@ -332,12 +360,12 @@ def blocks_of(still: DataFrame) -> DataFrame:
     """
     hubs = still.groupBy("key").agg(F.min("doc_id").alias("hub"))
     clusters = written(components(still.join(hubs, "key").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))), "jaccard-clusters")
-    docs = still.groupBy("doc_id").agg(F.min("component").alias("component")).join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    docs = still.groupBy("doc_id").agg(F.min("component").alias("component"), F.max("n").alias("n")).join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
     docs = written(docs, "jaccard-open-docs")
-    large = written(docs.groupBy("cluster", F.col("component")).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= BLOCK_DOCS), "jaccard-large")
+    large = written(docs.groupBy("cluster", F.col("component")).agg(F.sum("n").alias("m")).filter(F.col("m") >= BLOCK_SHINGLES), "jaccard-large")
     told = docs.join(sized(large), ["cluster", "component"], "left")
-    rest = written(told.filter("m IS NULL").groupBy("cluster").agg(F.count(F.lit(1)).alias("small")), "jaccard-small")
-    parts = F.ceil(F.coalesce("m", "small") / BLOCK_DOCS)
+    rest = written(told.filter("m IS NULL").groupBy("cluster").agg(F.sum("n").alias("small")), "jaccard-small")
+    parts = F.ceil(F.coalesce("m", "small") / BLOCK_SHINGLES)
     block = F.concat_ws("/", F.when(F.col("m").isNotNull(), F.col("component").cast("string")).otherwise(F.lit("")), F.pmod(F.xxhash64("doc_id"), parts).cast("string"))
     return told.join(sized(rest), "cluster", "left").select("doc_id", "component", "cluster", block.alias("block"), F.col("m").isNotNull().alias("pure"))
 
@@ -345,8 +373,9 @@ def blocks_of(still: DataFrame) -> DataFrame:
 def across(still: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
     """Links (a, b) between different components of each cluster of open lists, enough of them to join what links.
 
-    Blocks of a cluster meet pairwise, but for two of one component. Within a pair exact overlaps are counted from an
-    inverted index of the blocks' shingles, a document at a time, so no pairs of documents are emitted.
+    Blocks of a cluster meet pairwise, but for two of one component. Within a pair of blocks inverted indexes of the
+    prefixes under each further order give a document's candidates, and exact overlaps decide, a document at a time, so no
+    pairs of documents are emitted.
     """
     placed = written(blocks_of(still), "jaccard-placed")
     blocks = placed.select("cluster", "block", "pure", F.when(F.col("pure"), F.col("component")).alias("one")).distinct()
@@ -362,11 +391,7 @@ def across(still: DataFrame, docs: DataFrame, k: int, part: int, whole: int) ->
         held = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in group.column("s")]
         one = group.column("block_x")[0].as_py() == group.column("block_y")[0].as_py()
         n = np.array([len(s) for s in held], dtype=np.int64)
-        found, token = np.unique(np.concatenate(held), return_inverse=True)
-        owner = np.repeat(np.arange(len(held)), n)
-        order = np.argsort(token, kind="stable")
-        begin = np.searchsorted(token[order], np.arange(len(found) + 1))
-        owner, ends = owner[order], np.cumsum(n).tolist()
+        orders = [prefixes(held, seed, part, whole) for seed in ORDERS[1:]]
         root = {c: c for c in comp.tolist()}
 
         def top(c: int) -> int:
@@ -378,14 +403,12 @@ def across(still: DataFrame, docs: DataFrame, k: int, part: int, whole: int) ->
         asking = range(len(held)) if one else np.flatnonzero(first == (first.sum() * 2 <= len(first))).tolist()
         a, b = [], []
         for i in asking:
-            mine = token[ends[i] - n[i] : ends[i]]
-            first_at, many = begin[mine], begin[mine + 1] - begin[mine]
-            near = owner[np.repeat(first_at - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            both = np.bincount(near, minlength=len(held))
-            linked = np.flatnonzero((whole * both >= part * (n[i] + n - both)) & (comp != comp[i]))
-            for j in linked.tolist():
+            near = (comp != comp[i]) & (whole * np.minimum(n, n[i]) >= part * np.maximum(n, n[i]))
+            for order in orders:
+                near &= order(i)
+            for j in np.flatnonzero(near).tolist():
                 p, q = top(int(comp[i])), top(int(comp[j]))
-                if p != q:
+                if p != q and len(np.intersect1d(held[i], held[j], assume_unique=True)) >= overlap(n[i], n[j], part, whole):
                     root[max(p, q)] = min(p, q)
                     a.append(int(doc[i]))
                     b.append(int(doc[j]))
@@ -395,6 +418,35 @@ def across(still: DataFrame, docs: DataFrame, k: int, part: int, whole: int) ->
     return sets.join(sized(rows), "doc_id").groupBy("cluster", "block_x", "block_y").applyInArrow(run, "a long, b long")
 
 
+def prefixes(held: list[np.ndarray], seed: int, part: int, whole: int):
+    """For the i-th of some sets, which of them share a token with it where the prefixes for their two sizes allow: from an
+    inverted index of prefix tokens and their places under one order."""
+    n = np.array([len(s) for s in held], dtype=np.int64)
+    longest = prefix_length(n, part, whole)
+    firsts = []
+    for s, p in zip(held, longest.tolist(), strict=True):
+        hashed = mix(s, seed)
+        firsts.append(np.sort(np.partition(hashed, p - 1)[:p]) if p < len(s) else np.sort(hashed))
+    owner = np.repeat(np.arange(len(held)), longest)
+    place = np.concatenate([np.arange(p) for p in longest.tolist()])
+    _, token = np.unique(np.concatenate(firsts), return_inverse=True)
+    by = np.argsort(token, kind="stable")
+    begin = np.searchsorted(token[by], np.arange(token.max() + 2))
+    owner, place, ends = owner[by], place[by], np.cumsum(longest)
+
+    def near(i: int) -> np.ndarray:
+        mine = token[ends[i] - longest[i] : ends[i]]
+        at, many = begin[mine], begin[mine + 1] - begin[mine]
+        hit = np.repeat(at - np.cumsum(many) + many, many) + np.arange(many.sum())
+        other, own = owner[hit], np.repeat(np.arange(len(mine)), many)
+        need = overlap(n[i], n[other], part, whole)
+        out = np.zeros(len(held), dtype=bool)
+        out[other[(own <= n[i] - need) & (place[hit] <= n[other] - need)]] = True
+        return out
+
+    return near
+
+
 def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id. Documents link at a similarity of part / whole or more."""
     spark = df.sparkSession
@@ -402,10 +454,14 @@ def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str =
     docs = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = written(signatures(docs, k), "jaccard-signatures")
     rows = seen.filter("kind = 0").select("doc_id", "n", "c1", "c2")
+    differs = (F.min("c1") < F.max("c1")) | (F.min("c2") < F.max("c2"))
+    ids = written(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), differs.alias("torn")).filter("m > 1"), "jaccard-ids")
+    if not ids.filter("torn").isEmpty():
+        return of_torn(docs, ids.filter("torn").select("doc_id"), k, part, whole)
     total = rows.agg(F.sum("n")).first()[0] or 0
     classes = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     classes = written(classes, "jaccard-classes")
-    own = rows.join(sized(classes), ["c1", "c2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    own = rows.join(sized(classes), ["c1", "c2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     own = written(own, "jaccard-own")
     others = written(own.filter("rep <> doc_id").select("doc_id").distinct(), "jaccard-others")
     reps = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").join(sized(others), "doc_id", "left_anti")
@@ -413,7 +469,7 @@ def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str =
     for _ in range(ROUNDS):
         reps = docs.join(sized(with_partners(reps, k, part, whole, shards)), "doc_id", "left_semi")
 
-    if not own.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    if not ids.isEmpty():
         reps = reps.dropDuplicates(["doc_id"])
 
     frequent = seen.filter("kind = 1").groupBy(F.col("c1").alias("token")).agg(F.sum("n").alias("n")).filter(F.col("n") >= LAST_COUNT)
@@ -438,8 +494,27 @@ def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str =
     return own.join(final, own["rep"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
+def of_torn(docs: DataFrame, torn: DataFrame, k: int, part: int, whole: int) -> DataFrame:
+    """As join(), where some ids have several texts: each such text is joined under a number of its own, then the components
+    of an id's texts become one."""
+    text_id = F.when(F.col("t").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    told = docs.join(sized(torn.withColumnRenamed("doc_id", "t")), F.col("doc_id") == F.col("t"), "left").select("doc_id", "t", "text", text_id.alias("text_id"))
+    names = written(told.filter("t IS NOT NULL").select("text_id", F.col("doc_id").alias("name")).distinct(), "jaccard-names")
+    found = join(told.select("text_id", "text"), k, part, whole, "text_id")
+    found = found.join(sized(names), found["doc_id"] == names["text_id"], "left").select(F.coalesce("name", "doc_id").alias("doc_id"), F.col("name").isNotNull().alias("torn"), "n_shingles", "component_id")
+    found = written(found, "jaccard-texts")
+    pulled = found.filter("torn").select("doc_id", "component_id")
+    links = pulled.join(pulled.groupBy("doc_id").agg(F.min("component_id").alias("b")), "doc_id").select(F.col("component_id").alias("a"), "b")
+    merged = written(components(links), "jaccard-merged")
+    found = found.join(sized(merged), found["component_id"] == merged["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("label"))
+    least = written(found.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    return found.join(sized(least), "label", "left").select("doc_id", "n_shingles", "component_id")
+
+
 def one_of_each(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is the smallest of their component, with all their columns; rows with a null id stay."""
-    gone = join(df, k, part, whole, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of df whose id is the smallest of their component, with all their columns; rows with a null id stay, and so do rows
+    that repeat such an id."""
+    out = fresh(df, "gone")[0]
+    gone = join(df, k, part, whole, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias(out)).distinct()
     gone = written(gone, "jaccard-gone")
-    return df.join(sized(gone), df[f"`{id_col}`"] == gone["_gone"], "left_anti")
+    return df.join(sized(gone), df[f"`{id_col}`"] == gone[out], "left_anti")
