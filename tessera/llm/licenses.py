@@ -16,6 +16,7 @@ exclusive, from the first matched word to the end of the last.
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -194,11 +195,12 @@ def spans(index: Index, words: np.ndarray, hits: list[tuple[int, int]], coverage
             if matched >= coverage * len(template):
                 found.append((first, last, matched, t))
             group = [d]
-    kept: list[tuple[int, int, int, int]] = []
+    kept: list[tuple[int, int, int, int]] = []  # in order, none overlaps another
     for s in sorted(found, key=lambda s: (-s[2], -s[2] / len(index.templates[s[3]][1]), s[0], s[3])):
-        if all(s[1] < k[0] or k[1] < s[0] for k in kept):
-            kept.append(s)
-    return sorted(kept)
+        at = bisect_left(kept, s)
+        if (at == 0 or kept[at - 1][1] < s[0]) and (at == len(kept) or s[1] < kept[at][0]):
+            kept.insert(at, s)
+    return kept
 
 
 def scan(df: DataFrame, templates: Sequence[tuple[str, str]] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,11 +223,10 @@ def scan(df: DataFrame, templates: Sequence[tuple[str, str]] | None = None, cove
                     a, b = int(first[doc]), int(first[doc + 1])
                     got = spans(index, hashes[a:b], hits, coverage)
                     begin, cells = int(offsets[doc]), []
+                    points = np.cumsum(data[begin : offsets[doc + 1]] & 0xC0 != 0x80) if got else None  # code points up to each byte
                     for s, e, matched, t in got:
-                        at, to = int(starts[a + s]), int(ends[a + e])
-                        before = len(data[begin:at].tobytes().decode("utf-8", "replace"))
-                        length = len(data[at:to].tobytes().decode("utf-8", "replace"))
-                        cells.append((index.templates[t][0], before, before + length, matched / len(index.templates[t][1])))
+                        at, to = int(starts[a + s]) - begin, int(ends[a + e]) - begin
+                        cells.append((index.templates[t][0], int(points[at]) - 1, int(points[to - 1]), matched / len(index.templates[t][1])))
                     n[doc] = len(cells)
                     names[doc] = ",".join(sorted({c[0] for c in cells}))
                     shown[doc] = ",".join(f"{c[0]}:{c[1]}:{c[2]}:{c[3]:.3f}" for c in cells)

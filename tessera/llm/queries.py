@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
@@ -12,7 +13,7 @@ from tessera.llm.common import table
 
 def tokenizer_path() -> str:
     """The vocabulary file; a parameter, set by TESSERA_TOKENIZER where it is elsewhere."""
-    return os.environ.get("TESSERA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+    return os.environ.get("TESSERA_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

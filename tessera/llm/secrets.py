@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -105,13 +107,15 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, t
     """Incompressible tokens that follow a sensitive word within CONTEXT and overlap no base span. Letters alone, of
     one case or capitalised, are a word: amid few surroundings their cost tells nothing."""
     out, done = [], 0
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
     for m in SENSITIVE.finditer(text):
         near, at = min(m.end() + CONTEXT, len(text)), max(m.end(), done)
         while at < near and (c := CANDIDATE.search(text, at)) and c.start() < near:
             start, end = c.span()
             at = done = end
             word = c[0]
-            if any(a < end and start < b for a, b, _ in base) or word.isalpha() and (word[1:].islower() or word.isupper()):
+            before = bisect_left(starts, end)
+            if before and ends[before - 1] > start or word.isalpha() and (word[1:].islower() or word.isupper()):
                 continue
             around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND] + "\n"
             mixed = joints(word) >= max(JOINTS, JOINTS_EACH * len(word))
