@@ -82,6 +82,43 @@ def test_exact_dedup_null_ids(spark):
     assert {(r.doc_id, r.text_sha256[:2]): r.keep_id for r in exact_dedup.classes(df).collect()}[(None, hashlib.sha256(b"a").hexdigest()[:2])] == 1
 
 
+@pytest.mark.parametrize(("rows", "kept"), [
+    ([(1, "a"), (1, "b"), (2, "a")], [(1, "b"), (2, "a")]),
+    ([(None, "a"), (1, "a")], [(1, "a")]),
+    ([(None, "a"), (None, "a"), (None, None), (None, "")], [(None, ""), (None, "a")]),
+    ([(1, "a"), (1, "a"), (2, "b"), (2, "b"), (2, "c"), (3, "c")], [(1, "a"), (2, "b"), (3, "c")]),
+    ([], []),
+])
+def test_exact_dedup_keeps_one_row_of_each_text(spark, rows, kept):
+    """Ids that repeat, null ids, and columns that are named as the operator's own."""
+    more = [(i, t, "x", 7, 7, True, "y", 1) for i, t in rows]
+    df = spark.createDataFrame(more, "doc_id long, text string, fp string, keep long, size long, kept boolean, text_sha256 string, _again long")
+    got = exact_dedup.distinct(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=repr) == sorted(kept, key=repr)
+    assert all(tuple(r)[2:] == ("x", 7, 7, True, "y", 1) for r in got.collect())
+
+
+def test_clashing_columns_and_null_ids(spark):
+    """Stages keep columns that are named as their own helpers; null ids and repeated rows come through each operator."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "en", "a"), (2, text + " x", "en", "a"), (None, text + " y", "en", "b"), (None, None, None, None), (3, "other words here", "de", "b"), (3, "other words here", "de", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name in ("gone", "_gone", "size", "row", "_row", "words", "copies", "_copies", "copy", "id", "_id", "k", "_n", "source_of"):
+        df = df.withColumn(name, F.lit(99))
+    one = jaccard_join.one_of_each(df)
+    assert one.columns == df.columns and sorted((r.doc_id or 0) for r in one.collect()) == [0, 0, 1, 3, 3]
+    mixed = mixing.mixed(df)
+    assert mixed.columns == df.columns and all(set(tuple(r)[4:]) == {99} for r in mixed.collect())
+    want = sum(r.taken for r in mixing.mix(df).collect())
+    assert sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) == want
+    assert len(mixing.mix(df).collect()) == 6
+    for out in (bpe.encode_documents(df, tokenizer_path()), language_model.score(df), language_id.predict(df, language_id.train(df)), secrets.scan(df), licenses.scan(df), jaccard_join.join(df)):
+        assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 0, 1, 2, 3, 3]
+    pages = spark.createDataFrame([(None, "http://a.com/"), (1, None), (1, None)], "page_id long, url string")
+    assert [r.host for r in url_filter.judge(pages).orderBy(F.col("page_id").asc_nulls_first()).collect()] == ["a.com", "", ""]
+
+
 def test_quotient_filter_is_lossless():
     rng = np.random.default_rng(1)
     for skip in (0, 6, 14):
@@ -192,9 +229,10 @@ def brute_scores(rows: list[tuple]) -> dict:
     return out
 
 
-@pytest.mark.parametrize("run_tokens", [2_000_000, 400])
-def test_language_model(docs, rows, none, monkeypatch, run_tokens):
+@pytest.mark.parametrize(("run_tokens", "hot"), [(2_000_000, 2_000_000), (400, 2_000_000), (400, 60)])
+def test_language_model(docs, rows, none, monkeypatch, run_tokens, hot):
     monkeypatch.setattr(language_model, "RUN_TOKENS", run_tokens)
+    monkeypatch.setattr(language_model, "HOT", hot)  # contexts of more tokens are spread over shards
     want = brute_scores(rows)
     got = language_model.score(docs).collect()
     assert len(got) == len(rows)
@@ -215,6 +253,21 @@ def test_language_model_scores_do_not_depend_on_runs(docs, monkeypatch):
     assert all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-9, abs_tol=1e-9) for i in scores[0])
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(9,0)"])
+def test_language_model_ids_of_any_type(docs, rows, kind):
+    want = brute_scores(rows)
+    got = language_model.score(docs.withColumn("doc_id", F.col("doc_id").cast(kind)))
+    assert got.schema["doc_id"].dataType.simpleString() == kind
+    for r in got.collect():
+        assert r.held_out == want[int(r.doc_id)][0] and abs(r.score - want[int(r.doc_id)][5]) < 2e-4 * r.n_tokens
+
+
+def test_language_model_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, "a b"), (None, None)], "doc_id long, text string")
+    got = sorted((r.n_tokens, r.doc_id, r.held_out, r.train_tokens) for r in language_model.score(df.coalesce(1)).collect())
+    assert got == [(1, None, False, 8), (3, None, False, 8), (4, None, False, 8)]
+
+
 def test_elias_fano_trie():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 5, 3000):
@@ -227,8 +280,18 @@ def test_elias_fano_trie():
     s = np.concatenate([np.unique(rng.integers(0, 1 << 39, k).astype(np.uint64)) for k in counts])
     logs = -rng.random(len(s)) * 5
     trie = elias_fano.Trie.mapped(elias_fano.Trie.encode(c, counts, s, logs))
-    assert np.abs(trie.lookup(np.repeat(c, counts), s) - logs).max() < 2e-4
-    assert (trie.successor_counts() == counts).all() and np.isnan(trie.lookup(c, np.full(71, 1 << 39, np.uint64))).all()
+    assert np.abs(trie.lookup(c, counts, s) - logs).max() < 2e-4
+    start, end = trie.bounds(np.arange(71))
+    assert (end - start == counts).all() and np.isnan(trie.lookup(c, np.ones(71, np.int64), np.full(71, 1 << 39, np.uint64))).all()
+    # a context's words are found after it alone, the last of the one before and the first of the next ones not
+    shifted = np.concatenate([np.setdiff1d(rng.integers(0, 1 << 39, 9).astype(np.uint64), s)[:1] for _ in c])
+    assert np.isnan(trie.lookup(c, np.ones(71, np.int64), shifted)).all() and np.isnan(trie.lookup(c + np.uint64(1), counts, s)).all()
+    begin = np.cumsum(counts) - counts
+    assert np.isnan(trie.lookup(c[:-1], np.ones(70, np.int64), s[begin[1:]])).all()
+    e = elias_fano.EliasFano(elias_fano.EliasFano.encode(v))
+    assert (e.get(np.arange(len(v))) == v).all()
+    none_held = elias_fano.Trie.mapped(elias_fano.Trie.encode(c[:0], counts[:0], s[:0], logs[:0]))
+    assert np.isnan(none_held.lookup(c, np.ones(71, np.int64), s[:71])).all()
 
 
 def test_language_id(spark, none, docs):
@@ -288,6 +351,51 @@ def test_secrets_in_lists():
     assert secrets.novel_spans(text, [], novelty) == []
 
 
+def brute_novel(text: str) -> list[tuple[int, int, int]]:
+    """Plain restatement: each long token that begins within reach of a sensitive word, is no word, overlaps no base span, and
+    costs enough bits with zstandard primed by the dictionary and its surroundings."""
+    novelty, base, out = secrets.Novelty(), brute_spans(text), []
+    words_ = [m.end() for m in re.finditer(r"(?i)password|passwd|secret|token|api_?key|credential|private_?key|bearer|authorization|access_?key", text, re.ASCII)]
+    taken = 0
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        # a token begins where a run does, or where the sensitive word inside the run ends
+        for start in sorted({m.start(), *[w for w in words_ if m.start() < w < m.end()]}):
+            start = max(start, taken)
+            if m.end() - start < 20 or not any(w <= start < min(w + secrets.CONTEXT, len(text)) for w in words_):
+                continue
+            word, taken = text[start : m.end()], m.end()
+            if any(a < m.end() and start < b for a, b, _ in base) or (word.isalpha() and (word[1:].islower() or word.isupper())):
+                continue
+            around = text[max(0, start - secrets.AROUND) : start] + "\n" + text[m.end() : m.end() + secrets.AROUND] + "\n"
+            mixed = secrets.joints(word) >= max(secrets.JOINTS, secrets.JOINTS_EACH * len(word))
+            if novelty.bits(around, word) >= secrets.NOVEL_BITS or (mixed and novelty.unmatched(around, word) >= secrets.UNMATCHED):
+                out.append((start, m.end(), 3))
+    return out
+
+
+def test_novel_secrets_equal_a_plain_restatement():
+    rng = random.Random(6)
+    tail = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for _ in range(300):
+        bits = ["token", "bearer ", "credential ", " ", "\n", "some words of prose ", "release_notes_version_2", "user_account_2024_01_15 "]
+        text = "".join(rng.choice(bits) if rng.random() < 0.7 else "".join(rng.choice(tail) for _ in range(rng.choice([8, 24, 40]))) + rng.choice([" ", "!", ""]) for _ in range(rng.randrange(1, 25)))
+        got = secrets.novel_spans(text, secrets.base_spans(text), secrets.Novelty())
+        assert got == brute_novel(text), text
+
+
+def test_many_spans_in_one_text():
+    """Thousands of secrets or notices in one text: the work is that of their number, not of its square."""
+    rng = random.Random(2)
+    text = "\n".join(f"credential {rng.getrandbits(150):x}Zq" for _ in range(3000))
+    base = secrets.base_spans(text)
+    assert len(base) + len(secrets.novel_spans(text, base, secrets.Novelty())) >= 3000
+    index = licenses.Index.of(licenses.TEMPLATES)
+    words_ = licenses.name_words(" ".join(["plain words Released under the MIT License"] * 4000).encode())[0]
+    hits = [(p, n) for k in (licenses.K, licenses.K - 1) for p, n in index.hits(licenses.shingles(words_, k))]
+    found = licenses.spans(index, words_, hits)
+    assert len(found) == 4000 and all(a[1] < b[0] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_ann(spark):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(30, 16))
@@ -314,6 +422,24 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_ann_in_double_precision(spark):
+    """Scores are products of the original vectors, also where single precision would round them."""
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1 + 1e-9, 2.0]), (3, [1 - 1e-9, 2.0]), (None, [5.0, 5.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 1 + 1e-9 + 4), (1, 5.0), (3, 1 - 1e-9 + 4)]
+    whole = spark.createDataFrame([(0, [1, 2]), (1, [3, 4])], "vec_id int, embedding array<int>")
+    assert [tuple(r) for r in ann.search(whole).collect()] == [(0, 1, 1, 11.0)]
+
+
+def test_language_id_learns_every_language(spark):
+    """More languages than the sample has room for at the full share: each still has its rows, and rows that repeat don't crowd it."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} " * 20, f"l{i % 70}", None, 1, True) for i in range(140)]
+    rows += [rows[3]] * 200
+    model = language_id.train(spark.createDataFrame(rows, SCHEMA), per_lang=5, most_rows=100)
+    trained = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 0}
+    assert {x for own, _ in model.inside.values() for x in own} == trained and len(trained) > 64
+
+
 def brute_components(rows: list[tuple]) -> dict:
     sets = {}
     for i, text, *_ in rows:
@@ -347,7 +473,7 @@ def test_jaccard_join(docs, rows, none):
 
 def test_jaccard_join_near_the_threshold(spark, monkeypatch):
     """Copies around one text that link to few of the others: hubs don't join them, blocks have to."""
-    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 4000)
     rng = random.Random(11)
     base = [f"b{i}" for i in range(100)]
     rows = []
@@ -360,6 +486,26 @@ def test_jaccard_join_near_the_threshold(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    """An id with two texts joins their components; rows that repeat an id and its text are alike."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b), (3, b), (4, c), (4, None), (5, c + " so"), (6, ""), (None, a), (None, b)]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, 36, 1), (2, 37, 1), (2, 36, 1), (3, 36, 1), (3, 36, 1), (4, 36, 4), (4, 0, 4), (5, 37, 4), (6, 0, 6), (None, 36, None), (None, 36, None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_jaccard_join_of_a_shared_passage(spark):
+    """Documents that share a passage and have more of their own than similarity allows are in nobody's list; those that have
+    less link."""
+    rng = random.Random(1)
+    passage = [f"p{i}" for i in range(17)]
+    rows = [(i, " ".join(passage + [f"o{rng.randrange(900)}" for _ in range(3)]), "en", "a", 1, True) for i in range(400)]
+    rows += [(1000 + i, " ".join(passage[:12] + [f"t{rng.randrange(3)}" for _ in range(rng.choice([1, 2, 3]))]), "en", "a", 1, True) for i in range(200)]
+    got = jaccard_join.join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def test_jaccard_join_of_cut_lists(spark, monkeypatch):
     """A text's exact copies make its tokens so frequent that their lists are cut; the near copies still link to it."""
     monkeypatch.setattr(jaccard_join, "LIST_CHUNK", 40)
