@@ -18,10 +18,11 @@ The join finds the components of the link graph without listing all pairs of a g
  1. documents with equal sets are one class, represented by its smallest id;
  2. the classes that share a prefix token form a list; each list links its members to one of
     them, its hub, where verified;
- 3. lists whose members are in one component by then are done; the others are counted out:
-    documents that still share a list meet in blocks of bounded size, in which inverted indexes of
-    prefixes under the further orders give the candidates of different components, and exact
-    overlaps decide.
+ 3. lists whose members are in one component by then are done. In the others members meet by
+    bitmaps of n to 2 n bits, whose differing bits bound the overlap: pairs of different
+    components that these and their sizes allow, and whose smaller one has the list's shingle in
+    its short prefix, go through the further orders to their exact overlap, some of each document
+    at a time, nearest first, until no list has more.
 No pair of a list is left out unless its two are connected already, so components are exact.
 Lists of very frequent tokens are cut in chunks for the first hubs; after that they are one again.
 
@@ -56,8 +57,8 @@ LAST_TOKENS, LAST_COUNT = 100_000, 32
 TASK_POSTINGS, LIST_CHUNK, PARTNERS = 2_000_000, 50_000, 256
 #: Cells of a shard as bits; shingles that a shard is to hold; rounds of the rarest-first filter.
 CELL_BITS, SHARD_TOKENS, ROUNDS = 24, 2_000_000, 2
-#: Shingles of a block when the rest is counted out (a single longer document is a block's whole).
-BLOCK_SHINGLES = 100_000
+#: Members of an open list that meet in a task, and their shingles (a single longer document is taken whole).
+MEET_DOCS, MEET_SHINGLES = 4096, 8_000_000
 
 
 def prefix_length(n, part: int = 4, whole: int = 5):
@@ -350,101 +351,107 @@ def open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
     known = written(known, "jaccard-members")
     open_ = (F.min("component") < F.max("component")) & (F.min("n") < 0)
     keys = written(known.groupBy("key").agg(open_.alias("open")).filter("open").select("key"), "jaccard-open")
-    return known.join(sized(keys), "key").withColumn("n", F.abs("n"))
+    return known.join(sized(keys), "key")
 
 
-def blocks_of(still: DataFrame) -> DataFrame:
-    """Members of open lists, once each, as (doc_id, component, cluster, block): whatever shares a list shares a cluster.
+def bitmaps_of(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(doc_id, bits): for each document asked for, whether an odd number of its shingles falls on each of n to 2 n bits."""
 
-    A large component fills blocks of its own; the others of a cluster share blocks.
-    """
-    hubs = still.groupBy("key").agg(F.min("doc_id").alias("hub"))
-    clusters = written(components(still.join(hubs, "key").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))), "jaccard-clusters")
-    docs = still.groupBy("doc_id").agg(F.min("component").alias("component"), F.max("n").alias("n")).join(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    docs = written(docs, "jaccard-open-docs")
-    large = written(docs.groupBy("cluster", F.col("component")).agg(F.sum("n").alias("m")).filter(F.col("m") >= BLOCK_SHINGLES), "jaccard-large")
-    told = docs.join(sized(large), ["cluster", "component"], "left")
-    rest = written(told.filter("m IS NULL").groupBy("cluster").agg(F.sum("n").alias("small")), "jaccard-small")
-    parts = F.ceil(F.coalesce("m", "small") / BLOCK_SHINGLES)
-    block = F.concat_ws("/", F.when(F.col("m").isNotNull(), F.col("component").cast("string")).otherwise(F.lit("")), F.pmod(F.xxhash64("doc_id"), parts).cast("string"))
-    return told.join(sized(rest), "cluster", "left").select("doc_id", "component", "cluster", block.alias("block"), F.col("m").isNotNull().alias("pure"))
-
-
-def across(still: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
-    """Links (a, b) between different components of each cluster of open lists, enough of them to join what links.
-
-    Blocks of a cluster meet pairwise, but for two of one component. Within a pair of blocks inverted indexes of the
-    prefixes under each further order give a document's candidates, and exact overlaps decide, a document at a time, so no
-    pairs of documents are emitted.
-    """
-    placed = written(blocks_of(still), "jaccard-placed")
-    blocks = placed.select("cluster", "block", "pure", F.when(F.col("pure"), F.col("component")).alias("one")).distinct()
-    x, y = (blocks.select("cluster", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "pure", "one")]) for side in "xy")
-    meeting = x.join(y, "cluster").filter("block_x <= block_y AND NOT (pure_x AND pure_y AND one_x <=> one_y)").select("cluster", "block_x", "block_y")
-    meeting = written(meeting, "jaccard-meeting")  # a few rows a cluster: its blocks by two
-    sides = meeting.select("cluster", "block_x", "block_y", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"))
-    rows = placed.join(sized(sides), ["cluster", "block"]).select("block_x", "block_y", "cluster", "doc_id", "component", (F.col("block") == F.col("block_x")).alias("first"))
-    sets = sets_of(docs, written(placed.select("doc_id").distinct(), "jaccard-asked"), k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column(1)):
+                hashes, _, starts = words(data, offsets)
+                found = []
+                for s in shingle_sets(hashes, starts, k):
+                    width = max(64, 1 << (len(s) - 1).bit_length())
+                    odd = np.bincount((mix(s, 55) % np.uint64(width)).astype(np.int64), minlength=width) & 1
+                    found.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(found, pa.binary())], ["doc_id", "bits"])
 
-    def run(group: pa.Table) -> pa.Table:
-        doc, comp, first = (group.column(c).to_numpy() for c in ("doc_id", "component", "first"))
-        held = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in group.column("s")]
-        one = group.column("block_x")[0].as_py() == group.column("block_y")[0].as_py()
-        n = np.array([len(s) for s in held], dtype=np.int64)
-        orders = [prefixes(held, seed, part, whole) for seed in ORDERS[1:]]
-        root = {c: c for c in comp.tolist()}
-
-        def top(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        asking = range(len(held)) if one else np.flatnonzero(first == (first.sum() * 2 <= len(first))).tolist()
-        a, b = [], []
-        for i in asking:
-            near = (comp != comp[i]) & (whole * np.minimum(n, n[i]) >= part * np.maximum(n, n[i]))
-            for order in orders:
-                near &= order(i)
-            for j in np.flatnonzero(near).tolist():
-                p, q = top(int(comp[i])), top(int(comp[j]))
-                if p != q and len(np.intersect1d(held[i], held[j], assume_unique=True)) >= overlap(n[i], n[j], part, whole):
-                    root[max(p, q)] = min(p, q)
-                    a.append(int(doc[i]))
-                    b.append(int(doc[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return written(docs.join(sized(asked), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, bits binary"), "jaccard-bits")
 
-    rows = written(rows, "jaccard-rows")
-    return sets.join(sized(rows), "doc_id").groupBy("cluster", "block_x", "block_y").applyInArrow(run, "a long, b long")
 
+def meetings(still: DataFrame, bits: DataFrame, part: int, whole: int, turn: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components in open lists; (null, null) if a later turn has more.
 
-def prefixes(held: list[np.ndarray], seed: int, part: int, whole: int):
-    """For the i-th of some sets, which of them share a token with it where the prefixes for their two sizes allow: from an
-    inverted index of prefix tokens and their places under one order."""
-    n = np.array([len(s) for s in held], dtype=np.int64)
-    longest = prefix_length(n, part, whole)
-    firsts = []
-    for s, p in zip(held, longest.tolist(), strict=True):
-        hashed = mix(s, seed)
-        firsts.append(np.sort(np.partition(hashed, p - 1)[:p]) if p < len(s) else np.sort(hashed))
-    owner = np.repeat(np.arange(len(held)), longest)
-    place = np.concatenate([np.arange(p) for p in longest.tolist()])
-    _, token = np.unique(np.concatenate(firsts), return_inverse=True)
-    by = np.argsort(token, kind="stable")
-    begin = np.searchsorted(token[by], np.arange(token.max() + 2))
-    owner, place, ends = owner[by], place[by], np.cumsum(longest)
-
-    def near(i: int) -> np.ndarray:
-        mine = token[ends[i] - longest[i] : ends[i]]
-        at, many = begin[mine], begin[mine + 1] - begin[mine]
-        hit = np.repeat(at - np.cumsum(many) + many, many) + np.arange(many.sum())
-        other, own = owner[hit], np.repeat(np.arange(len(mine)), many)
-        need = overlap(n[i], n[other], part, whole)
-        out = np.zeros(len(held), dtype=bool)
-        out[other[(own <= n[i] - need) & (place[hit] <= n[other] - need)]] = True
-        return out
-
-    return near
+    The smaller of a pair must have the list's token in its short prefix, and sizes and bitmaps must allow the similarity:
+    the bits that differ are no more than the shingles that do. Each document offers PARTNERS of its candidates a turn,
+    the nearest first, so that what earlier turns joined isn't offered again. Long lists meet in pieces, two by two.
+    """
+    loads = still.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEET_DOCS), F.ceil(F.sum(F.abs("n")) / MEET_SHINGLES)).cast("int").alias("pieces"))
+    rows = still.join(sized(written(loads, "jaccard-pieces")), "key").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
+    other = F.explode(F.expr("sequence(0, pieces - 1)")).alias("other")
+    rows = rows.join(bits, "doc_id").select("key", "doc_id", "n", "component", "bits", "piece", other).select(
+        "key", "doc_id", "n", "component", "bits", "piece", F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y")
+    )
+    task = F.pmod(F.xxhash64("key", "x", "y"), F.lit(16 * partitions(still))).alias("task")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("key", "ascending"), ("x", "ascending"), ("y", "ascending"), ("doc_id", "ascending")])
+        key, x, y, doc, n, comp, piece = (group.column(c).to_numpy() for c in ("key", "x", "y", "doc_id", "n", "component", "piece"))
+        bits_, a, b, more = group.column("bits").combine_chunks(), [], [], False
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        ends = np.append(np.flatnonzero(new)[1:], len(key))
+        for start, end in zip(np.flatnonzero(new).tolist(), ends.tolist(), strict=True):
+            own = slice(start, end)
+            if (comp[own] != comp[start]).any():
+                for i, near in candidates(np.abs(n[own]).astype(np.int64), n[own] < 0, [bits_[j].as_py() for j in range(start, end)], part, whole):
+                    if x[start] != y[start]:
+                        near = near[piece[own][near] != piece[start + i]]
+                    later = near[(turn + 1) * PARTNERS :]
+                    more |= bool((comp[own][later] != comp[start + i]).any())
+                    near = near[turn * PARTNERS : (turn + 1) * PARTNERS]
+                    near = near[comp[own][near] != comp[start + i]]
+                    a += [int(doc[start + i])] * len(near)
+                    b += doc[own][near].tolist()
+        return pa.table({"a": pa.array([*a, *[None] * more], pa.int64()), "b": pa.array([*b, *[None] * more], pa.int64())})
+
+    pairs = rows.withColumn("task", task).groupBy("task").applyInArrow(run, "a long, b long")
+    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-candidates")
+
+
+def candidates(n: np.ndarray, first: np.ndarray, bits: list[bytes], part: int, whole: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those that may link to the i-th, nearest first) of a list; a pair is told by its smaller one. first: who has the
+    token in its short prefix."""
+    width = np.array([len(x) for x in bits])
+    rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    maps = {w: np.frombuffer(b"".join(bits[j] for j in at), np.uint64).reshape(len(at), -1) for w, at in rows.items()}
+    folded = {w: m[:, : w // 16] ^ m[:, w // 16 :] for w, m in maps.items() if w > 8}
+    number = np.arange(len(n))
+    for i in np.flatnonzero(first).tolist():
+        mine, found, gaps = np.frombuffer(bits[i], np.uint64), [], []
+        for w, held in ((int(width[i]), maps), (2 * int(width[i]), folded)):
+            if w not in rows:
+                continue
+            at = rows[w]
+            able = (n[at] > n[i]) & (n[at] * part <= n[i] * whole) | (n[at] == n[i]) & first[at] & (number[at] > i)
+            gap = np.bitwise_count(held[w][able] ^ mine).sum(axis=1, dtype=np.int64)
+            at = at[able]
+            close = (n[i] + n[at] - gap) // 2 >= overlap(n[i], n[at], part, whole)
+            found.append(at[close])
+            gaps.append(gap[close])
+        if found and any(map(len, found)):
+            found, gaps = np.concatenate(found), np.concatenate(gaps)
+            yield i, found[np.lexsort((found, gaps))]
+
+
+def across(members: DataFrame, links: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
+    """The components of all links, those that no hub found included: open lists meet, turn by turn, until none has more."""
+    labels, bits, turn = written(components(links), "jaccard-labels"), None, 0
+    while True:
+        still = written(open_lists(members, labels), "jaccard-still")
+        if still.isEmpty():
+            return labels
+        if bits is None:
+            bits = bitmaps_of(docs, written(still.select("doc_id").distinct(), "jaccard-asked"), k)
+        pairs = meetings(still, bits, part, whole, turn)
+        told = pairs.filter("a IS NOT NULL")
+        if not told.isEmpty():
+            links = links.union(written(verified(told, docs, k, part, whole), "jaccard-links"))
+            labels = written(components(links), "jaccard-labels")
+        if pairs.filter("a IS NULL").isEmpty():
+            return labels
+        turn += 1
 
 
 def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -485,12 +492,7 @@ def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str =
     lists = found.filter("kind = 1").select("a", "b", "ids", "sizes").dropDuplicates(["a", "b"])
     members = lists.select(F.col("a").alias("key"), F.col("b").cast("int").alias("chunk"), F.explode(F.arrays_zip("ids", "sizes")).alias("x"))
     members = written(members.select("key", "chunk", F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n")), "jaccard-postings")
-    labels = written(components(links), "jaccard-labels")
-    still = written(open_lists(members, labels), "jaccard-still")
-    if not still.isEmpty():
-        links = links.union(written(across(still, reps, k, part, whole), "jaccard-links"))
-        labels = written(components(links), "jaccard-labels")
-    final = labels
+    final = across(members, links, reps, k, part, whole)
     return own.join(final, own["rep"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 

@@ -471,9 +471,11 @@ def test_jaccard_join(docs, rows, none):
     assert jaccard_join.join(none).count() == 0
 
 
-def test_jaccard_join_near_the_threshold(spark, monkeypatch):
-    """Copies around one text that link to few of the others: hubs don't join them, blocks have to."""
-    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 4000)
+@pytest.mark.parametrize(("meet", "partners"), [(4096, 256), (40, 8)])
+def test_jaccard_join_near_the_threshold(spark, monkeypatch, meet, partners):
+    """Copies around one text that link to few of the others: hubs don't join them, lists have to meet, in pieces and turns."""
+    monkeypatch.setattr(jaccard_join, "MEET_DOCS", meet)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", partners)
     rng = random.Random(11)
     base = [f"b{i}" for i in range(100)]
     rows = []
@@ -506,6 +508,28 @@ def test_jaccard_join_of_a_shared_passage(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_jaccard_candidates_lose_no_link():
+    """Bitmaps and sizes let every pair through whose overlap is enough, whatever their sizes."""
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        base = rng.integers(0, 1 << 62, rng.integers(1, 300)).astype(np.uint64)
+        sets = []
+        for _ in range(25):
+            s = base.copy()
+            s[rng.random(len(s)) < rng.choice([0, 0.05, 0.1, 0.3])] += np.uint64(rng.integers(1, 4))
+            sets.append(np.unique(np.concatenate([s, rng.integers(0, 1 << 62, rng.integers(0, 2 + len(s) // 5)).astype(np.uint64)])))
+        n = np.array([len(s) for s in sets])
+        bits = []
+        for s in sets:
+            width = max(64, 1 << (len(s) - 1).bit_length())
+            bits.append(np.packbits((np.bincount((jaccard_join.mix(s, 55) % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes())
+        told = {(min(i, j), max(i, j)) for i, near in jaccard_join.candidates(n, np.ones(25, bool), bits, 4, 5) for j in near.tolist()}
+        for i in range(25):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                assert 5 * both < 4 * (n[i] + n[j] - both) or (j, i) in told
+
+
 def test_jaccard_join_of_cut_lists(spark, monkeypatch):
     """A text's exact copies make its tokens so frequent that their lists are cut; the near copies still link to it."""
     monkeypatch.setattr(jaccard_join, "LIST_CHUNK", 40)
