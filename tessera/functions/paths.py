@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import col
 
-#: Directories that are not part of a workspace, and lock files (fixed values).
+# Names of folders and files that are not part of a workspace, at any place of a path; and lock files.
 IGNORED_DIRS = (
-    "node_modules", "target", ".git", ".hg", ".svn", "dist", "build", "out", ".next", ".nuxt", ".svelte-kit", ".venv", "venv", "__pycache__",
-    ".mypy_cache", ".pytest_cache", ".idea", ".vscode", "vendor", "coverage", ".cache", ".turbo", ".gradle", "bin", "obj", "tmp", "logs",
+    "node_modules", "target", ".git", "dist", "build", ".next", ".nuxt", "vendor", ".venv", "venv", "__pycache__", ".cache", "appdata", ".cargo", ".rustup", ".gemini", ".npm", ".nuget", ".gradle", ".m2", ".local", ".vscode", ".idea",
+    "local settings", "application data", "benches", "examples", "testdata", "test_data", ".tox", ".mypy_cache", ".pytest_cache", ".dart_tool", "pods", ".build", ".svelte-kit", ".playwright-cli", ".playwright", ".output",
 )
-LOCK_FILES = ("cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "poetry.lock")
+LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb", "composer.lock")
 LANGUAGES = {
     "rust": ("rs",), "typescript": ("ts", "tsx", "mts"), "javascript": ("js", "jsx", "mjs", "cjs"), "python": ("py",), "go": ("go",),
     "java": ("java",), "kotlin": ("kt", "kts"), "php": ("php",), "ruby": ("rb",), "c": ("c", "h"), "cpp": ("cpp", "hpp", "cc"), "csharp": ("cs",),
@@ -38,7 +38,7 @@ def segments(path: Column | str) -> Column:
 
 def ignored(path: Column | str) -> Column:
     parts = segments(path)
-    return F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda s: s.isin(*IGNORED_DIRS)) | F.element_at(parts, -1).isin(*LOCK_FILES)
+    return F.exists(parts, lambda s: s.isin(*IGNORED_DIRS)) | F.element_at(parts, -1).isin(*LOCK_FILES)
 
 
 def test_like(path: Column | str) -> Column:

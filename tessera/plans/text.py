@@ -9,6 +9,7 @@ from tessera.catalogue import query
 from tessera.functions import paths as P
 from tessera.functions import text as T
 from tessera.sources.tables import table
+from tessera.sources.workspace import FILES_SQL, files
 
 SPACE = "\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 PUNCT = "!-/:-@\\[-`{-~"
@@ -139,10 +140,14 @@ def language_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", P.language(T.url_path("url")).alias("language"))
 
 
-@query(f"""SELECT page_id, list_has_any(list_slice(s, 1, -2), ['node_modules', 'target', 'dist', 'build', 'out', 'vendor', 'bin', 'obj', 'tmp', 'logs', 'coverage']) AS ignored, list_has_any(s, ['test', 'tests']) AS test_like, CAST(len(s) AS INT) AS depth FROM (SELECT page_id, string_split(lower({PATH}), '/') AS s FROM pages)""")
+@query(f"""WITH {FILES_SQL}, p AS (SELECT 'page:' || page_id AS path_id, {PATH} AS path FROM pages UNION ALL SELECT 'part:' || path_id, path FROM files)
+SELECT path_id, list_has_any(s, ['node_modules', 'target', 'dist', 'build', 'vendor', 'benches', 'examples', 'testdata', '.git', '.cargo', 'pods']) AS ignored, list_has_any(s, ['test', 'tests']) AS test_like, CAST(len(s) AS INT) AS depth
+FROM (SELECT path_id, string_split(lower(path), '/') AS s FROM p)""")
 def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = T.url_path("url")
-    return table(spark, sf_dir, "pages").select("page_id", P.ignored(path).alias("ignored"), P.test_like(path).alias("test_like"), F.size(P.segments(path)).alias("depth"))
+    """Of the paths of pages and of a workspace's files; its folders have some of the ignored names."""
+    web = table(spark, sf_dir, "pages").select(F.concat(F.lit("page:"), "page_id").alias("path_id"), T.url_path("url").alias("path"))
+    paths = web.unionByName(files(spark, sf_dir).select(F.concat(F.lit("part:"), "path_id").alias("path_id"), "path"))
+    return paths.select("path_id", P.ignored("path").alias("ignored"), P.test_like("path").alias("test_like"), F.size(P.segments("path")).alias("depth"))
 
 
 @query(f"""SELECT page_id, CASE WHEN x LIKE 'apps/%' THEN split_part(x, '/', 2) ELSE split_part(x, '/', 1) END AS slug, CASE WHEN x LIKE 'apps/%' THEN 'apps/' || split_part(x, '/', 2) END AS app
