@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import package_slug
+from tessera.sources.scratch import Store
 
 EPOCH = 1
 
@@ -49,14 +50,10 @@ def merge(parts: list[DataFrame]) -> DataFrame:
 
 def append_once(spark: SparkSession, rows: DataFrame, path: str, key: str, keep: int | None = None, order: str = "ts") -> None:
     """Adds rows whose key isn't there yet; keeps the newest so many."""
-    try:
-        held = spark.read.parquet(path)
+    store = Store(spark, path)
+    if (held := store.read()) is not None:
         rows = held.unionByName(rows.join(held.select(key), key, "left_anti").select(held.columns))
-    except Exception as e:  # the first write
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
     once = rows.dropDuplicates([key])
     if keep:
         once = once.orderBy(F.desc(order), key).limit(keep)
-    once.write.mode("overwrite").parquet(f"{path}-next")
-    spark.read.parquet(f"{path}-next").write.mode("overwrite").parquet(path)
+    store.replace(once)

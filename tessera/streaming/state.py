@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.learning import HIGH, LOW
+from tessera.sources.scratch import Store
 
 
 def changes(spark: SparkSession, path: str, schema: str, most_files: int = 1000) -> DataFrame:
@@ -54,12 +55,7 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
 
 def upsert(changed: DataFrame, path: str, key: str, order: str) -> None:
     """foreachBatch body: the newest row of each key replaces the table's."""
-    spark = changed.sparkSession
     newest = changed.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in changed.columns]), order).alias("x")).select("x.*")
-    try:
-        held = spark.read.parquet(path)
-    except Exception:
-        held = newest.limit(0)
-    merged = held.join(newest.select(key), key, "left_anti").unionByName(newest)
-    merged.write.mode("overwrite").parquet(f"{path}-next")
-    spark.read.parquet(f"{path}-next").write.mode("overwrite").parquet(path)
+    store = Store(changed.sparkSession, path)
+    held = store.read()
+    store.replace(newest if held is None else held.join(newest.select(key), key, "left_anti").unionByName(newest))

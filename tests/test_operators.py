@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import graph as G
 from tessera.operators import learning as L
+from tessera.operators import overlays as O
 from tessera.operators import parse as P
+from tessera.operators import source as S
+from tessera.sources.scratch import Store
 from tessera.operators import vector as V
 from tessera.plans import graph as graph_plans
 from tessera.plans import select
@@ -104,20 +107,20 @@ def test_graph_edge_cases(spark):
 
 
 def test_parsers(spark):
-    assert P.routes_of("app.get('/x', f)\nrouter.post(\"/y\", g)", "express") == [("GET", "/x", 1), ("POST", "/y", 2)]
-    assert P.routes_of('@GetMapping("/a")', "spring") == [("GET", "/a", 1)]
-    assert P.imports_of("import a.b\nfrom c import d", "python") == [("a.b", 1), ("c", 2)]
+    assert O.routes_of("app.get('/x', f)\nrouter.post(\"/y\", g)", "express") == [("GET", "/x", 1), ("POST", "/y", 2)]
+    assert O.routes_of('@GetMapping("/a")', "spring") == [("GET", "/a", 1)]
+    assert S.imports("import a.b\nfrom c import d", "python") == [("a.b", "a", 1), ("c.d", "d", 2)]
     text = "def f():\n    a\n    b\n    c\n\ndef g():\n    a\n"
     assert P.skeleton(text) == ("def f():\n    ...\n\ndef g():\n    a\n", 1) and P.skeleton(text, keep=("f",)) == (text, 0)
-    assert P.symbols_of("", "rust") == [] and P.symbols_of("fn x() {}", "nope") == []
+    assert S.declarations("", "rust") == [] and S.declarations("fn x() {}", "nope") == []
 
 
 def test_workspace(spark, tmp_path):
-    for name, body in {"src/a.py": "x = 1\n", "tests/t.py": "y", "node_modules/m.js": "z", "b.zzz": "q", "Cargo.lock": "l", "src/b.rs": "fn a() {}"}.items():
+    for name, body in {"src/a.py": "x = 1\n", "tests/t.py": "y", "node_modules/m.js": "z", "b.zzz": "q", "yarn.lock": "l", "src/b.rs": "fn a() {}"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(body)
     listing = files.listing(spark, str(tmp_path))
-    assert {r.path: r.skipped for r in listing.collect()} == {"src/a.py": None, "tests/t.py": None, "src/b.rs": None, "node_modules/m.js": "ignored", "Cargo.lock": "ignored", "b.zzz": "unknown_extension"}
+    assert {r.path: r.skipped for r in listing.collect()} == {"src/a.py": None, "tests/t.py": None, "src/b.rs": None, "node_modules/m.js": "ignored", "yarn.lock": "ignored", "b.zzz": "unknown_extension"}
     assert [(r.ext, r["count"]) for r in files.skipped_summary(listing).collect()] == [("zzz", 1)]
     read = files.scan(spark, str(tmp_path))
     assert sorted(r.path for r in read.collect()) == ["src/a.py", "src/b.rs", "tests/t.py"]
@@ -165,6 +168,23 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert spark.table("once").count() == len(EVENTS)
 
 
+def test_a_store_survives_lost_writers(spark, tmp_path):
+    """Wherever a writer stops, the old or the new rows are whole."""
+    path, rows = str(tmp_path / "s"), spark.range(3)
+    store = Store(spark, path)
+    assert store.read() is None
+    store.replace(rows)
+    spark.range(5).write.parquet(f"{path}-next")  # written, not yet in place: undone
+    assert Store(spark, path).read().count() == 3
+    spark.range(5).write.parquet(f"{path}-next")
+    (tmp_path / "s").rename(tmp_path / "s-old")  # the old one moved away, the new one whole: finished
+    assert Store(spark, path).read().count() == 5 and not (tmp_path / "s-old").exists()
+    (tmp_path / "s").rename(tmp_path / "s-old")  # the old one moved away, no new one: put back
+    assert Store(spark, path).read().count() == 5
+    store.replace(store.read().filter("id < 2"))
+    assert Store(spark, path).read().count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["s"]
+
+
 def test_upsert_keeps_the_newest(spark, tmp_path):
     for batch in ([(1, 1, "a"), (2, 1, "b")], [(1, 2, "c"), (1, 3, "d")]):
         state.upsert(spark.createDataFrame(batch, "k int, at int, v string"), str(tmp_path / "t"), "k", "at")
