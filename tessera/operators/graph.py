@@ -2,7 +2,7 @@
 
 Traversals are loops of joins over a frontier. Each hop is one equi-join on the node id and one
 aggregation that keeps a row per node, so a hop's size is bounded by the nodes and never by the
-paths. Frontiers that many hops share are cut by checkpoints in the shared folder.
+paths. Edges that several hops read, and frontiers, are written to the shared folder once.
 """
 
 from __future__ import annotations
@@ -76,11 +76,11 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def walk(steps: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Breadth-first from seeds (id): (id, depth, via). steps: (src, dst, edge_id). A node keeps its least depth, then edge id."""
     found = seeds.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"))
-    frontier = found
+    frontier, steps = found, cut(steps.select("src", "dst", "edge_id"), "steps") if hops > 1 else steps
     for depth in range(1, hops + 1):
         reached = frontier.select(F.col("id").alias("src")).join(steps, "src").groupBy(F.col("dst").alias("id")).agg(F.min("edge_id").alias("via"))
         frontier = reached.join(found.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via")
-        if 1 < depth < hops:
+        if depth < hops:
             frontier = cut(frontier, "frontier")
         found = found.unionByName(frontier)
     return found
@@ -116,12 +116,15 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2)
 def shortest_paths(edges: DataFrame, origin: str, hops: int) -> DataFrame:
     """Undirected breadth-first tree from one node: (id, depth, path). Of equal paths the one through the least edge, then node, ids."""
     found = edges.sparkSession.createDataFrame([(origin, 0, [origin])], "id string, depth int, path array<string>")
-    frontier, steps = found, both_ways(edges)
+    frontier, steps = found, cut(both_ways(edges), "steps") if hops > 1 else both_ways(edges)
     for depth in range(1, hops + 1):
-        reached = frontier.select(F.col("id").alias("src"), "path").join(steps, "src")
-        best = reached.groupBy(F.col("dst").alias("id")).agg(F.min_by("path", F.struct("src", "edge_id")).alias("before"))
-        frontier = best.join(found.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.concat("before", F.array("id")).alias("path"))
-        if 1 < depth < hops:
+        reached = frontier.select(F.col("id").alias("src")).join(steps, "src")
+        best = reached.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("src", "edge_id"))["src"].alias("before"))
+        fresh = best.join(found.select("id"), "id", "left_anti")
+        # paths go to the nodes that they reach, not along each edge
+        held = frontier.select(F.col("id").alias("before"), F.col("path").alias("head"))
+        frontier = fresh.join(held, "before").select("id", F.lit(depth).alias("depth"), F.concat("head", F.array("id")).alias("path"))
+        if depth < hops:
             frontier = cut(frontier, "frontier")
         found = found.unionByName(frontier)
     return found
@@ -137,12 +140,13 @@ def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.7
     """Spreading activation from seeds (id, energy): the most that reaches a node, less 0.15 of it for each hop made before."""
     steps = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), (F.col("weight") * attenuation()).alias("w"))
     steps = steps.union(edges.select("target", "source", F.col("weight") * attenuation()))
+    steps = cut(steps, "steps") if hops > 1 else steps
     frontier = seeds.select("id", F.col("energy").cast("double").alias("energy"))
     reached = frontier
     for hop in range(hops):
         moved = frontier.select(F.col("id").alias("src"), "energy").join(steps, "src").select(F.col("dst").alias("id"), (F.col("energy") * decay * F.col("w")).alias("energy"))
         frontier = moved.filter(F.col("energy") >= cutoff).groupBy("id").agg(F.max("energy").alias("energy"))
-        if 0 < hop < hops - 1:
+        if hop < hops - 1:
             frontier = cut(frontier, "frontier")
         reached = reached.unionByName(frontier.select("id", (F.col("energy") * (1 - 0.15 * hop)).alias("energy")))
     return reached.groupBy("id").agg(F.round(F.max("energy"), 6).alias("energy"))

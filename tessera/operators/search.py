@@ -42,27 +42,31 @@ def search(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """For each query (q) its best symbols: q, place, id, name, reason, score.
 
     A symbol counts by the first of exact, prefix, substring, token and path that finds it, whatever scores more.
-    Substrings count only if no symbol of any kind is exact, tokens only if no class-like one is. Queries are a bounded
-    set against all nodes; candidates are ranked per query before the limit.
+    Substrings count only if no symbol of any kind is exact, tokens only if no class-like one is. Whatever finds a symbol,
+    its name or path has the query's first three letters in a row, so queries and nodes meet by an equality join on such
+    runs. Queries are a bounded set; their runs are a constant of the plan. Ranks are cut per query before the shuffle.
     """
     limit = max(1, min(80, limit))
     asked = queries.select("q", F.lower("q").alias("low")).filter("q <> ''").distinct()
-    name, low = F.lower("name"), F.col("low")
+    low = F.col("low")
+    asked = asked.withColumn("run", F.substring("low", 1, 3))
+    runs = sorted(r.run for r in asked.select("run").distinct().toLocalIterator())
+    text = F.concat_ws("\n", F.lower("name"), F.lower("file_path"))
+    hits = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(r)), r) for r in runs] or [F.lit(None).cast("string")]))
+    name = F.col("low_name")
+    prepared = nodes.withColumn("run", F.explode(hits)).withColumns({"low_name": F.lower("name"), "low_path": F.lower("file_path")})
     spec = specificity(low, F.col("name"))
     class_like = F.col("node_type").isin(*CLASS_LIKE)
-    found = nodes.join(F.broadcast(asked), F.contains(name, low) | F.array_contains(identifier_tokens("name"), low) | F.contains(F.lower("file_path"), low))
-    exact = name == low
-    marked = (
-        found.withColumn("is_exact", exact)
-        .withColumn("any_exact", F.max(exact).over(W.partitionBy("q")))
-        .withColumn("class_exact", F.max(exact & class_like).over(W.partitionBy("q")))
-    )
+    found = prepared.join(F.broadcast(asked), "run").filter(F.contains(name, low) | F.contains("low_path", low))
+    exact = nodes.select(F.lower("name").alias("low"), class_like.alias("class_like")).join(F.broadcast(asked), "low").groupBy("low").agg(F.max("class_like").alias("class_exact"))
+    marked = found.join(F.broadcast(exact), "low", "left").withColumn("is_exact", name == low)  # a row a query
+    marked = marked.withColumn("any_exact", F.col("class_exact").isNotNull()).withColumn("class_exact", F.coalesce("class_exact", F.lit(False)))
     priority = (
         F.when(F.col("is_exact"), 1)
         .when(F.startswith(name, low), 2)
         .when(F.contains(name, low) & ~F.col("any_exact"), 3)
         .when(F.array_contains(identifier_tokens("name"), low) & ~F.col("class_exact"), 4)
-        .when(F.contains(F.lower("file_path"), low), 5)
+        .when(F.contains("low_path", low), 5)
     )
     base = (
         F.when(F.col("priority") == 1, F.when(class_like, 240.0).otherwise(120.0))
@@ -84,17 +88,21 @@ def resolve_unique(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def resolve_scoped(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """refs (ref, name, file_path, package): the only node of that name in the narrowest scope that has just one: file, package, all."""
-    targets = nodes.select(F.lower("name").alias("key"), "id", F.col("file_path").alias("t_path"), F.col("package").alias("t_package"))
-    joined = refs.withColumn("key", F.lower("name")).join(targets, "key")
-    in_file, in_package = F.col("file_path") == F.col("t_path"), F.col("package") == F.col("t_package")
-
-    def only(flag: Column) -> Column:
-        return F.when(F.count_if(flag) == 1, F.min(F.when(flag, F.col("id"))))
+    """refs (ref, name, file_path, package): the only node of that name in the narrowest scope that has just one: file, package, all.
 
-    by = joined.groupBy("ref").agg(only(in_file).alias("a"), only(in_package).alias("b"), only(F.lit(True)).alias("c"))
+    Nodes are counted by name and scope first, so a ref meets one row of each scope however many nodes share its name.
+    """
+    named = nodes.select(F.lower("name").alias("key"), "file_path", "package", "id")
+    asked = refs.select("ref", F.lower("name").alias("key"), "file_path", "package")
+    for scope, place in (("a", ["key", "file_path"]), ("b", ["key", "package"]), ("c", ["key"])):
+        asked = asked.join(only_one(named, place).withColumnRenamed("id", scope), place, "left")
     scope = F.when(F.col("a").isNotNull(), "file").when(F.col("b").isNotNull(), "package").otherwise("global")
-    return by.withColumn("id", F.coalesce("a", "b", "c")).filter("id IS NOT NULL").select("ref", "id", scope.alias("scope"))
+    return asked.withColumn("id", F.coalesce("a", "b", "c")).filter("id IS NOT NULL").select("ref", "id", scope.alias("scope"))
+
+
+def only_one(rows: DataFrame, place: list[str]) -> DataFrame:
+    """The id of each place that has just one."""
+    return rows.groupBy(*place).agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").drop("last")
 
 
 def resolve_dominant(candidates: DataFrame, margin: float = 8.0) -> DataFrame:
