@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,19 +42,30 @@ STYLE_NOISE = ("promo", "cartdrawer", "cartview", "/stores/cart", "appbutton")
 
 
 class Rule:
-    """A condition on a column, as an expression and as SQL."""
+    """A condition on a column, as SQL and as an expression, which is built when it is asked for."""
 
-    def __init__(self, column: Column, sql: str):
-        self.column, self.sql = column, sql
+    def __init__(self, build: Callable[[], Column], sql: str):
+        self.build, self.sql = build, sql
+
+    @property
+    def column(self) -> Column:
+        return self.build()
 
     def __or__(self, other: Rule) -> Rule:
-        return Rule(self.column | other.column, f"({self.sql} OR {other.sql})")
+        return Rule(lambda: self.column | other.column, f"({self.sql} OR {other.sql})")
 
     def __and__(self, other: Rule) -> Rule:
-        return Rule(self.column & other.column, f"({self.sql} AND {other.sql})")
+        return Rule(lambda: self.column & other.column, f"({self.sql} AND {other.sql})")
 
     def __invert__(self) -> Rule:
-        return Rule(~self.column, f"(NOT {self.sql})")
+        return Rule(lambda: ~self.column, f"(NOT {self.sql})")
+
+
+def any_of(parts: Iterable[Column]) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | part
+    return found
 
 
 def quoted(words: Sequence[str]) -> str:
@@ -63,22 +74,16 @@ def quoted(words: Sequence[str]) -> str:
 
 def within(name: str, folders: Sequence[str]) -> Rule:
     """A part of the path is one of the names."""
-    return Rule(F.arrays_overlap(F.split(F.lower(col(name)), "/"), F.array(*map(F.lit, folders))), f"list_has_any(string_split(lower({name}), '/'), [{quoted(folders)}])")
+    return Rule(lambda: F.arrays_overlap(F.split(F.lower(col(name)), "/"), F.array(*map(F.lit, folders))), f"list_has_any(string_split(lower({name}), '/'), [{quoted(folders)}])")
 
 
 def says(name: str, words: Sequence[str]) -> Rule:
     """One of the words is in the text."""
-    found = F.lit(False)
-    for w in words:
-        found = found | F.contains(F.lower(col(name)), F.lit(w))
-    return Rule(found, "(" + " OR ".join(f"contains(lower({name}), '{w}')" for w in words) + ")")
+    return Rule(lambda: any_of(F.contains(F.lower(col(name)), F.lit(w)) for w in words), "(" + " OR ".join(f"contains(lower({name}), '{w}')" for w in words) + ")")
 
 
 def ends(name: str, words: Sequence[str]) -> Rule:
-    found = F.lit(False)
-    for w in words:
-        found = found | F.endswith(F.lower(col(name)), F.lit(w))
-    return Rule(found, "(" + " OR ".join(f"suffix(lower({name}), '{w}')" for w in words) + ")")
+    return Rule(lambda: any_of(F.endswith(F.lower(col(name)), F.lit(w)) for w in words), "(" + " OR ".join(f"suffix(lower({name}), '{w}')" for w in words) + ")")
 
 
 def stem(name: str) -> Column:
@@ -90,7 +95,7 @@ def stem_sql(name: str) -> str:
 
 
 def stemmed(name: str, stems: Sequence[str]) -> Rule:
-    return Rule(stem(name).isin(*stems), f"{stem_sql(name)} IN ({quoted(stems)})")
+    return Rule(lambda: stem(name).isin(*stems), f"{stem_sql(name)} IN ({quoted(stems)})")
 
 
 def path_rules(p: str = "path") -> dict[str, Rule]:
@@ -103,7 +108,7 @@ def path_rules(p: str = "path") -> dict[str, Rule]:
     rules["core"] = within(p, ("core",)) & ~twins
     rules["decoy"] = twins | rules["schema"] | rules["editors"]
     rules["low_priority"] = twins | rules["test"] | rules["example"] | rules["testdata"] | rules["editors"]
-    rules["json_schema"] = says(p, ("/json-schema",)) | Rule(stem(p).rlike("json[-_]schema"), f"regexp_matches({stem_sql(p)}, 'json[-_]schema')")
+    rules["json_schema"] = says(p, ("/json-schema",)) | Rule(lambda: stem(p).rlike("json[-_]schema"), f"regexp_matches({stem_sql(p)}, 'json[-_]schema')")
     rules["embed_noise"] = rules["low_priority"] | says(p, ("/docs/", "/editors/", "/types/")) | ends(p, (".md", ".rst", ".d.ts"))
     rules["style"] = says(p, STYLE_PARTS) | ends(p, STYLE_ENDS)
     return rules
@@ -131,7 +136,14 @@ def seed_allowed(path: str = "path", prompt: str = "prompt") -> list[tuple[Rule,
 
 def first_that_fits(pairs: list[tuple[Rule, Rule]]) -> Rule:
     """The second rule of the first pair whose first rule holds; true if none does."""
-    column, sql = F.lit(True), "TRUE"
+
+    def build() -> Column:
+        column = F.lit(True)
+        for when, then in reversed(pairs):
+            column = F.when(when.column, then.column).otherwise(column)
+        return column
+
+    sql = "TRUE"
     for when, then in reversed(pairs):
-        column, sql = F.when(when.column, then.column).otherwise(column), f"CASE WHEN {when.sql} THEN {then.sql} ELSE {sql} END"
-    return Rule(column, sql)
+        sql = f"CASE WHEN {when.sql} THEN {then.sql} ELSE {sql} END"
+    return Rule(build, sql)

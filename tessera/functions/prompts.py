@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions.predicates import stem
 from tessera.functions.text import SPACE, col
@@ -102,7 +103,7 @@ def workspace_of_uri(raw: Column | str) -> Column:
     return F.when((raw != "") & (F.lower(raw) != "null") & (path != ""), path)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no function for it. Plain ASCII is left as it is."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

@@ -41,15 +41,6 @@ def homeostasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.homeostasis(edges(spark, sf_dir))
 
 
-@query("WITH o AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders) SELECT 'order:' || o_orderkey || '->order:' || nxt AS pair, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS k FROM o WHERE nxt IS NOT NULL")
-def reinforce_path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive nodes of a path are the edges that it reinforces."""
-    nxt = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    paths = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", nxt.alias("nxt")).filter("nxt IS NOT NULL")
-    k = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return paths.select(F.concat(key("order", "o_orderkey"), F.lit("->"), key("order", "nxt")).alias("pair"), k.alias("k"))
-
-
 @query(f"WITH {NODES_SQL} SELECT id, round(greatest(0.0, 5 * ln(1 + access_count) + 10 * greatest(base_relevance - 1, 0.0) - 12 * greatest(1 - base_relevance, 0.0)), 6) AS bonus FROM nodes")
 def learning_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select("id", F.round(bonus("access_count", "base_relevance"), 6).alias("bonus"))

@@ -192,18 +192,6 @@ def foreign_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).filter(project != F.substring(F.sha2(F.lit("en"), 256), 1, 16)).groupBy("source").agg(F.count(F.lit(1)).alias("n_foreign"))
 
 
-@query("""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE turn IN (0, 2))
-SELECT conv_id, count(*) FILTER (WHERE turn = 0) AS removed, count(*) FILTER (WHERE turn = 2) AS added FROM l a
-WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.conv_id = a.conv_id AND b.turn = 2 - a.turn AND b.line = a.line) GROUP BY conv_id""")
-def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of one version that the other lacks, both ways; repeats count each."""
-    turns = table(spark, sf_dir, "conversations").filter("turn IN (0, 2)")
-    lines = turns.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    other = lines.select("conv_id", (2 - F.col("turn")).alias("turn"), "line").distinct()
-    lone = lines.join(other, ["conv_id", "turn", "line"], "left_anti")
-    return lone.groupBy("conv_id").agg(F.count_if(F.col("turn") == 0).alias("removed"), F.count_if(F.col("turn") == 2).alias("added"))
-
-
 @query()
 def fold_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold's short id: 20 bits of a hash of its path and lines."""
