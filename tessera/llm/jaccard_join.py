@@ -22,7 +22,8 @@ The join finds the components of the link graph without listing all pairs of a g
     bitmaps of n to 2 n bits, whose differing bits bound the overlap: pairs of different
     components that these and their sizes allow, and whose smaller one has the list's shingle in
     its short prefix, go through the further orders to their exact overlap, some of each document
-    at a time, nearest first, until no list has more.
+    at a time, nearest first, until no list has more. Lists with one smallest member are one list
+    here, so a pair is told a few times at most.
 No pair of a list is left out unless its two are connected already, so components are exact.
 Lists of very frequent tokens are cut in chunks for the first hubs; after that they are one again.
 
@@ -59,6 +60,8 @@ TASK_POSTINGS, LIST_CHUNK, PARTNERS = 2_000_000, 50_000, 256
 CELL_BITS, SHARD_TOKENS, ROUNDS = 24, 2_000_000, 2
 #: Members of an open list that meet in a task, and their shingles (a single longer document is taken whole).
 MEET_DOCS, MEET_SHINGLES = 4096, 8_000_000
+#: Candidates that a document of an open list offers in the first turn, and how many times as many in each later one.
+TURN = 8
 
 
 def prefix_length(n, part: int = 4, whole: int = 5):
@@ -375,9 +378,11 @@ def meetings(still: DataFrame, bits: DataFrame, part: int, whole: int, turn: int
     """Candidate pairs (a, b) of different components in open lists; (null, null) if a later turn has more.
 
     The smaller of a pair must have the list's token in its short prefix, and sizes and bitmaps must allow the similarity:
-    the bits that differ are no more than the shingles that do. Each document offers PARTNERS of its candidates a turn,
-    the nearest first, so that what earlier turns joined isn't offered again. Long lists meet in pieces, two by two.
+    the bits that differ are no more than the shingles that do. Each document offers TURN of its candidates in the first
+    turn, TURN times as many in each later one, the nearest first, so that what earlier turns joined isn't offered again.
+    Long lists meet in pieces, two by two.
     """
+    begin, end_ = TURN * (TURN**turn - 1) // (TURN - 1), TURN * (TURN ** (turn + 1) - 1) // (TURN - 1)
     loads = still.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEET_DOCS), F.ceil(F.sum(F.abs("n")) / MEET_SHINGLES)).cast("int").alias("pieces"))
     rows = still.join(sized(written(loads, "jaccard-pieces")), "key").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
     other = F.explode(F.expr("sequence(0, pieces - 1)")).alias("other")
@@ -398,9 +403,9 @@ def meetings(still: DataFrame, bits: DataFrame, part: int, whole: int, turn: int
                 for i, near in candidates(np.abs(n[own]).astype(np.int64), n[own] < 0, [bits_[j].as_py() for j in range(start, end)], part, whole):
                     if x[start] != y[start]:
                         near = near[piece[own][near] != piece[start + i]]
-                    later = near[(turn + 1) * PARTNERS :]
+                    later = near[end_:]
                     more |= bool((comp[own][later] != comp[start + i]).any())
-                    near = near[turn * PARTNERS : (turn + 1) * PARTNERS]
+                    near = near[begin:end_]
                     near = near[comp[own][near] != comp[start + i]]
                     a += [int(doc[start + i])] * len(near)
                     b += doc[own][near].tolist()
@@ -437,13 +442,18 @@ def candidates(n: np.ndarray, first: np.ndarray, bits: list[bytes], part: int, w
 
 def across(members: DataFrame, links: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
     """The components of all links, those that no hub found included: open lists meet, turn by turn, until none has more."""
-    labels, bits, turn = written(components(links), "jaccard-labels"), None, 0
+    labels = written(components(links), "jaccard-labels")
+    still = written(open_lists(members, labels), "jaccard-still")
+    if still.isEmpty():
+        return labels
+    # a pair shares many lists, most of them with one smallest member: the lists of a smallest member become one
+    hubs = written(still.groupBy("key").agg(F.min("doc_id").alias("hub")), "jaccard-hubs")
+    merged = still.join(sized(hubs), "key").groupBy("hub", "doc_id").agg(F.min("n").alias("n"))
+    merged = written(merged.select(F.col("hub").alias("key"), F.lit(0).alias("chunk"), "doc_id", "n"), "jaccard-merged")
+    bits = bitmaps_of(docs, written(merged.select("doc_id").distinct(), "jaccard-asked"), k)
+    turn = 0
     while True:
-        still = written(open_lists(members, labels), "jaccard-still")
-        if still.isEmpty():
-            return labels
-        if bits is None:
-            bits = bitmaps_of(docs, written(still.select("doc_id").distinct(), "jaccard-asked"), k)
+        still = written(open_lists(merged, labels), "jaccard-still")
         pairs = meetings(still, bits, part, whole, turn)
         told = pairs.filter("a IS NOT NULL")
         if not told.isEmpty():

@@ -471,11 +471,11 @@ def test_jaccard_join(docs, rows, none):
     assert jaccard_join.join(none).count() == 0
 
 
-@pytest.mark.parametrize(("meet", "partners"), [(4096, 256), (40, 8)])
-def test_jaccard_join_near_the_threshold(spark, monkeypatch, meet, partners):
+@pytest.mark.parametrize(("meet", "turn"), [(4096, 4), (40, 2)])
+def test_jaccard_join_near_the_threshold(spark, monkeypatch, meet, turn):
     """Copies around one text that link to few of the others: hubs don't join them, lists have to meet, in pieces and turns."""
     monkeypatch.setattr(jaccard_join, "MEET_DOCS", meet)
-    monkeypatch.setattr(jaccard_join, "PARTNERS", partners)
+    monkeypatch.setattr(jaccard_join, "TURN", turn)
     rng = random.Random(11)
     base = [f"b{i}" for i in range(100)]
     rows = []
