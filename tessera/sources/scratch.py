@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,9 @@ def folder(spark: SparkSession) -> str:
     if not name:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        name = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        own = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        name = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", name)
     return name
 
