@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-PLANS = ("graph", "search", "text", "metrics", "vector", "learning", "select", "parse", "streams", "packet", "routing", "context", "memory")
+PLANS = ("graph", "search", "text", "metrics", "vector", "learning", "select", "parse", "streams", "packet", "routing", "context", "memory", "tasks")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

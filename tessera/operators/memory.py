@@ -166,6 +166,38 @@ def fitness(df: DataFrame) -> DataFrame:
     return df.select("id", F.round(F.when(F.col("original") == 0, 0.0).otherwise(score), 6).alias("fitness"))
 
 
+def random_folding(seed: Column) -> list[Column]:
+    """(folds, docs, depth, boost) that a seed stands for."""
+    share = lambda a, b: F.pmod(seed * F.lit(a) + F.lit(b), F.lit(100)) / 100.0
+    return [(3 + F.pmod(seed, F.lit(7))).alias("folds"), (0.5 + share(1103515245, 12345) * 0.5).alias("docs"), (1 + F.pmod(seed, F.lit(3))).alias("depth"), (1.0 + share(1664525, 1013904223)).alias("boost")]
+
+
+def next_generation(population: DataFrame, generation: int, rate: float = 0.20) -> DataFrame:
+    """population (run, place, folds, docs, depth, boost, fitness): the same columns after a generation, by run.
+
+    The two fittest stay (ties to the smaller place); the others are bred from pairs of the four fittest, one row a run, and
+    mutate by the digits of generation and place. Children have no fitness yet.
+    """
+    order = W.partitionBy("run").orderBy(F.desc("fitness"), "place")
+    ranked = population.withColumn("at", F.row_number().over(order) - 1)
+    genes = ("folds", "docs", "depth", "boost")
+    fittest = ranked.filter("at < 4").groupBy("run").agg(F.sort_array(F.collect_list(F.struct("at", *genes))).alias("top"))
+    parent = lambda step: F.element_at("top", (F.pmod(F.col("at") + step, F.size("top")) + 1).cast("int"))
+    bred = ranked.join(fittest, "run").withColumn("a", parent(0)).withColumn("b", parent(1))
+    seed = F.col("at") + generation
+    changes, delta = F.pmod(seed, F.lit(100)) / 100.0 < rate, F.when(F.pmod(seed, F.lit(2)) == 0, 1).otherwise(-1)
+
+    def gene(name: str, child: Column, step: float | None, least: float = 0, most: float = 0) -> Column:
+        moved = child if step is None else F.when(changes, F.greatest(F.lit(least), F.least(F.lit(most), child + delta * F.lit(step)))).otherwise(child)
+        return F.when(F.col("at") < 2, F.col(name)).otherwise(moved).alias(name)
+
+    mean = lambda name: (F.col(f"a.{name}") + F.col(f"b.{name}")) / 2
+    return bred.select(
+        "run", F.col("at").cast("long").alias("place"), gene("folds", F.floor(mean("folds")), 1, 2, 15).cast("long").alias("folds"), gene("docs", mean("docs"), 0.05, 0.1, 1.0),
+        gene("depth", F.greatest("a.depth", "b.depth"), None), gene("boost", mean("boost"), 0.1, 0.5, 3.0), F.when(F.col("at") < 2, F.col("fitness")).otherwise(0.0).alias("fitness"),
+    )
+
+
 def merged_signals(df: DataFrame, most: int = 8) -> DataFrame:
     """df (task, own, client: arrays of words): (task, keywords), the client's first, each once whatever its case, so many."""
     words = F.filter(F.transform(F.concat("client", "own"), lambda w: F.lower(F.trim(w))), lambda w: w != "")

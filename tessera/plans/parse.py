@@ -57,14 +57,14 @@ def filled(spark: SparkSession, sf_dir: str, samples: tuple[tuple, ...], *column
     return held.select(F.col("file_id").cast("string").alias("path") if "path" not in columns else F.lit(None).alias("none"), "file_id", *told).drop("none")
 
 
-def value(v: object) -> str:
-    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+def value(v: str | float | None) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, int) else f"{v}::DOUBLE" if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
 
 
 def expected_sql(rows: list[tuple], *columns: str) -> str:
     """The rows that each sample gives, as (sample's number, ...), with each part's name and number for {n}."""
     told = ", ".join("(" + ", ".join(map(value, row)) + ")" for row in rows)
-    shown = ", ".join(c if c in ("line", "folds") else f"replace({c}, '{{n}}', n) AS {c}" for c in columns)
+    shown = ", ".join(f"replace({c}, '{{n}}', n) AS {c}" if any(isinstance(row[i], str) for row in rows) else c for i, c in enumerate(columns, 1))
     count = max(row[0] for row in rows) + 1
     return f"""WITH w(k, {', '.join(columns)}) AS (VALUES {told}), p AS (SELECT p_partkey AS file_id, replace(p_name, ' ', '_') || '_' || p_partkey AS n FROM part)
 SELECT CAST(file_id AS VARCHAR) AS path, {shown} FROM p JOIN w ON file_id % {count} = k"""

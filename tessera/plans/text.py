@@ -82,56 +82,6 @@ def english_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.english_likeness("text").alias("english"))
 
 
-INTENTS = (("bugfix", "error|fix|bug"), ("refactor", "refactor|rename"), ("test", "test"), ("style", "style|css|color"), ("docs", "doc|readme"))
-
-
-@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{r}') THEN '{n}'" for n, r in INTENTS) + " ELSE 'feature' END AS intent FROM conversations WHERE role = 'user'")
-def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = F.lit("feature")
-    for name, rule in reversed(INTENTS):
-        chosen = F.when(F.lower("text").rlike(rule), name).otherwise(chosen)
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", chosen.alias("intent"))
-
-
-@query("""SELECT item_id, regexp_matches(lower(text), 'style|css|scss|color|theme') AS style, regexp_matches(lower(text), 'delete|drop|security|payment') AS critical, regexp_matches(text, '[a-z]+_[a-z]+|[a-z]+[A-Z][a-z]+') AS anchored,
-CASE WHEN regexp_matches(text, '[a-z]+_[a-z]+|[a-z]+[A-Z][a-z]+') THEN 0.94 ELSE 0.62 END AS confidence FROM benchmark""")
-def task_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, anchored = F.lower("text"), F.col("text").rlike("[a-z]+_[a-z]+|[a-z]+[A-Z][a-z]+")
-    return table(spark, sf_dir, "benchmark").select(
-        "item_id", low.rlike("style|css|scss|color|theme").alias("style"), low.rlike("delete|drop|security|payment").alias("critical"), anchored.alias("anchored"), F.when(anchored, 0.94).otherwise(0.62).alias("confidence")
-    )
-
-
-@query("""SELECT doc_id, array_to_string(list_distinct_in_order, '|') AS hints FROM (SELECT doc_id, list_filter(h, lambda x, i: list_position(h, x) = i) AS list_distinct_in_order FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+|\\b[A-Za-z0-9_]+@[A-Za-z0-9.]+') AS h FROM documents))""")
-def prompt_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses named in a text, each once, in order."""
-    found = F.regexp_extract_all("text", F.lit(r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\b[A-Za-z0-9_]+@[A-Za-z0-9.]+)"))
-    return docs(spark, sf_dir).select("doc_id", F.array_join(F.array_distinct(found), "|").alias("hints"))
-
-
-@query("""SELECT item_id, CAST(len(c) AS INT) AS clauses, trim(c[1]) AS first FROM (SELECT item_id, string_split_regex(lower(text), ' and how | including | as well as | and also |\\. ') AS c FROM benchmark)""")
-def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split(F.lower("text"), r" and how | including | as well as | and also |\. ")
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(parts).alias("clauses"), F.trim(parts[0]).alias("first"))
-
-
-@query("""SELECT item_id, array_to_string(list_transform(list_slice(list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda w: length(w) > 3), lambda w: {'n': -length(w), 'w': w})), 1, 4), lambda s: s.w), ',') AS nouns FROM benchmark""")
-def cluster_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four longest words."""
-    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))), lambda w: F.length(w) > 3)
-    ranked = F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(ranked, 1, 4)["w"], ",").alias("nouns"))
-
-
-ALIASES = (("greeting", "the|and"), ("place", "der|die"), ("time", "les|des"), ("thing", "los|las"))
-
-
-@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '\\b({r})\\b') THEN '{n}' END" for n, r in ALIASES) + "], lambda x: x IS NOT NULL), ',') AS concepts FROM documents")
-def alias_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.array_compact(F.array(*[F.when(F.lower("text").rlike(rf"\b({r})\b"), n) for n, r in ALIASES]))
-    return docs(spark, sf_dir).select("doc_id", F.array_join(found, ",").alias("concepts"))
-
-
 LANGS = "CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{e}' THEN '{n}'" for n, ends in P.LANGUAGES.items() for e in ends) + " END"
 
 
