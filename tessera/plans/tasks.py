@@ -1,4 +1,4 @@
-"""Queries of prompts: what they name, what they ask for, their plans and steps."""
+"""Queries of prompts: what they name, what they ask for, their plans, steps and seeds; of outside answers, types and passages."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ from tessera.functions import anchors as A
 from tessera.functions import tasks as T
 from tessera.functions.predicates import quoted
 from tessera.operators import memory as M
+from tessera.operators import outside as O
+from tessera.operators import seeds as S
 from tessera.plans.parse import expected_sql, filled, numbered
-from tessera.sources.tables import table
+from tessera.sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table
 from tessera.sources.workspace import PROMPTS_SQL, prompts
 
 #: Prompts, one for each part, with what they name, (entity, concepts, confidence), and their keywords.
@@ -150,3 +152,74 @@ def fold_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     population = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("run"), key.alias("place"), *M.random_folding(key + 42), (F.pmod(key * 37, F.lit(101)) / 100.0).alias("fitness"))
     last = M.next_generation(M.next_generation(population, 1), 2)
     return last.select("run", "place", "folds", F.round("docs", 6).alias("docs"), "depth", F.round("boost", 6).alias("boost"), "fitness")
+
+
+#: Answers of an outside search, with their hits: path, label, name.
+ANSWERS = (
+    ('{"groups": [{"file": "src\\\\{n}.rs", "prefix": "shop", "rows": [{"name": "sell", "label": "Function"}, ["buy", "Method"], {"qn": "a.b", "file": "c/{n}.ts"}, 7]}], "results": [{"name": "no"}]}', (("src/{n}.rs", "Function", "shop.sell"), ("src/{n}.rs", "Method", "shop.buy"), ("c/{n}.ts", "Symbol", "a.b"))),
+    ('{"results": [{"name": "{n}", "label": "Class", "file": "x/{n}.py"}, {"label": "none"}]}', (("x/{n}.py", "Class", "{n}"),)), ('{"groups": [{"path": "p.go", "rows": [["{n}"]]}]}', (("p.go", "Symbol", "{n}"),)),
+    ('{"cols": ["qn", "name", "file", "label"], "rows": [["", "{n}", "a\\\\b.rs", ""], ["q.{n}", "z", "c.rs", "Function"], ["r", "r", "d.rs", "Route"], ["s", "s", "", "Class"]]}', (("a/b.rs", "Symbol", "{n}"), ("c.rs", "Function", "q.{n}"))), ("not json", ()), ("{}", ()),
+)
+TREES = (("src/{n}.rs\n  sell Function 3\n\n  buy\nlib\\\\x/{n}.ts\n  Cart Class\n", (("src/{n}.rs", "Function", "sell"), ("lib//x/{n}.ts", "Class", "Cart"))), ("{n} Class", (("unknown", "Class", "{n}"),)), ("", ()), ("a/b.go\n x y z", (("a/b.go", "y", "x"),)))
+
+
+@query("SELECT path AS id, home AS path, label, name FROM (" + expected_sql([(k, *row) for k, *row in numbered(ANSWERS, 1)], "home", "label", "name").replace("file_id % 4 =", f"file_id % {len(ANSWERS)} =") + ")")
+def outside_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.hits(filled(spark, sf_dir, ANSWERS, "answer").withColumnRenamed("path", "id"))
+
+
+@query("SELECT path AS id, home AS path, label, name FROM (" + expected_sql(numbered(TREES, 1), "home", "label", "name") + ")")
+def outside_tree_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.tree_hits(filled(spark, sf_dir, TREES, "answer").withColumnRenamed("path", "id"))
+
+
+#: Files with the types they declare: name, kind, signature, exported.
+TYPED = (
+    ("src/{n}.ts", "export interface {n} { a: string }\ntype B = 1\n  enum C {}\nconst type = 2\nexport type B = 3", (("{n}", "interface", "export interface {n}", "yes"), ("B", "type", "export type B", "yes"), ("C", "enum", "enum C", "no"))),
+    ("src/{n}.rs", "pub struct {n};\nenum E { A }\nfn f() {}\npub trait T {}", (("{n}", "struct", "pub struct {n}", "yes"), ("E", "enum", "enum E", "no"), ("T", "trait", "pub trait T", "yes"))), ("{n}.go", "type X struct {}", ()),
+    ("a/{n}.py", "class {n}(Base, Other):\n    x = 1\nclass Plain:\n  class Inner:\nclass_x = 1", (("{n}", "class", "class {n}(Base, Other):", "yes"), ("Plain", "class", "class Plain:", "yes"), ("Inner", "class", "class Inner:", "yes"))),
+)
+
+
+@query(expected_sql([(k, TYPED[k][0], *row) for k, *row in numbered(TYPED, 2)], "home", "name", "kind", "signature", "exported").replace("CAST(file_id AS VARCHAR) AS path, ", "").replace(" AS home,", " AS path,"))
+def type_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.types(filled(spark, sf_dir, TYPED, "path", "content")).withColumn("exported", F.when(F.col("exported"), "yes").otherwise("no"))
+
+
+STEM_SQL = "regexp_extract(file_path, '([^/]*)\\.[^./]*$', 1)"
+
+
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, s AS (SELECT *, {STEM_SQL} AS base, CASE WHEN access_count > 1 THEN 'said' ELSE '' END AS doc, CASE WHEN token_cost % 2 = 0 THEN '(' || token_cost || ')' END AS signature FROM nodes WHERE node_type <> 'File'),
+c AS (SELECT target AS id, count(*) AS n FROM edges WHERE edge_type = 'Calls' GROUP BY 1),
+r AS (SELECT s.*, CASE node_type WHEN 'Function' THEN 10 WHEN 'Class' THEN 10 WHEN 'Api' THEN 9 WHEN 'Config' THEN 7 ELSE 4 END + CASE WHEN lower(name) = lower(base) THEN 8 WHEN contains(lower(base), lower(name)) OR contains(lower(name), lower(base)) THEN 4 ELSE 0 END
++ CASE WHEN doc <> '' THEN 2 ELSE 0 END + CASE WHEN signature IS NOT NULL THEN 1.5 ELSE 0 END + least(coalesce(n, 0), 8) * 0.5 AS score FROM s LEFT JOIN c USING (id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, id) AS place, CASE node_type WHEN 'Function' THEN 'fn ' WHEN 'Class' THEN 'class ' WHEN 'Api' THEN 'api ' WHEN 'Config' THEN 'config ' ELSE 'sym ' END || name || coalesce(' ' || signature, '') AS line FROM r),
+f AS (SELECT DISTINCT file_path, {STEM_SQL} AS base FROM nodes)
+SELECT file_path, file_path || ' [' || base || ']' AS title, base || chr(10) || 'Holds ' || base || '.' || coalesce((SELECT string_agg(chr(10) || line, '' ORDER BY place) FROM k WHERE k.file_path = f.file_path AND place <= 16), '') AS body FROM f""")
+def file_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = nodes(spark, sf_dir)
+    base = F.regexp_extract("file_path", r"([^/]*)\.[^./]*$", 1)
+    symbols = held.filter("node_type <> 'File'").withColumn("doc", F.when(F.col("access_count") > 1, "said").otherwise("")).withColumn("signature", F.when(F.col("token_cost") % 2 == 0, F.concat(F.lit("("), F.col("token_cost").cast("string"), F.lit(")"))))
+    told = held.select("file_path", F.concat(F.lit("Holds "), base, F.lit(".")).alias("doc")).distinct()
+    return O.passages(told, symbols, edges(spark, sf_dir).filter("edge_type = 'Calls'"))
+
+
+KEYED = "c_custkey AS k FROM customer"
+
+
+@query(f"""WITH n AS (SELECT 'order:' || o_orderkey AS id, 'order_' || o_orderkey AS name FROM orders), t AS (SELECT {KEYED}),
+a AS (SELECT k, 'order_' || k AS query, 1.0 AS energy, 'identifier' AS reason, 0 AS place, 0 AS step FROM t WHERE k % 4 = 0 UNION ALL SELECT k, 'order_' || (k + 1), 1.0, 'identifier', 1, 0 FROM t WHERE k % 4 = 0
+UNION ALL SELECT k, 'order_' || (k + 2), 0.8, 'client_keyword', 2, 0 FROM t WHERE k % 4 IN (0, 1) UNION ALL SELECT k, 'order_' || (k + 3), 0.8 / 1.08, 'client_keyword', 3, 0 FROM t WHERE k % 4 IN (0, 1) UNION ALL SELECT k, 'order_' || (k + 4), 0.5, 'client_expansion', 4, 0 FROM t WHERE k % 4 IN (0, 1)
+UNION ALL SELECT k, 'nation', 0.5, 'never', 0, 9 FROM t WHERE FALSE),
+f AS (SELECT k, id, energy, reason || ':' || query AS reason, place FROM a JOIN n ON lower(query) = lower(name)), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY energy DESC, place) AS rank FROM f)
+SELECT k AS task, CAST(rank AS INT) AS rank, id, round(energy, 6)::DOUBLE AS energy, reason FROM r WHERE rank <= 5
+UNION ALL SELECT k, 1, 'order:' || o_orderkey, 0.5, 'fallback:ORDER_' || o_orderkey FROM t JOIN orders ON o_orderkey = k + 7 WHERE k % 4 = 3""")
+def seed_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers ask for orders: by name, by their client's words, for nothing, and in capitals, that only the last step reads."""
+    k = F.col("c_custkey")
+    order = lambda d, word="order_": F.concat(F.lit(word), (k + d).cast("string"))
+    kind = F.pmod(k, F.lit(4))
+    prompt = F.when(kind == 0, F.concat(F.lit("Fix "), order(0), F.lit(" and "), order(1))).when(kind == 1, "explain why it is late").when(kind == 2, "explain why they are late").otherwise(F.concat(F.lit("is it 1, 2, 3, 4, 5 or 6, or "), order(7, "ORDER_")))
+    client, none = kind < 2, F.array().cast("array<string>")
+    tasks = table(spark, sf_dir, "customer").select(k.alias("task"), prompt.alias("prompt"), F.when(client, F.array(order(2), order(3))).otherwise(none).alias("keywords"), F.when(client, F.array(order(4))).otherwise(none).alias("expansion"), none.alias("path_hints"), none.alias("entity_types"))
+    return S.seeds(T.signature(T.named(tasks)), nodes(spark, sf_dir).filter("node_type = 'Function'"), "hybrid")
