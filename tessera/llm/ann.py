@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample; every row is then indexed under its leaf. A query walks
+The tree is fitted on a bounded sample; a leaf that holds many rows is parted again by a tree of its own, fitted on
+a bounded sample of the leaf. Every row is then indexed under its leaf. A query walks
 the tree with a priority queue ordered by its inner product with the centroids and visits
 leaves in that order. How many it visits is calibrated: for sample queries the true neighbours
 are found by brute force over all rows, and visits widen until their mean recall reaches the
@@ -20,11 +21,13 @@ ignored.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ from tessera.llm.common import pick, written
 SAMPLE, PROBES = 20_000, 200
 #: Rows a leaf is to hold; children of a node; sample vectors a leaf needs.
 LEAF_ROWS, BRANCH, LEAF_SAMPLE = 256, 16, 8
+#: Rows from which a leaf is parted again, and vectors its own tree is fitted on at most: LEAF_SAMPLE of them a leaf again.
+SPLIT_ROWS, SPLIT_SAMPLE = 1024, 512
 #: Rows and queries that meet in one task.
 ROW_CHUNK, QUERY_CHUNK = 8192, 4096
 
@@ -66,8 +71,23 @@ class Tree:
                 children.append(np.zeros(0, dtype=np.int64))
                 waiting.append((own[-1], rows[members]))
             children[node] = np.array(own)
+        return cls.numbered(np.array(centroids), children)
+
+    @classmethod
+    def numbered(cls, centroids: np.ndarray, children: list[np.ndarray]) -> Tree:
         leaves = [i for i, c in enumerate(children) if not len(c)]
-        return cls(np.array(centroids), children, {n: i for i, n in enumerate(leaves)})
+        return cls(centroids, children, {n: i for i, n in enumerate(leaves)})
+
+    def grafted(self, own: dict[int, Tree]) -> Tree:
+        """With trees in place of leaves; leaves are numbered anew."""
+        centroids, children = [self.centroids], list(self.children)
+        node_of = {n: node for node, n in self.leaf.items()}
+        for leaf, sub in sorted(own.items()):
+            shift = len(children) - 1  # a tree's root is the leaf it takes the place of
+            children[node_of[leaf]] = sub.children[0] + shift
+            children += [c + shift for c in sub.children[1:]]
+            centroids.append(sub.centroids[1:])
+        return self.numbered(np.concatenate(centroids), children)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row: at each node the nearest child."""
@@ -86,18 +106,26 @@ class Tree:
                     waiting.append((int(child), part))
         return out
 
-    def visits(self, q: np.ndarray, most: int, sizes: list[int] | None = None, need: int = 0) -> list[int]:
-        """The first leaves, best bin first; more of them until they hold as many rows as needed."""
-        queue, out, held = [(0.0, 0)], [], 0
-        while queue and (len(out) < most or held < need):
+    def walk(self, q: np.ndarray) -> Iterator[int]:
+        """All leaves, best bin first."""
+        queue = [(0.0, 0)]
+        while queue:
             _, node = heapq.heappop(queue)
             own = self.children[node]
             if not len(own):
-                out.append(self.leaf[node])
-                held += sizes[out[-1]] if sizes else need
+                yield self.leaf[node]
                 continue
             for value, child in zip((self.centroids[own] @ q).tolist(), own.tolist(), strict=True):
                 heapq.heappush(queue, (-value, child))
+
+    def visits(self, q: np.ndarray, most: int, sizes: list[int], need: int) -> list[int]:
+        """The first leaves; more of them until they hold as many rows as needed."""
+        out, held = [], 0
+        for leaf in self.walk(q):
+            if len(out) >= most and held >= need:
+                break
+            out.append(leaf)
+            held += sizes[leaf]
         return out
 
 
@@ -172,23 +200,17 @@ def search(df: DataFrame, k: int = 20, recall: float = 0.95, every: int = 20, id
     entries = written(entries, "ann-entries")
     sample = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(SAMPLE).select("v").toArrow()
     x = matrix(sample.column(0), dim)
-    tree = Tree.fit(x, max(LEAF_SAMPLE, round(LEAF_ROWS * len(x) / max(1, total))))
-    shared = spark.sparkContext.broadcast(tree)  # bounded by the sample: SAMPLE / LEAF_SAMPLE leaves at most
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaf = shared.value.assign(matrix(batch.column(1), dim)) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), batch.column(0), batch.column(1)], ["leaf", "ids", "v"])
-
-    index = written(entries.mapInArrow(place, f"leaf int, ids array<long>, v array<{element}>"), "ann-index")
+    tree = deepened(entries, Tree.fit(x, max(LEAF_SAMPLE, round(LEAF_ROWS * len(x) / max(1, total)))), dim, element)
+    # bounded by the samples: SAMPLE / LEAF_SAMPLE leaves, each parted into SPLIT_SAMPLE / LEAF_SAMPLE at most
+    shared = spark.sparkContext.broadcast(tree)
+    index = written(placed(entries, shared, dim, element), "ann-index")
     asked = sound.filter(F.col("vec_id") % every == 0).distinct()
     probes = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).toArrow()
     if not probes.num_rows:
         return spark.createDataFrame([], kind)
     most = calibrate(index, matrix(probes.column("v"), dim), probes.column("vec_id").to_numpy(), tree, dim, k, recall)
 
-    # leaves side by side share a bin of about ROW_CHUNK rows; a larger leaf is several bins. A row a leaf, at most
-    # SAMPLE / LEAF_SAMPLE of them
+    # leaves side by side share a bin of about ROW_CHUNK rows; a larger leaf is several bins. A row a leaf
     first, bins, sizes, at, held = [0] * len(tree.leaf), [1] * len(tree.leaf), [0] * len(tree.leaf), 0, 0
     for leaf, n in sorted((r["leaf"], r["count"]) for r in index.groupBy("leaf").count().collect()):
         if held and held + n > ROW_CHUNK:
@@ -236,6 +258,40 @@ def search(df: DataFrame, k: int = 20, recall: float = 0.95, every: int = 20, id
     return found.withColumn("rank", place_of).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def placed(entries: DataFrame, shared: Broadcast, dim: int, element: str) -> DataFrame:
+    """(leaf, ids, v): each entry with its leaf in a tree that was broadcast."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = shared.value.assign(matrix(batch.column(1), dim)) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), batch.column(0), batch.column(1)], ["leaf", "ids", "v"])
+
+    return entries.mapInArrow(place, f"leaf int, ids array<long>, v array<{element}>")
+
+
+def deepened(entries: DataFrame, tree: Tree, dim: int, element: str) -> Tree:
+    """The tree with each leaf of more than SPLIT_ROWS rows parted by a tree of its own. Leaves are fitted by executors, on
+    SPLIT_SAMPLE vectors at most, which are picked before they are shuffled; the driver holds their centroids alone."""
+    spark = entries.sparkSession
+    first = placed(entries, spark.sparkContext.broadcast(tree), dim, element)
+    large = [(r["leaf"], r["count"]) for r in first.groupBy("leaf").count().filter(F.col("count") > SPLIT_ROWS).collect()]
+    if not large:
+        return tree
+    order = W.partitionBy("leaf").orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0])
+    picked = first.join(F.broadcast(spark.createDataFrame(large, "leaf int, n long")), "leaf").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SPLIT_SAMPLE)
+
+    leaf_rows, leaf_sample = LEAF_ROWS, LEAF_SAMPLE
+
+    def fit(rows: pa.Table) -> pa.Table:
+        leaf, n, x = rows.column("leaf")[0].as_py(), rows.column("n")[0].as_py(), matrix(rows.column("v"), dim)
+        x = x[np.argsort(rows.column("place").to_numpy())]
+        own = Tree.fit(x, max(leaf_sample, round(leaf_rows * len(x) / n)), seed=leaf)
+        return pa.table({"leaf": pa.array([leaf], pa.int32()), "tree": pa.array([pickle.dumps(own)], pa.binary())})
+
+    fitted = picked.select("leaf", "n", "place", "v").groupBy("leaf").applyInArrow(fit, "leaf int, tree binary").collect()
+    return tree.grafted({r.leaf: pickle.loads(r.tree) for r in fitted})
+
+
 def calibrate(index: DataFrame, probes: np.ndarray, own: np.ndarray, tree: Tree, dim: int, k: int, recall: float) -> int:
     """Leaves to visit such that the probes' mean recall against brute force over all rows reaches the target."""
 
@@ -255,8 +311,17 @@ def calibrate(index: DataFrame, probes: np.ndarray, own: np.ndarray, tree: Tree,
     place_of = F.row_number().over(W.partitionBy("probe").orderBy("s", "vec_id"))
     truth = rough.withColumn("n", place_of).filter(F.col("n") <= k).select("probe", "leaf").collect()  # PROBES x k rows
     leaves = len(tree.leaf)
-    ranks = [{n: r for r, n in enumerate(tree.visits(q, leaves))} for q in probes]
-    need = np.array([ranks[r.probe][r.leaf] + 1 for r in truth])
+    wanted: list[set[int]] = [set() for _ in probes]
+    for r in truth:
+        wanted[r.probe].add(r.leaf)
+    ranks: list[dict[int, int]] = [{} for _ in probes]
+    for q, leaves_of, rank in zip(probes, wanted, ranks, strict=True):
+        for i, leaf in enumerate(tree.walk(q), 1):
+            if len(rank) == len(leaves_of):
+                break
+            if leaf in leaves_of:
+                rank[leaf] = i
+    need = np.array([ranks[r.probe][r.leaf] for r in truth])
     if not len(need):
         return leaves
     widths = np.sort(need)

@@ -422,6 +422,31 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_ann_parts_large_leaves(spark, monkeypatch):
+    """A table far larger than the sample: leaves are parted by trees of their own, and answers stay near brute force."""
+    for name, value in (("SAMPLE", 160), ("LEAF_ROWS", 16), ("SPLIT_ROWS", 40), ("SPLIT_SAMPLE", 64), ("ROW_CHUNK", 256)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(60, 12))
+    x = centers[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 12)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    entries = df.selectExpr("array(vec_id) AS ids", "embedding AS v")
+    base = ann.Tree.fit(x[:160], ann.LEAF_SAMPLE)
+    tree = ann.deepened(entries, base, 12, "double")
+    sizes = np.bincount(tree.assign(x), minlength=len(tree.leaf))
+    assert len(tree.leaf) > 4 * len(base.leaf) and sizes.sum() == 4000 and sizes.max() < np.bincount(base.assign(x)).max()
+    assert sorted(tree.walk(x[0])) == list(range(len(tree.leaf)))  # every leaf, once
+    inside = tree.centroids[[n for n, c in enumerate(tree.children) if not len(c)]]
+    near = np.linalg.norm(x - inside[tree.assign(x)], axis=1).mean()
+    assert near < np.linalg.norm(x - base.centroids[[n for n, c in enumerate(base.children) if not len(c)]][base.assign(x)], axis=1).mean()
+    hits, total = 0, 0
+    for r in ann.search(df).groupBy("query_id").agg({"vec_id": "collect_set"}).collect():
+        score = x @ x[r[0]]
+        true = [v for v in np.lexsort((np.arange(4000), -score)) if v != r[0]][:20]
+        hits, total = hits + len(set(true) & set(r[1])), total + 20
+    assert total == 4000 and hits >= 0.9 * total
+
+
 def test_ann_in_double_precision(spark):
     """Scores are products of the original vectors, also where single precision would round them."""
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1 + 1e-9, 2.0]), (3, [1 - 1e-9, 2.0]), (None, [5.0, 5.0])]
