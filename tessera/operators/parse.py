@@ -65,3 +65,40 @@ def skeleton(text: str, marker: str = "...", keep: tuple[str, ...] = ()) -> tupl
             folds += 1
             i = end
     return "\n".join(out), folds
+
+
+# Bounds of a window, what opens a function, what ends one, and the marks of what is left out.
+WINDOW_LINES, WINDOW_BYTES = 48, 6000
+OPENS = r"^(pub(\((crate|super)\))? fn|(pub )?async fn|fn) "
+BORDER = r"^((pub )?(async )?fn|impl|pub (struct|enum)) "
+GAP, CUT = "/* … */\n", "/* … truncated seed window */\n"
+
+
+def windows(sources: DataFrame) -> DataFrame:
+    """sources (path, content, symbols): (path, body), the functions that the symbols name, each with the line before it, up to the next
+    declaration at the margin or so many lines; a mark for each gap after the first line, and at the end of too many bytes.
+    Files and symbols that meet nothing, and nulls, have an empty body."""
+    text = F.regexp_replace(F.coalesce("content", F.lit("")), "\n$", "")
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
+    held = sources.select("path", lines.alias("lines"), F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))
+    at = lambda told: F.filter(F.transform("lines", told), lambda i: i.isNotNull())
+    names = lambda t: F.exists("symbols", lambda s: F.contains(t, F.concat(F.lit("fn "), s)) | F.endswith(t, s) | F.contains(t, F.concat(F.lit("."), s)))
+    marked = held.withColumns({"opens": at(lambda x, i: F.when(F.trim(x).rlike(OPENS) & names(F.trim(x)), i)), "borders": at(lambda x, i: F.when(x.rlike(BORDER), i))})
+
+    def window(i: Column) -> Column:
+        start = F.greatest(i - 1, F.lit(0))
+        end = F.least(start + WINDOW_LINES, F.coalesce(F.array_min(F.filter("borders", lambda b: b > i)), F.size("lines")), F.size("lines"))
+        return F.struct(start.alias("start"), end.alias("end"))
+
+    kept = F.transform("lines", lambda x, i: F.struct(x.alias("line"), F.exists("ranges", lambda r: (r["start"] <= i) & (i < r["end"])).alias("keep")))
+
+    def add(state: Column, x: Column) -> Column:
+        out, full = state["out"], F.octet_length(state["out"]) + F.octet_length(x["line"]) + 1 > WINDOW_BYTES
+        gap = ~x["keep"] & ~state["gap"] & (out != "")
+        more = F.when(x["keep"], F.when(full, F.lit(CUT)).otherwise(F.concat(x["line"], F.lit("\n")))).when(gap, F.lit(GAP)).otherwise("")
+        after = F.struct(F.concat(out, more).alias("out"), F.when(x["keep"], False).otherwise(state["gap"] | gap).alias("gap"), (x["keep"] & full).alias("done"))
+        return F.when(state["done"], state).otherwise(after)
+
+    ranged = marked.withColumn("ranges", F.transform("opens", window)).withColumn("kept", kept)
+    none = F.struct(F.lit("").alias("out"), F.lit(False).alias("gap"), F.lit(False).alias("done"))
+    return ranged.select("path", F.aggregate("kept", none, add)["out"].alias("body"))

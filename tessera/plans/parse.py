@@ -141,6 +141,23 @@ def skeleton_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.skeletons(filled(spark, sf_dir, BODIES, "content"))
 
 
+LONG = "".join(f"    step({i});\n" for i in range(60))
+WIDE = "".join("    x = " + "y" * 990 + ";\n" for _ in range(8))
+WINDOWED = (
+    ("use a;\n// Sells.\npub fn {n}(x: u32) {\n    go();\n}\nfn other() {}\nimpl A {\n    fn {n}_more(&self) {}\n}\n", (("// Sells.\npub fn {n}(x: u32) {\n    go();\n}\n/* … */\nimpl A {\n    fn {n}_more(&self) {}\n}\n",),)),
+    ("fn {n}() {\n" + LONG + "}\n", (("fn {n}() {\n" + "".join(f"    step({i});\n" for i in range(47)) + "/* … */\n",),)), ("fn a() {}\nlet {n} = 1;\n", (("",),)), ("", (("",),)),
+    ("pub(crate) fn {n}() {\n" + WIDE + "}\n", (("pub(crate) fn {n}() {\n" + "    x = " + ("y" * 990 + ";\n    x = ") * 4 + "y" * 990 + ";\n/* … truncated seed window */\n",),)),
+)
+
+
+@query(expected_sql(numbered(WINDOWED, 1), "body"))
+def body_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions that a file's seeds name."""
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))
+    named = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.array(name).alias("symbols"))
+    return P.windows(filled(spark, sf_dir, WINDOWED, "content").join(named, "path"))
+
+
 PAGE_FILES = (
     ("next", "web/app/{n}/[id]/page.tsx", (("/{n}/:id",),)), ("next", "app/(site)/{n}/page.tsx", (("/{n}",),)), ("next", "app/page.tsx", (("/",),)), ("next", "lib/{n}.ts", ((None,),)), ("nuxt", "pages/{n}/[name].vue", (("/{n}/:name",),)),
     ("nuxt", "pages/index.vue", (("/",),)), ("sveltekit", "src/routes/{n}/[slug]/+page.svelte", (("/{n}/:slug",),)), ("astro", "src/pages/{n}/index.astro", (("/{n}",),)), ("remix", "app/routes/{n}.$id.tsx", (("/{n}/:id",),)),
