@@ -142,7 +142,7 @@ def foreign_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).filter(project != F.substring(F.sha2(F.lit("en"), 256), 1, 16)).groupBy("source").agg(F.count(F.lit(1)).alias("n_foreign"))
 
 
-@query()
+@query(f"""SELECT page_id, lpad(lower(hex(list_reduce(list_concat([5381::BIGINT], list_transform(regexp_extract_all(hex(encode({PATH})), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda a, b: (a * 33 + b) & 4294967295) & 1048575)), 5, '0') AS fold_id FROM pages""")
 def fold_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold's short id: 20 bits of a hash of its path and lines."""
     return table(spark, sf_dir, "pages").select("page_id", T.djb2_20(T.url_path("url")).alias("fold_id"))
