@@ -5,9 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import tasks as T2
 from tessera.functions import text as T
 from tessera.operators import graph as G
 from tessera.operators import learning as L
+from tessera.operators import outside as X
 from tessera.operators import overlays as O
 from tessera.operators import parse as P
 from tessera.operators import source as S
@@ -189,3 +191,22 @@ def test_upsert_keeps_the_newest(spark, tmp_path):
     for batch in ([(1, 1, "a"), (2, 1, "b")], [(1, 2, "c"), (1, 3, "d")]):
         state.upsert(spark.createDataFrame(batch, "k int, at int, v string"), str(tmp_path / "t"), "k", "at")
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, 3, "d"), (2, 1, "b")]
+
+
+def test_prompts_without_text(spark):
+    """Nulls and empty prompts name nothing and ask for nothing in particular."""
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "Fix parse_url in a/b.rs")], "task long, prompt string")
+    got = {r.task: r for r in T2.signature(T2.named(df.withColumn("prompt", F.coalesce("prompt", F.lit(""))))).collect()}
+    assert [got[i].names for i in (1, 2)] == [[], []] and got[1].intent == "query" and got[2].entity == "Workspace" and got[1].confidence == 0.62
+    assert got[3].entity == "b.rs" and got[3].files == ["a/b.rs", "b.rs"] and got[3].names == ["b.rs", "parse_url"]
+    low = T2.aliases("prompt", {"auth": ("token",), "errors": ("error",)}, {"auth": ("verifyJwt",)}, F.lit(True))
+    told = spark.createDataFrame([("token tokens",), ("tokens my_token token_x",), ("access-token",), ("error token",)], "prompt string").select(low[0], low[1]).collect()
+    assert [tuple(r) for r in told] == [(["auth"], ["verifyJwt"]), ([], []), (["auth"], ["verifyJwt"]), (["auth"], ["verifyJwt"])]
+
+
+def test_outside_answers_without_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, '{"rows": [["a"]]}'), (4, "[1, 2]")], "id long, answer string")
+    assert X.hits(df).count() == 0 and X.tree_hits(df.filter("id < 3")).count() == 0
+    assert X.types(spark.createDataFrame([("a.ts", None), (None, "type X"), ("b.rs", "")], "path string, content string")).count() == 0
+    held = spark.createDataFrame([("a", None, ["f"]), ("b", "fn f() {}", None), ("c", "fn f() {}", [])], "path string, content string, symbols array<string>")
+    assert {r.body for r in P.windows(held).collect()} == {""}
