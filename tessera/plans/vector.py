@@ -64,16 +64,14 @@ def vector_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     near = asked(spark, sf_dir, 20).join(F.broadcast(V.centroids(v).select("dir", "c"))).select("q", "x", "dir", F.round(V.dot("x", "c"), 9).alias("s"))
     chosen = near.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "dir"))).filter("r <= 2").select("q", "x", "dir")
-    scored = V.against(v, chosen, "dir").select("q", "node_id", F.round(V.dot("x", "v"), 6).alias("score"))
-    return scored.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "node_id"))).filter("place <= 8").select("q", "place", "node_id", "score")
+    return V.top_k(v, chosen, 8, on="dir")
 
 
 @query(f"WITH scored AS (SELECT a.vec_id AS q, b.vec_id AS node_id, round({DOT} * CASE WHEN b.label = 0 THEN 0.55 WHEN b.label = 1 THEN 1.12 ELSE 1.0 END * CASE WHEN b.vec_id % 7 = 0 THEN 1.15 ELSE 1.0 END, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) " + TOP_SQL.format(4).replace("FROM scored", "FROM scored WHERE score >= 0.1"))
 def file_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noise loses, libraries and files of the same stem gain; the threshold holds after that."""
     factor = F.when(F.col("dir") == 0, 0.55).when(F.col("dir") == 1, 1.12).otherwise(1.0) * F.when(F.col("node_id") % 7 == 0, 1.15).otherwise(1.0)
-    scored = V.against(vectors(spark, sf_dir), asked(spark, sf_dir, 20).select("q", "x")).select("q", "node_id", F.round(V.dot("x", "v") * factor, 6).alias("score")).filter("score >= 0.1")
-    return scored.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "node_id"))).filter("place <= 4").select("q", "place", "node_id", "score")
+    return V.top_k(vectors(spark, sf_dir).withColumn("factor", factor), asked(spark, sf_dir, 20).select("q", "x"), 4, 0.1)
 
 
 @query("WITH s AS (SELECT vec_id AS node_id, CAST(embedding[1:16] AS DOUBLE[]) AS v FROM embeddings) SELECT node_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(list_sum(v) / sqrt(list_inner_product(v, v)), 6) AS total FROM s")
@@ -91,30 +89,22 @@ def quantize_i8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS v, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) AS scale FROM embeddings), z AS (SELECT node_id, v, scale, list_transform(v, lambda x: round(x / scale * 127)) AS z FROM s),
 scored AS (SELECT a.node_id AS q, b.node_id, round(list_inner_product(a.v, b.z) * b.scale / 127, 6) AS score FROM z a, z b WHERE a.node_id % 20 = 0) """ + TOP_SQL.format(8))
 def quantized_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = vectors(spark, sf_dir).select("node_id", V.quantized("v").alias("z"))
-    scored = V.against(held, asked(spark, sf_dir, 20).select("q", "x")).select("q", "node_id", F.round(V.dot("x", "z.q") * F.col("z.scale") / 127, 6).alias("score"))
-    return scored.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "node_id"))).filter("place <= 8").select("q", "place", "node_id", "score")
+    held = vectors(spark, sf_dir).select("node_id", V.quantized("v").alias("z")).select("node_id", F.col("z.q").alias("v"), (F.col("z.scale") / 127).alias("factor"))
+    return V.top_k(held, asked(spark, sf_dir, 20).select("q", "x"), 8)
 
 
 CORR_SQL = "p AS (SELECT a.vec_id AS q, b.vec_id AS node_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS x, list_inner_product(CAST(a.embedding[1:32] AS DOUBLE[]), CAST(b.embedding[1:32] AS DOUBLE[])) AS y FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)"
 
 
-def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = vectors(spark, sf_dir).filter("node_id % 20 = 0").select(F.col("node_id").alias("q"), F.col("v").alias("u"))
-    return V.against(vectors(spark, sf_dir), some).select("q", "node_id", V.dot("u", "v").alias("x"), V.dot(F.slice("u", 1, 32), F.slice("v", 1, 32)).alias("y"))
-
-
 @query(f"WITH {CORR_SQL} SELECT q, round(corr(x, y), 6) AS pearson FROM p GROUP BY q")
 def pearson_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_pairs(spark, sf_dir).groupBy("q").agg(F.round(F.corr("x", "y"), 6).alias("pearson"))
+    return V.pearson(vectors(spark, sf_dir), asked(spark, sf_dir, 20), 32)
 
 
 @query(f"WITH {CORR_SQL}, r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY round(x, 9), node_id) AS rx, row_number() OVER (PARTITION BY q ORDER BY round(y, 9), node_id) AS ry FROM p) SELECT q, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY q")
 def spearman_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks are ordinal: ties go by id and aren't averaged."""
-    place = lambda c: F.row_number().over(W.partitionBy("q").orderBy(F.round(c, 9), "node_id"))
-    ranked = score_pairs(spark, sf_dir).select("q", place("x").alias("rx"), place("y").alias("ry"))
-    return ranked.groupBy("q").agg(F.round(F.corr("rx", "ry"), 6).alias("spearman"))
+    return V.spearman(vectors(spark, sf_dir), asked(spark, sf_dir, 20), 32)
 
 
 @query()

@@ -1,6 +1,7 @@
 """Operators that SQL can't restate, sources, sinks and streams."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,63 @@ def test_outside_answers_without_rows(spark):
     assert X.types(spark.createDataFrame([("a.ts", None), (None, "type X"), ("b.rs", "")], "path string, content string")).count() == 0
     held = spark.createDataFrame([("a", None, ["f"]), ("b", "fn f() {}", None), ("c", "fn f() {}", [])], "path string, content string, symbols array<string>")
     assert {r.body for r in P.windows(held).collect()} == {""}
+
+
+def test_nearest_is_exact_on_odd_vectors(spark, monkeypatch):
+    """Copies, ties by id, nulls, no numbers, a threshold, factors, keys and a query's own row, over several tasks and chunks."""
+    import random
+
+    r = random.Random(3)
+    held = [(i, [r.gauss(0, 1) for _ in range(8)], i % 3, 1.0 + i % 2) for i in range(700)] + [(i, [0.5] * 8, i % 3, 1.0) for i in range(700, 5000)]
+    rows = spark.createDataFrame([*held, (5000, None, 0, 1.0), (5001, [0.0] * 8, 1, 1.0)], "node_id long, v array<double>, dir int, factor double")
+    queries = spark.createDataFrame([(700, [0.5] * 8, 0), (3, held[3][1], 1), (4, [-x for x in held[4][1]], 2), (9, None, 1)], "q long, x array<double>, dir int")
+
+    def plain(q, x, k, least=None, key=None, factor=False, apart=False):
+        scored = [(round(sum(a * b for a, b in zip(x, v)) * (f if factor else 1), 6), i) for i, v, d, f in [*held, (5001, [0.0] * 8, 1, 1.0)] if (key is None or d == key) and not (apart and i == q)]
+        return [(i, s) for s, i in sorted(scored, key=lambda t: (-t[0], t[1])) if least is None or s >= least][:k]
+
+    def told(df):
+        out = {}
+        for t in df.orderBy("q", "place").collect():
+            out.setdefault(t.q, []).append((t.node_id, pytest.approx(t.score)))
+        return out
+
+    bare, asked = rows.drop("dir", "factor"), [(t.q, t.x, t.dir) for t in queries.collect() if t.x]
+    assert {q: s for q, s in told(V.nearest(bare, queries.drop("dir"), 6)).items() if q != 9} == {q: plain(q, x, 6) for q, x, _ in asked}
+    assert told(V.nearest(bare, queries.drop("dir"), 6, least=0.5, apart=True)) == {q: p for q, x, _ in asked if (p := plain(q, x, 6, 0.5, apart=True))}
+    assert {q: s for q, s in told(V.top_k(rows, queries, 4, on="dir")).items() if q != 9} == {q: plain(q, x, 4, key=d, factor=True) for q, x, d in asked}
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 0.0]), (4, [float("inf"), 1.0])], "node_id long, v array<double>")
+    last = V.nearest(few, spark.createDataFrame([(1, [1.0, 1.0])], "q long, x array<double>"), 9).orderBy("place").collect()
+    assert [t.node_id for t in last] == [3, 4, 1, 2] and math.isnan(last[0].score) and [t.score for t in last[1:]] == [math.inf, 1.0, None]
+
+
+def test_correlations_of_products(spark, monkeypatch):
+    """Moments and ranks against all pairs; equal rows have no correlation; ties of ranks go by id; blocks of queries lose none."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    held = [(i, [r.gauss(0, 1) for _ in range(6)] if i % 4 else [0.25] * 6) for i in range(300)]
+    rows = spark.createDataFrame(held, "node_id long, v array<float>")
+    queries = rows.filter("node_id % 20 = 0 OR node_id % 20 = 1").selectExpr("node_id AS q", "v AS x")
+    m = np.array([v for _, v in rows.orderBy("node_id").collect()], dtype=float)
+    x, y = m @ m.T, m[:, :3] @ m[:, :3].T
+    place = lambda s: np.argsort(np.argsort(np.round(s, 9), kind="stable"), kind="stable")
+    assert {t.q: t.pearson for t in V.pearson(rows, queries, 3).collect()} == pytest.approx({q: np.corrcoef(x[q], y[q])[0, 1] for q in range(300) if q % 20 < 2}, abs=2e-6)
+    whole = V.blocks
+    monkeypatch.setattr(V, "blocks", lambda q: whole(q, 7))
+    assert {t.q: t.spearman for t in V.spearman(rows, queries, 3).collect()} == pytest.approx({q: np.corrcoef(place(x[q]), place(y[q]))[0, 1] for q in range(300) if q % 20 < 2}, abs=2e-6)
+    same = spark.createDataFrame([(i, [0.1, 0.2]) for i in range(9)], "node_id long, v array<float>")
+    assert {t.pearson for t in V.pearson(same, same.selectExpr("node_id AS q", "v AS x"), 1).collect()} == {None}
+    big = np.array([1e30, 2.0, 2.0, -5.0])
+    assert list(V.places(big, np.array([False, False, True, False]), np.arange(4))) == [3, 1, 0, 2]
+
+
+def test_plans_of_searches_make_no_pairs(spark, tmp_path):
+    """All rows with all queries as joined rows took hours at size: no plan joins them."""
+    from tessera.plans import metrics, vector
+
+    spark.createDataFrame([(i, [float(i % 7), 1.0], i % 3) for i in range(200)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for f in (vector.vector_topk, vector.quantized_topk, vector.file_rerank, vector.pearson_scores, vector.spearman_ordinal, metrics.mrr):
+        assert "NestedLoop" not in f(spark, str(tmp_path))._jdf.queryExecution().toString() and "Cartesian" not in f(spark, str(tmp_path))._jdf.queryExecution().toString()
