@@ -137,3 +137,15 @@ def nearest_manifest(files: DataFrame, manifests: DataFrame) -> DataFrame:
 def hinted(candidates: DataFrame) -> DataFrame:
     """candidates (ref, hint, path): those whose path matches the hint."""
     return candidates.filter(hint_match("path", "hint"))
+
+
+def resolve_export(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """refs (ref, name, hint), symbols (name, id, file_path): (ref, id, confidence) among symbols of the name whose path holds the hint.
+
+    The files of a name meet its hints, each once, with their counts; references and symbols of a frequent name never make pairs.
+    """
+    held = symbols.groupBy("name", "file_path").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    found = refs.select("name", "hint").distinct().join(held, "name").filter(F.contains("file_path", F.col("hint")))
+    told = found.groupBy("name", "hint").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
+    each = refs.groupBy("ref", "name", "hint").agg(F.count(F.lit(1)).alias("times")).join(told, ["name", "hint"])
+    return each.groupBy("ref").agg(F.min("id").alias("id"), F.when(F.sum(F.col("n") * F.col("times")) == 1, "proven").otherwise("likely").alias("confidence"))

@@ -140,8 +140,7 @@ def resolve_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exported name with a path hint: one match is proven, of more the first is likely."""
     symbols = nodes(spark, sf_dir).filter("node_type = 'Symbol'").select("name", "id", "file_path")
     refs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.concat(F.lit("m"), (F.col("p_size") % 10).cast("string")).alias("hint"))
-    found = refs.join(symbols, "name").filter(F.contains("file_path", F.col("hint")))
-    return found.groupBy("ref").agg(F.min("id").alias("id"), F.when(F.count(F.lit(1)) == 1, "proven").otherwise("likely").alias("confidence"))
+    return S.resolve_export(refs, symbols)
 
 
 @query(f"""WITH folds AS (SELECT sha256(url) AS id, split_part({PATH}, '/', 2) AS symbol, page_id FROM pages), asked AS (SELECT DISTINCT lower(split_part({PATH}, '/', 2)) AS q FROM pages UNION SELECT substr(sha256(url), 1, 6) FROM pages),
