@@ -9,7 +9,7 @@ from tessera.catalogue import query
 from tessera.operators import overlays as O
 from tessera.operators import parse as P
 from tessera.operators import source as S
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 
 def rows_sql(kind: str) -> str:
@@ -52,7 +52,7 @@ def filled(spark: SparkSession, sf_dir: str, samples: tuple[tuple, ...], *column
     """A text for each part, from the samples in turn: the named columns with the part's name and number for {n}."""
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))
     at = (F.pmod("p_partkey", F.lit(len(samples))) + 1).cast("int")
-    held = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), name.alias("n"), at.alias("at"))
+    held = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), name.alias("n"), at.alias("at")), "file_id")
     told = [F.replace(F.element_at(F.array(*[F.lit(s[i]) for s in samples]), F.col("at")), F.lit("{n}"), F.col("n")).alias(c) for i, c in enumerate(columns)]
     return held.select(F.col("file_id").cast("string").alias("path") if "path" not in columns else F.lit(None).alias("none"), "file_id", *told).drop("none")
 

@@ -271,3 +271,32 @@ def test_plans_of_searches_make_no_pairs(spark, tmp_path):
     spark.createDataFrame([(i, [float(i % 7), 1.0], i % 3) for i in range(200)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     for f in (vector.vector_topk, vector.quantized_topk, vector.file_rerank, vector.pearson_scores, vector.spearman_ordinal, metrics.mrr):
         assert "NestedLoop" not in f(spark, str(tmp_path))._jdf.queryExecution().toString() and "Cartesian" not in f(spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
+def test_exports_of_a_frequent_name_make_no_pairs(spark):
+    """Files of a name meet its hints once; a reference told twice or a second match is likely."""
+    from tessera.operators import search
+
+    symbols = spark.createDataFrame([("w", f"part:{i:03}", f"a/m{i % 3}.rs") for i in range(300)] + [("v", "part:900", "a/m1.rs"), ("u", "part:901", "a/m12.rs")], "name string, id string, file_path string")
+    refs = spark.createDataFrame([(i, "w", "m2") for i in range(200)] + [(500, "v", "m1"), (501, "v", "m7"), (502, "u", "m1"), (503, "none", "m1"), (504, "v", "m1"), (504, "v", "m1")], "ref long, name string, hint string")
+    got = {r.ref: (r.id, r.confidence) for r in search.resolve_export(refs, symbols).collect()}
+    assert got == {**{i: ("part:002", "likely") for i in range(200)}, 500: ("part:900", "proven"), 502: ("part:901", "proven"), 504: ("part:900", "likely")}
+    assert "plan" not in got and search.resolve_export(refs, symbols.filter("false")).count() == 0
+
+
+def test_windows_of_long_files(spark):
+    """A file's lines are read once: thousands of functions are no more than their bytes."""
+    text = "".join(f"fn f{i}() {{\n    x();\n}}\n\n" for i in range(3000))
+    rows = [("all", text, [""]), ("one", text, ["f2999"]), ("gap", "a\nb\nfn p() {\n  1\n}\nfn q() {\n}\nz\n" * 1, ["p(", None]), ("crlf", "x\r\n  pub fn r() {\r\n}\r\n", ["r"]), ("none", text, None)]
+    got = {r.path: r.body for r in P.windows(spark.createDataFrame(rows, "path string, content string, symbols array<string>")).collect()}
+    assert got["all"].endswith(P.CUT) and len(got["all"].encode()) <= P.WINDOW_BYTES + len(P.CUT.encode()) and got["all"].startswith("fn f0() {\n    x();\n}\n\nfn f1")
+    assert got["one"] == "\nfn f2999() {\n    x();\n}\n" and got["none"] == ""
+    assert got["gap"] == "b\nfn p() {\n  1\n}\n" + P.GAP and got["crlf"] == "x\n  pub fn r() {\n}\n"
+
+
+def test_texts_of_parts_are_dealt_out(spark, tmp_path):
+    """A small file is read by one task: what is made of its rows goes to all cores."""
+    from tessera.plans import parse
+
+    spark.range(50).selectExpr("id AS p_partkey", "'a b' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert parse.filled(spark, str(tmp_path), (("{n}",),), "content").rdd.getNumPartitions() >= 24
