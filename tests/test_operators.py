@@ -300,3 +300,19 @@ def test_texts_of_parts_are_dealt_out(spark, tmp_path):
 
     spark.range(50).selectExpr("id AS p_partkey", "'a b' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert parse.filled(spark, str(tmp_path), (("{n}",),), "content").rdd.getNumPartitions() >= 24
+
+
+def test_seeds_are_counted_by_kinds_of_nodes(spark, monkeypatch):
+    """What meets the prompts is as many as the kinds of nodes; each task keeps its first nodes by energy, then id."""
+    from tessera.operators import packet
+
+    names = ["red_bolt", "redBolt", "blue_ring", "red_ring", "order_7"]
+    nodes = spark.createDataFrame([(f"n:{i:04}", names[i % 5] if i % 5 < 4 else f"order_{i}") for i in range(2000)] + [("n:x", None)], "id string, name string")
+    prompts = spark.createDataFrame([("a", "fix the red bolt"), ("b", "ring, RING order 9!"), ("c", "nothing"), ("d", None)], "task string, prompt string")
+    kinds, held = packet.cut, []
+    monkeypatch.setattr(packet, "cut", lambda df, label="cut": held.append((label, (out := kinds(df, label)).count())) or out)
+    got = {}
+    for r in packet.seeds(prompts, nodes).orderBy("task", F.desc("energy"), "id").collect():
+        got.setdefault(r.task, []).append((r.id, round(r.energy, 6)))
+    assert got == {"a": [(f"n:{i:04}", 0.5) for i in (0, 1, 5, 6, 10)], "b": [(f"n:{i:04}", round(1 / 2, 6)) for i in (2, 3, 4, 7, 8)]}
+    assert max(n for label, n in held if label == "kinds") <= 5 * 4
