@@ -31,8 +31,22 @@ def reinforce_around(edges: DataFrame, touched: DataFrame, success: bool = True)
     """touched (id): (id, weight) of the distinct call, import, reference and use edges at any of them, once reinforced or penalised."""
     near = edges.filter(F.col("edge_type").isin(*LEARNED))
     ids = touched.select("id").distinct()
-    hit = near.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select("id", "weight").union(near.join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("id", "weight"))
-    return hit.distinct().select("id", F.round(clamp(F.col("weight") + (0.15 if success else -0.10)) + 1e-9, 6).alias("weight"))
+    whole = near.select("id", "weight", "source", "target")
+    hit = [near_to(whole, end, ids).join(ids.withColumnRenamed("id", end), end, "left_semi").select("id", "weight") for end in ("source", "target")]
+    return hit[0].union(hit[1]).distinct().select("id", F.round(clamp(F.col("weight") + (0.15 if success else -0.10)) + 1e-9, 6).alias("weight"))
+
+
+#: Ids whose hashes are broadcast, at 16 bytes or so each.
+BROADCAST_IDS = 8_000_000
+
+
+def near_to(edges: DataFrame, end: str, ids: DataFrame) -> DataFrame:
+    """The edges whose end may be among distinct ids, by a broadcast of the ids' hashes: what surely isn't is never shuffled. Of too many
+    ids all edges stay; an exact join follows in any case."""
+    if ids.count() > BROADCAST_IDS:
+        return edges
+    hashes = ids.select(F.xxhash64("id").alias("hash")).distinct()
+    return edges.join(F.broadcast(hashes), F.xxhash64(end) == F.col("hash"), "left_semi")  # a plain condition goes down to the scans
 
 
 def learning_profile(nodes: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
@@ -155,7 +169,7 @@ def inbound_pending(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> D
     once the files are read."""
     inside = nodes.join(changed.select("file_path").distinct(), "file_path", "left_semi").select("id", "name", "file_path")
     used = edges.filter(F.col("edge_type").isin("Calls", "Imports", "DependsOn", "References", "UsedBy"))
-    into = used.join(inside.withColumnRenamed("id", "target"), "target").join(inside.select(F.col("id").alias("source")), "source", "left_anti")
+    into = near_to(used, "target", inside.select("id").distinct()).join(inside.withColumnRenamed("id", "target"), "target").join(inside.select(F.col("id").alias("source")), "source", "left_anti")
     return into.select("source", "edge_type", "name", "file_path").distinct()
 
 
