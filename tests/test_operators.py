@@ -316,3 +316,35 @@ def test_seeds_are_counted_by_kinds_of_nodes(spark, monkeypatch):
         got.setdefault(r.task, []).append((r.id, round(r.energy, 6)))
     assert got == {"a": [(f"n:{i:04}", 0.5) for i in (0, 1, 5, 6, 10)], "b": [(f"n:{i:04}", round(1 / 2, 6)) for i in (2, 3, 4, 7, 8)]}
     assert max(n for label, n in held if label == "kinds") <= 5 * 4
+
+
+def test_edges_at_few_ids_are_thinned_first(spark, monkeypatch):
+    """What surely isn't at any of the ids goes by a broadcast; without one, of too many ids, the rows are the same."""
+    from tessera.operators import memory
+
+    rows = [(f"e{i}", f"a{i % 50}", f"b{i % 70}", "Calls", i % 10 / 10) for i in range(700)]
+    edges = spark.createDataFrame([*rows, ("n", None, "b1", "Calls", 0.5)], "id string, source string, target string, edge_type string, weight double")
+    ids = spark.createDataFrame([("a1",), ("b1",), ("b1",), ("none",)], "id string")
+    thin = memory.near_to(edges, "target", ids.distinct())
+    assert {r.id for r in thin.collect()} == {e for e, _, b, *_ in rows if b == "b1"} | {"n"} and "BroadcastHashJoin" in thin._jdf.queryExecution().toString()
+    told = lambda: sorted(map(tuple, memory.reinforce_around(edges, ids).collect()))
+    want = sorted((e, pytest.approx(min(1.0, w + 0.15))) for e, a, b, _, w in [*rows, ("n", None, "b1", "", 0.5)] if a == "a1" or b == "b1")
+    assert told() == want
+    monkeypatch.setattr(memory, "BROADCAST_IDS", 0)
+    assert told() == want
+
+
+def test_traversals_write_only_the_ends_of_edges(spark, monkeypatch):
+    """Each edge is written once, without its id, and turned when it is read."""
+    rows = [(f"a-very-long-id-{i}", f"n{i}", f"n{(i * 7 + 1) % 40}", "Calls", 0.5) for i in range(40)]
+    edges = spark.createDataFrame(rows, "id string, source string, target string, edge_type string, weight double")
+    whole, held = G.cut, []
+    monkeypatch.setattr(G, "cut", lambda df, label="cut": held.append((label, df.columns, df.count())) or whole(df, label))
+    seed = spark.createDataFrame([("n0",)], "id string")
+    depth, at = {"n0": 0}, {"n0"}
+    for d in (1, 2, 3):
+        at = {y for _, a, b, *_ in rows for x, y in ((a, b), (b, a)) if x in at} - depth.keys()
+        depth |= dict.fromkeys(at, d)
+    assert {r.id: r.depth for r in G.neighbourhood(edges, seed, 3).collect()} == depth
+    assert {r.id: r.depth for r in G.shortest_paths(edges, "n0", 3).collect()} == depth
+    assert [h for h in held if h[0] == "steps"] == [("steps", ["source", "target"], 40)] * 2
