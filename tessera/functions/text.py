@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Unicode white space, spelled out: the JVM's \\s is ASCII only.
 SPACE = "\\u0009-\\u000D\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 PUNCT = "!-/:-@\\[-`{-~"
+PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 ENGLISH = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "not")
 
 
@@ -18,10 +19,10 @@ def col(x: Column | str) -> Column:
 def token_count(text: Column | str) -> Column:
     """Words, plus one per ASCII punctuation mark and line break; at least a quarter of the UTF-8 bytes, rounded up."""
     text = col(text)
-    words = F.regexp_count(text, F.lit(f"[^{SPACE}{PUNCT}]+"))
-    marks = F.regexp_count(text, F.lit(f"[{PUNCT}]"))
-    lines = F.regexp_count(text, F.lit("\n"))
-    return F.greatest(words + marks + lines, F.ceil(F.octet_length(text) / 4)).cast("long")
+    # one pass: words, marks and breaks never overlap; a run begins with plain letters and digits, which are looked up in
+    # a table; no group repeats, as that would fill the stack
+    told = F.regexp_count(text, F.lit(f"[{PLAIN}]++[^{SPACE}{PUNCT}]*+|[^{SPACE}{PUNCT}]++|[{PUNCT}]|\\n"))
+    return F.greatest(told, F.ceil(F.octet_length(text) / 4)).cast("long")
 
 
 def identifier_tokens(name: Column | str) -> Column:

@@ -348,3 +348,15 @@ def test_traversals_write_only_the_ends_of_edges(spark, monkeypatch):
     assert {r.id: r.depth for r in G.neighbourhood(edges, seed, 3).collect()} == depth
     assert {r.id: r.depth for r in G.shortest_paths(edges, "n0", 3).collect()} == depth
     assert [h for h in held if h[0] == "steps"] == [("steps", ["source", "target"], 40)] * 2
+
+
+def test_tokens_are_counted_in_one_pass(spark):
+    """Words, marks and breaks of all scripts, in long runs too; the plan has one pattern."""
+    texts = ["", "a", "a b", "ab,cd\n\n e", "日本語" * 30000, "a日" * 30000, "x" * 50000, "!" * 999, "a b c\x01d\x7f", "a\n" * 500, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.token_count("t").alias("n"), "t")
+    space = "\t-\r \u0085   -     　"
+    import re
+
+    plain = lambda t: max(len(re.findall(rf"[^{space}!-/:-@\[-`{{-~]+", t)) + len(re.findall(r"[!-/:-@\[-`{-~]", t)) + t.count("\n"), -(-len(t.encode()) // 4))
+    assert [r.n for r in df.collect() if r.t is not None] == [plain(t) for t in texts[:-1]]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_count") <= 1
