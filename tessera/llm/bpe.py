@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import pick
+from tessera.llm.common import give_back, pick, small_batches
 
 #: White space by Unicode's property, spelled out, since the libraries' shorthand classes differ.
 SPACE = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -61,8 +61,8 @@ def pieces(text: str) -> list[str]:
     return (_strict_pieces() if not text.isascii() and _LATER.search(text) else PIECES).findall(text)
 
 
-#: Pieces whose ids a worker keeps in each of two generations. It bounds memory, never results.
-CACHE = 250_000
+#: Pieces whose ids a worker keeps in each of two generations, and pairs of tokens it keeps. They bound memory, never results.
+CACHE, FITS = 250_000, 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -129,7 +129,7 @@ class Bpe:
         """Whether merging by rank leaves these two apart when they stand side by side."""
         known = self.fit.get((left, right))
         if known is None:
-            if len(self.fit) > 1_000_000:
+            if len(self.fit) >= FITS:
                 self.fit.clear()
             known = self.fit[left, right] = self._compatible(left, right)
         return known
@@ -240,6 +240,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and on request the ids and the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         bpe = load(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -261,6 +262,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     more = ", ids array<int>, decoded string" if with_ids else ""
     return pick(df, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

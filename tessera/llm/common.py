@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,31 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Rows under which a side of a join may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of rows that Spark hands to a kernel at once (a single longer row is taken whole), unless the session names its own limit.
+BATCH_BYTES = 4 << 20
+#: Bytes from which an array has pages of its own, which the system gets back when the array goes.
+OWN_PAGES = 1 << 20
+
+
+@cache
+def give_back() -> None:
+    """From now on this process holds the arrays in use, not the most that it ever held: a worker lives through many tasks.
+
+    By default the C library keeps freed arrays of up to 32 MB once it has seen one of that size, and Arrow's own pool keeps
+    some of its pages. Kernels call this; it costs them CPU time for fresh pages. Where the C library has no such settings,
+    only the pool changes.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    set_ = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_ is not None:
+        for name in (-3, -1):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            set_(name, OWN_PAGES)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Kernels of this session get rows by BATCH_BYTES: neither the executor nor its workers then hold 10,000 texts at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

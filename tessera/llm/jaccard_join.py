@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, discard, fresh, packed, partitions, pick, scratch, sized, text_chunks, unpacked, written
+from tessera.llm.common import BROADCAST_ROWS, discard, fresh, give_back, packed, partitions, pick, scratch, sized, small_batches, text_chunks, unpacked, written
 from tessera.llm.components import components
 from tessera.llm.words import mix, shingle_sets, words
 
@@ -78,6 +78,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """Two kinds of rows. 0: doc_id, n shingles, c1 and c2, a 128-bit digest of the set. 1: a frequent token (c1) and its documents (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
@@ -122,6 +123,7 @@ def with_partners(docs: DataFrame, k: int, part: int, whole: int, shards: int) -
     cells = 1 << CELL_BITS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         number, ids, sets, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(1)):
@@ -161,6 +163,7 @@ def with_partners(docs: DataFrame, k: int, part: int, whole: int, shards: int) -
         )
 
     def count(group: pa.Table) -> pa.Table:
+        give_back()
         runs = group.column("run").to_pylist()
         places = [np.cumsum(unpacked(x.as_py()), dtype=np.int64) for x in group.column("x")]
         owners = [unpacked(y.as_py()) for y in group.column("y")]
@@ -178,6 +181,7 @@ def with_partners(docs: DataFrame, k: int, part: int, whole: int, shards: int) -
         return pa.table({"run": pa.array(runs, pa.int64()), "x": pa.nulls(len(runs), pa.binary()), "y": pa.array(out, pa.binary())})
 
     def settle(group: pa.Table) -> pa.Table:
+        give_back()
         kept = np.zeros(0, np.int64)
         rows = list(zip(group.column("x").to_pylist(), group.column("y").to_pylist(), strict=True))
         for ids, n in [(np.frombuffer(x, "<i8"), np.frombuffer(y, "<u4").astype(np.int64)) for x, y in rows if x is not None]:
@@ -206,6 +210,7 @@ def postings(docs: DataFrame, last: np.ndarray, counts: np.ndarray, k: int, part
     shared = spark.sparkContext.broadcast((last, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         late, often = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -251,6 +256,7 @@ def lists_of(index: DataFrame, part: int, whole: int) -> DataFrame:
     ones as in the postings)."""
 
     def run(group: pa.Table) -> pa.Table:
+        give_back()
         t, o, n, c = (np.frombuffer(b"".join(group.column(x).to_pylist()), dtype=d) for x, d in (("tokens", np.uint64), ("ids", np.int64), ("sizes", np.int32), ("chunks", np.int32)))
         order = np.lexsort((o, c, t))
         t, o, n, c = t[order], o[order], n[order], c[order]
@@ -298,6 +304,7 @@ def sets_of(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(doc_id, s): the sorted shingles of the documents asked for. docs: distinct ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(1)):
                 hashes, _, starts = words(data, offsets)
@@ -331,6 +338,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -
         return len(np.intersect1d(p[: n - need + 1], q[: m - need + 1], assume_unique=True)) > 0
 
     def meet(members: pa.Table, hub: pa.Table) -> pa.Table:
+        give_back()
         a, b = [], []
         if members.num_rows and hub.num_rows:
             x = np.frombuffer(hub.column("hub")[0].as_py(), dtype=np.uint64)
@@ -361,6 +369,7 @@ def bitmaps_of(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(doc_id, bits): for each document asked for, whether an odd number of its shingles falls on each of n to 2 n bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(1)):
                 hashes, _, starts = words(data, offsets)
@@ -392,6 +401,7 @@ def meetings(still: DataFrame, bits: DataFrame, part: int, whole: int, turn: int
     task = F.pmod(F.xxhash64("key", "x", "y"), F.lit(16 * partitions(still))).alias("task")
 
     def run(group: pa.Table) -> pa.Table:
+        give_back()
         group = group.sort_by([("key", "ascending"), ("x", "ascending"), ("y", "ascending"), ("doc_id", "ascending")])
         key, x, y, doc, n, comp, piece = (group.column(c).to_numpy() for c in ("key", "x", "y", "doc_id", "n", "component", "piece"))
         bits_, a, b, more = group.column("bits").combine_chunks(), [], [], False
@@ -468,6 +478,7 @@ def join(df: DataFrame, k: int = 5, part: int = 4, whole: int = 5, id_col: str =
     """One row per document: doc_id, n_shingles, component_id. Documents link at a similarity of part / whole or more."""
     spark = df.sparkSession
     scratch(spark)
+    small_batches(spark)
     docs = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = written(signatures(docs, k), "jaccard-signatures")
     rows = seen.filter("kind = 0").select("doc_id", "n", "c1", "c2")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, text_chunks
+from tessera.llm.common import give_back, pick, small_batches, text_chunks
 
 #: Families of languages by code; a code not listed is a family of its own.
 FAMILIES = {
@@ -145,6 +145,7 @@ def held_out_column(id_col: str = "doc_id", folds: int = 5):
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, most_rows: int = 16_000) -> Model | None:
     """Fits the machines on training rows (crc32 of the id's text mod 5 not 0, text and language not null)."""
+    small_batches(df.sparkSession)
     rows = pick(df, doc_id=id_col, text=text_col, lang=lang_col).filter(~held_out_column() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs = rows.select(F.count_distinct("lang")).first()[0]
     if not langs:
@@ -158,6 +159,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = keyed.join(chosen, same, "left_semi").dropDuplicates(["lang", "doc_id", "fp"]).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -180,6 +182,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """One row per document: doc_id, held_out, lang_pred, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for first, end, _, _ in text_chunks(batch.column(2)):
                 langs, scores = [], []
@@ -190,6 +193,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = pick(df, doc_id=id_col, text=text_col).select("doc_id", held_out_column().alias("held_out"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
@@ -200,10 +204,12 @@ def accepted(df: DataFrame, model: Model | None, least: float = 0.5, text_col: s
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for first, end, _, _ in text_chunks(batch.column(at)):
                 part = batch.slice(first, end - first)
                 kept = [judged(value.as_py(), model)[1] >= least for value in part.column(at)]
                 yield part.filter(pa.array(kept))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
